@@ -1,0 +1 @@
+"""No streaming operators: loading, fitting and scoring are all batch jobs."""
