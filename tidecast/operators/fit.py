@@ -17,7 +17,7 @@ import tidecast
 from tidecast.config import CHUNK_ROWS, HORIZONS, N_LAGS, PREDICTORS
 from tidecast.functions import linear_models as lm
 from tidecast.functions.expressions import is_finite, max_horizon, target_id
-from tidecast.operators.features import future_limit, lagged_rows, per_horizon
+from tidecast.operators.features import future_limit, lagged_rows, per_horizon, train_features
 from tidecast.operators.impute import exact_medians
 from tidecast.operators.selection import in_sample
 from tidecast.operators.sequence import chunk_of, fits_one_task
@@ -356,6 +356,25 @@ def _describe(predictors, candidates, folds):
     return describe
 
 
+def trend_models(
+    ts: DataFrame, horizon: int = 1, holdout: str = "fixed", max_rows: int | None = None
+) -> DataFrame:
+    """A line through time per series, from the training rows of one horizon.
+
+    Only these rows' times and values are needed, so the built-in regression aggregates suffice.
+    """
+    return (
+        train_features(ts, holdout, max_rows)
+        .where(F.col("horizon") == horizon)
+        .groupBy("series_id")
+        .agg(
+            F.regr_slope("target", "observation_id").alias("slope"),
+            F.regr_intercept("target", "observation_id").alias("intercept"),
+            F.count(F.lit(1)).alias("rows"),
+        )
+    )
+
+
 def target_status(ts: DataFrame, fitted: DataFrame) -> DataFrame:
     """Every target with `fitted` or, when it had no usable training rows, `no_training_rows`."""
     grid = ts.select("series_id").distinct().select(

@@ -1,6 +1,6 @@
 """Selections and profiles of the long table."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecast.config import HORIZONS, MAX_HORIZON
@@ -13,33 +13,33 @@ def in_sample(ts: DataFrame) -> DataFrame:
     return ts.where(F.lower("sample_type") == "in")
 
 
-def series_extract(ts: DataFrame, series_id: str | Column, sample_type: str) -> DataFrame:
-    """One series in time order. Letter case of the id and the sample type is ignored."""
-    wanted = F.lit(series_id) if isinstance(series_id, str) else series_id
-    return (
-        ts.where((F.lower("series_id") == F.lower(wanted)) & (F.lower("sample_type") == sample_type.lower()))
-        .select("time_index", "tourism")
-        .orderBy("time_index")
-    )
+def series_extract(ts: DataFrame, sample_type: str, series_id: str | None = None) -> DataFrame:
+    """One series, or all of them, in time order. Letter case of ids and sample types is ignored."""
+    rows = ts.where(F.lower("sample_type") == sample_type.lower())
+    if series_id is not None:
+        rows = rows.where(F.lower("series_id") == series_id.lower())
+    return rows.select("series_id", "time_index", "tourism").orderBy("series_id", "time_index")
 
 
-def similarity_profile(ts: DataFrame, sample_type: str, series_type: str, before: int = 20) -> DataFrame:
-    """Mean and spread across all series at each early time step, with the band around the mean."""
-    profile = (
-        ts.where(
-            F.lower("series_id").like(f"%{series_type}%")
-            & F.lower("sample_type").like(f"%{sample_type}%")
-            & (F.col("time_index") < before)
-        )
-        .groupBy("time_index")
-        .agg(F.stddev_samp("tourism").alias("tourism_stddev"), F.avg("tourism").alias("tourism_avg"))
-    )
+def similarity_profile(
+    ts: DataFrame, sample_type: str | None = None, series_type: str | None = None, before: int = 20
+) -> DataFrame:
+    """Mean and spread across all series of a kind at each early time step, with the band around
+    the mean. All kinds come from one pass; the two filters pick one."""
+    rows = ts.where(F.col("time_index") < before)
+    if sample_type is not None:
+        rows = rows.where(F.lower("sample_type").like(f"%{sample_type}%"))
+    if series_type is not None:
+        rows = rows.where(F.lower("series_id").like(f"%{series_type}%"))
+    profile = rows.groupBy(
+        frequency(F.col("series_id")).alias("series_type"), F.lower("sample_type").alias("sample_type"), "time_index"
+    ).agg(F.stddev_samp("tourism").alias("tourism_stddev"), F.avg("tourism").alias("tourism_avg"))
     return profile.withColumns(
         {
             "lower": F.col("tourism_avg") - F.col("tourism_stddev"),
             "upper": F.col("tourism_avg") + F.col("tourism_stddev"),
         }
-    ).orderBy("time_index")
+    ).orderBy("series_type", "sample_type", "time_index")
 
 
 def target_grid(ts: DataFrame) -> DataFrame:
