@@ -22,6 +22,7 @@ from tidecast.operators.impute import exact_medians
 from tidecast.operators.selection import in_sample
 from tidecast.operators.sequence import chunk_of, fits_one_task
 from tidecast.operators.split import fold as fold_of
+from tidecast.sources.tables import staged
 
 # Send the package's code along with the tasks, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(tidecast)
@@ -62,7 +63,7 @@ def fit_models(
     if fits_one_task(max_rows):
         fitted = rows.groupBy("series_id").applyInArrow(_fit_series(*args), FITTED_SCHEMA)
     else:
-        fitted = _fit_chunked(rows, *args, chunk_rows)
+        fitted = _fit_chunked(in_sample(ts), rows, *args, chunk_rows)
     # Structs compare field by field, so the least one has the least error, then the first place.
     return fitted.withColumn("best", F.array_min("candidates")).select(
         "series_id",
@@ -200,9 +201,9 @@ def _table(rows, schema):
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _fit_chunked(rows, predictors, candidates, folds, chunk_rows):
+def _fit_chunked(ts, rows, predictors, candidates, folds, chunk_rows):
     rows = rows.withColumn("chunk", chunk_of("time_index", chunk_rows))
-    rows = rows.join(_medians(rows, predictors), "series_id", "left")
+    rows = rows.join(_medians(ts, rows, predictors), "series_id", "left")
     sums = rows.groupBy("series_id", "chunk").applyInArrow(_chunk_sums(predictors, folds), SUMS_SCHEMA)
     # Sums of one target pass through one task as a stream, one small matrix per chunk and fold.
     solved = (
@@ -210,13 +211,13 @@ def _fit_chunked(rows, predictors, candidates, folds, chunk_rows):
         .sortWithinPartitions("series_id", "horizon")
         .mapInArrow(_add_and_solve(predictors, candidates, folds), SOLVED_SCHEMA)
     )
+    # Stored, since both the scoring pass and the final result need it.
+    solved = staged(solved, "solved")
+    models = solved.groupBy("series_id").agg(F.collect_list(F.struct("horizon", "coefs")).alias("models"))
     per_chunk = (
-        rows.select("series_id", "chunk")
+        ts.select("series_id", chunk_of("time_index", chunk_rows).alias("chunk"))
         .distinct()
-        .join(
-            solved.groupBy("series_id").agg(F.collect_list(F.struct("horizon", "coefs")).alias("models")),
-            "series_id",
-        )
+        .join(models, "series_id")
         .select(F.col("series_id").alias("model_series"), F.col("chunk").alias("model_chunk"), "models")
     )
     errors = (
@@ -225,34 +226,28 @@ def _fit_chunked(rows, predictors, candidates, folds, chunk_rows):
         .applyInArrow(_chunk_errors(predictors, candidates, folds), ERRORS_SCHEMA)
         .groupBy("series_id", "horizon", "place")
         .agg(*[F.sum(c).alias(c) for c in ("cv", "train", "validation")])
-    )
-    described = (
-        errors.join(solved, ["series_id", "horizon"])
         .groupBy("series_id", "horizon")
-        .agg(
-            F.first("n_train").alias("n_train"),
-            F.first("n_validation").alias("n_validation"),
-            F.first("coefs").alias("coefs"),
-            F.sort_array(F.collect_list(F.struct("place", "cv", "train", "validation"))).alias("errors"),
-        )
+        .agg(F.sort_array(F.collect_list(F.struct("place", "cv", "train", "validation"))).alias("errors"))
+    )
+    return errors.join(solved, ["series_id", "horizon"]).mapInArrow(
+        _describe(predictors, candidates, folds), FITTED_SCHEMA
     )
-    return described.mapInArrow(_describe(predictors, candidates, folds), FITTED_SCHEMA)
 
 
-def _medians(rows, predictors):
+def _medians(ts, rows, predictors):
     """Per series, the flattened (horizon, lag) medians; only series with a non-finite value."""
     names = [p for p in predictors if p.startswith("lag_")]
-    marked = rows.where(~is_finite(F.col("tourism"))).select("series_id").distinct()
+    marked = ts.where(~is_finite(F.col("tourism"))).select("series_id").distinct()
+    if not names:
+        return marked.withColumn("medians", F.array().cast("array<double>"))
     features = per_horizon(
         rows.join(marked, "series_id", "left_semi").withColumn("future_record_count", F.lit(0))
     ).where(F.col(f"lag_{N_LAGS}").isNotNull())
-    found = exact_medians(features, ["series_id", "horizon"], names) if names else None
-    if found is None:
-        return marked.withColumn("medians", F.array().cast("array<double>"))
+    by_horizon = F.sort_array(F.collect_list(F.struct("horizon", F.array(*names).alias("lags"))))
     return (
-        found.groupBy("series_id")
-        .agg(F.sort_array(F.collect_list(F.struct("horizon", F.array(*names).alias("m")))).alias("s"))
-        .select("series_id", F.flatten("s.m").alias("medians"))
+        exact_medians(features, ["series_id", "horizon"], names)
+        .groupBy("series_id")
+        .agg(F.flatten(by_horizon.getField("lags")).alias("medians"))
     )
 
 

@@ -136,11 +136,13 @@ actuals AS (
 
 
 def models(predictor: str, name: str = "models") -> str:
-    """One-predictor least squares per target, with its losses. A single row gives a constant."""
+    """One-predictor least squares per target, with its losses. A predictor that does not vary gives a constant."""
     return f"""
 {name}_line AS (
-  SELECT series_id, horizon, coalesce(regr_slope(target, {predictor}), 0.0) AS b,
-         coalesce(regr_intercept(target, {predictor}), avg(target)) AS a,
+  SELECT series_id, horizon,
+         CASE WHEN min({predictor}) < max({predictor}) THEN regr_slope(target, {predictor}) ELSE 0.0 END AS b,
+         CASE WHEN min({predictor}) < max({predictor}) THEN regr_intercept(target, {predictor})
+              ELSE avg(target) END AS a,
          count(*) AS n_train
   FROM train WHERE purpose = 'train' GROUP BY series_id, horizon),
 {name} AS (
@@ -156,7 +158,7 @@ def models(predictor: str, name: str = "models") -> str:
 DIRECT = """
 direct AS (
   SELECT a.series_id, m.horizon, CAST(anchor_time + m.horizon AS INTEGER) AS time_index,
-         a + b * lag_12 AS score
+         a + b * (anchor_time + m.horizon) AS score
   FROM anchors a JOIN models m ON a.series_id = m.series_id)
 """
 
