@@ -86,7 +86,7 @@ def training_rows(ts, folds, holdout, max_rows, chunk_rows):
         .where(
             (F.col("future_record_count") > future_limit(holdout))
             & F.get("lags", F.lit(N_LAGS)).isNotNull()
-            & F.col("tourism").isNotNull()
+            & is_finite(F.col("tourism"))
         )
         .select(
             "series_id",

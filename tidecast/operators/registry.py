@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidecast import schemas
 from tidecast.config import LOSS, PREDICTORS
-from tidecast.functions.expressions import horizons, target_horizon, target_id, target_series
+from tidecast.functions.expressions import horizons, is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
 from tidecast.operators.split import purpose
 from tidecast.sources.tables import read_table
@@ -45,7 +45,7 @@ def record_rows(
     """The rows each model was trained and held out on."""
     rows = (
         lagged_rows(ts, max_rows)
-        .where(F.col("future_record_count") > future_limit(holdout))
+        .where((F.col("future_record_count") > future_limit(holdout)) & is_finite(F.col("tourism")))
         .select(
             "series_id",
             F.explode(horizons(F.col("series_id"))).alias("horizon"),
