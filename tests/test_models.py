@@ -176,13 +176,18 @@ def test_registry_round_trip(spark, mixed, tmp_path):
     scores = {(r.target, r.model_id): r.performance for r in store.read("fit_performance").where("purpose = 'validation'").collect()}
     for row in best_models(storage, store.read("fit_performance")).collect():
         assert scores[(row.target, row.model_id)] == max(scores[(row.target, m)] for m in (1, 2))
-    features = train_features(ts, max_rows=1000)
     for models in (latest_models(storage), storage.where("model_id = 1")):
-        checked = evaluate.evaluate_fit(
-            features, store.read("record_ids"), store.read("fit_performance"), scoring_models(models)
-        ).collect()
-        assert checked and all(r["pass"] for r in checked)
-    residuals = evaluate.train_residuals(features, store.read("record_ids"), scoring_models(latest_models(storage)))
+        for bound in (1000, None):
+            scores = forecast.train_scores(ts, scoring_models(models), max_rows=bound)
+            checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance")).collect()
+            assert checked and all(r["pass"] for r in checked)
+    scores = forecast.train_scores(ts, scoring_models(latest_models(storage)), max_rows=1000)
+    features = train_features(ts, max_rows=1000)
+    batch = forecast.batch_score(features, scoring_models(latest_models(storage)))
+    keys = ["series_id", "horizon", "observation_id"]
+    pairs = scores.select(*keys, "score").join(batch.select(*keys, F.col("score").alias("batch")), keys)
+    assert pairs.count() == features.count() == pairs.where("abs(score - batch) < 1e-9").count()
+    residuals = evaluate.train_residuals(scores, store.read("record_ids"))
     mae = residuals.groupBy("series_id", "horizon").agg(F.avg(F.abs("error")).alias("mae")).collect()
     stored = {r.target: -r.performance for r in store.read("fit_performance").where("purpose = 'train' and model_id = 2").collect()}
     for row in mae:

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from tidecast.config import FIT_TOLERANCE, LOSS
 from tidecast.functions.expressions import max_horizon, target_horizon, target_id, target_series
-from tidecast.operators.forecast import batch_score
 from tidecast.operators.impute import exact_medians
 from tidecast.operators.registry import losses
 from tidecast.operators.selection import paired_by_position
@@ -111,36 +110,43 @@ def train_records(features: DataFrame, record_ids: DataFrame, purpose: str | Non
     return keyed.join(records, ["target_id", "observation_id"])
 
 
-def train_residuals(features: DataFrame, record_ids: DataFrame, models: DataFrame) -> DataFrame:
-    """Signed error, score minus target, on the rows the given models were trained on."""
-    chosen = models.select("target", "model_id")
-    own = record_ids.join(chosen, ["target", "model_id"], "left_semi")
-    rows = train_records(features, own).drop("model_id")
-    return batch_score(rows, models).select(
-        "series_id",
-        "horizon",
+def recorded_scores(scores: DataFrame, record_ids: DataFrame) -> DataFrame:
+    """Scores of exactly the rows stored for each model. Only keys and errors are shuffled."""
+    errors = scores.select(
+        target_id(F.col("series_id"), F.col("horizon")).alias("target"),
         "model_id",
         "observation_id",
         "score",
         (F.col("score") - F.col("target")).alias("error"),
     )
+    return errors.join(record_ids, ["target", "model_id", "observation_id"])
+
+
+def train_residuals(scores: DataFrame, record_ids: DataFrame) -> DataFrame:
+    """Signed error, score minus target, on the rows the scoring models were trained on."""
+    rows = recorded_scores(scores, record_ids.where(F.lower("purpose") == "train"))
+    return rows.select(
+        target_series(F.col("target")).alias("series_id"),
+        target_horizon(F.col("target")).alias("horizon"),
+        "model_id",
+        "observation_id",
+        "score",
+        "error",
+    )
 
 
 def evaluate_fit(
-    features: DataFrame,
+    scores: DataFrame,
     record_ids: DataFrame,
     fit_performance: DataFrame,
-    models: DataFrame,
     loss_function: str = LOSS,
     tolerance: float = FIT_TOLERANCE,
 ) -> DataFrame:
-    """Score the stored rows of each model again and compare with the stored loss."""
-    own = record_ids.join(models.select("target", "model_id"), ["target", "model_id"], "left_semi")
-    rows = train_records(features, own, purpose=None).drop("model_id")
+    """Compare the loss on the stored rows, scored again, with the loss stored at fitting."""
     repeated = (
-        batch_score(rows, models)
-        .groupBy(F.col("target_id").alias("target"), "model_id", "purpose")
-        .agg((-F.avg(F.abs(F.col("target") - F.col("score")))).alias("repeated"))
+        recorded_scores(scores, record_ids)
+        .groupBy("target", "model_id", "purpose")
+        .agg((-F.avg(F.abs("error"))).alias("repeated"))
     )
     stored = fit_performance.where(F.lower("loss_function") == loss_function.lower()).select(
         "target", "model_id", "purpose", F.col("performance").alias("stored")

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import LAG_NAMES, N_LAGS, PREDICTORS
-from tidecast.functions.expressions import linear_score, max_horizon, target_id
-from tidecast.operators.features import anchors
+from tidecast.functions.expressions import lag_columns, linear_score, max_horizon, target_id
+from tidecast.operators.features import anchors, future_limit, lagged_rows
 
 
 def aligned_coefficients(models: DataFrame, predictors: DataFrame) -> DataFrame:
@@ -45,6 +45,32 @@ def batch_score(features: DataFrame, models: DataFrame) -> DataFrame:
     )
 
 
+def train_scores(
+    ts: DataFrame, models: DataFrame, holdout: str = "fixed", max_rows: int | None = None
+) -> DataFrame:
+    """Scores of all training rows by the given models, one per target.
+
+    A series' models, at most 24, are joined to its rows before the horizons are multiplied out, so
+    with bounded series the rows are not shuffled again after their lags are built.
+    """
+    per_series = models.groupBy("series_id").agg(
+        F.collect_list(F.struct("horizon", "model_id", "coef")).alias("models")
+    )
+    lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
+    rows = lagged.join(per_series, "series_id").select(
+        "series_id", "time_index", "tourism", "lags", F.inline("models")
+    )
+    lags = lag_columns(F.col("lags"), F.col("horizon"))
+    return rows.where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull()).select(
+        "series_id",
+        "horizon",
+        "model_id",
+        F.col("time_index").alias("observation_id"),
+        F.col("tourism").alias("target"),
+        linear_score(F.col("coef"), F.col("time_index"), lags).alias("score"),
+    )
+
+
 def direct_forecast(ts: DataFrame, models: DataFrame, pred_type: str, first_horizon: int = 1) -> DataFrame:
     """One forecast per (series, horizon), each from its own model.
 

@@ -622,9 +622,8 @@ def train_records(spark, sf_dir):
 )
 def train_residuals(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
-    residuals = evaluate.train_residuals(
-        features.train_features(ts, **BOUND), store.read("record_ids"), pipeline.current_models(store)
-    )
+    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
+    residuals = evaluate.train_residuals(scores, store.read("record_ids"))
     return single(residuals, "score", "error")
 
 
@@ -634,12 +633,8 @@ def train_residuals(spark, sf_dir):
 )
 def evaluate_fit(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
-    checked = evaluate.evaluate_fit(
-        features.train_features(ts, **BOUND),
-        store.read("record_ids"),
-        store.read("fit_performance"),
-        pipeline.current_models(store),
-    )
+    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
+    checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"))
     return single(
         checked.select("target", "model_id", "purpose", "repeated", F.col("pass").cast("int").alias("passed")),
         "repeated",
@@ -664,6 +659,15 @@ def batch_score(spark, sf_dir):
     return single(scored.select("series_id", "horizon", "observation_id", "score"), "score")
 
 
+@query(
+    f"{ONE_RUN} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, target, "
+    f"{r1('a + b * observation_id', 'score')} FROM train t JOIN models m ON t.series_id = m.series_id AND t.horizon = m.horizon"
+)
+def train_scores(spark, sf_dir):
+    ts, models = line_models(spark, sf_dir)
+    return single(forecast.train_scores(ts, models, **BOUND), "score")
+
+
 # Fixed coefficients, set by hand: 0.5, 0.25 and 0.125 of the three nearest lags, 3 per time step,
 # and 10 times the month number.
 FIXED_SQL = "0.5 * lag_1 + 0.25 * lag_2 + 0.125 * lag_3 + 3.0 * observation_id + 10.0 * (observation_id % 12)"
@@ -896,12 +900,8 @@ def evaluate_fit_all_predictors(spark, sf_dir):
     ts = tables.staged(sales_series(spark, sf_dir), "time_series")
     store = pipeline.new_registry(spark)
     pipeline.fit_and_store(store, ts, **BOUND)
-    return evaluate.evaluate_fit(
-        features.train_features(ts, **BOUND),
-        store.read("record_ids"),
-        store.read("fit_performance"),
-        pipeline.current_models(store),
-    )
+    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
+    return evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"))
 
 
 def full_models(spark, sf_dir):

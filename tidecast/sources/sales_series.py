@@ -20,22 +20,24 @@ def sales_series(spark: SparkSession, sf_dir: str, frequencies: str = "mqy") ->
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date"))
     steps = F.array(
         *[
-            F.struct(
-                F.lit(freq).alias("freq"),
-                F.concat(F.lit(freq), F.col("l_suppkey").cast("string")).alias("series_id"),
-                F.floor(F.col("day") / F.lit(LAYOUT[freq][0])).alias("step"),
-            )
+            F.struct(F.lit(freq).alias("freq"), F.floor(F.col("day") / F.lit(LAYOUT[freq][0])).alias("step"))
             for freq in frequencies
         ]
     )
     sums = (
         spark.read.parquet(f"{sf_dir}/lineitem.parquet")
         .select("l_suppkey", F.rint(F.col("l_extendedprice") * 100).cast("long").alias("cents"), day.alias("day"))
-        .select("cents", F.inline(steps))
-        .groupBy("freq", "series_id", "step")
-        .agg((F.sum("cents") / F.lit(100.0)).alias("tourism"))
+        .select("l_suppkey", "cents", F.inline(steps))
+        .groupBy("freq", "l_suppkey", "step")
+        .agg(F.sum("cents").alias("cents"))
+        .select(
+            F.concat("freq", F.col("l_suppkey").cast("string")).alias("series_id"),
+            "freq",
+            "step",
+            (F.col("cents") / F.lit(100.0)).alias("tourism"),
+        )
     )
-    # Placed by series id alone, so later windows over a series need no further shuffle.
+    # Placed by series id, so later windows over a series need no further shuffle.
     series = Window.partitionBy("series_id")
     placed = sums.select(
         "series_id",
@@ -55,10 +57,8 @@ def sales_series(spark: SparkSession, sf_dir: str, frequencies: str = "mqy") ->
     metadata = per_frequency({f: F.array(*map(F.lit, LAYOUT[f][2])) for f in frequencies})
     oos_pos = F.col("pos") - F.greatest(F.col("rows") - oos_rows, F.lit(0))
     placed = placed.select("series_id", "tourism", "pos", metadata.alias("metadata"), oos_pos.alias("oos_pos"))
-    own = F.when(F.col("oos_pos") < 0, F.array("tourism"))
     # The first out-of-sample row brings the metadata rows with it.
-    own = own.when(F.col("oos_pos") == 0, F.concat("metadata", F.array("tourism")))
-    own = own.otherwise(F.array("tourism"))
+    own = F.when(F.col("oos_pos") == 0, F.concat("metadata", F.array("tourism"))).otherwise(F.array("tourism"))
     return placed.select(
         "series_id",
         F.when(F.col("oos_pos") < 0, "in").otherwise("oos").alias("sample_type"),
