@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast import schemas
-from tidecast.config import LOSS, PREDICTORS
+from tidecast.config import LOSS, N_LAGS, PREDICTORS
 from tidecast.functions.expressions import horizons, is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
 from tidecast.operators.split import purpose
@@ -51,11 +51,12 @@ def record_rows(
             F.explode(horizons(F.col("series_id"))).alias("horizon"),
             "time_index",
             "lags",
+            purpose(F.col("series_id"), F.col("time_index")).alias("purpose"),
         )
-        .where(F.get("lags", F.col("horizon") + 11).isNotNull())
+        .where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull())
         .select(
             target_id(F.col("series_id"), F.col("horizon")).alias("target"),
-            purpose(F.col("series_id"), F.col("time_index")).alias("purpose"),
+            "purpose",
             F.col("time_index").alias("observation_id"),
         )
     )
