@@ -9,7 +9,7 @@ import numpy as np
 
 from tidecast.config import N_LAGS, N_MONTHS, PREDICTORS, SEASON_LAGS
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 512
 
 
 def blocks(rows):

@@ -109,6 +109,12 @@ def _columns(table):
     )
 
 
+def _numbers(column, shape):
+    """A column of numbers, or of equally long lists of them, as an array."""
+    flat = column.flatten() if pa.types.is_list(column.type) else column
+    return flat.to_numpy(zero_copy_only=False).reshape(shape)
+
+
 def _frequency(series_id):
     freq = series_id[:1].lower()
     return freq if freq in HORIZONS else "y"
@@ -185,8 +191,8 @@ def _fitted_table(series_ids, horizons, n_train, n_validation, coefs, errors, ca
     ends = np.concatenate([[0], fitted.sum(axis=1).cumsum()]).astype(np.int32)
     table = pa.table(
         [
-            pa.array(series_ids, pa.string()),
-            pa.array(horizons, pa.int32()),
+            series_ids if isinstance(series_ids, pa.Array) else pa.array(series_ids, pa.string()),
+            horizons if isinstance(horizons, pa.Array) else pa.array(horizons, pa.int32()),
             pa.array(n_train, pa.int64()),
             pa.array(n_validation, pa.int64()),
             pa.ListArray.from_arrays(pa.array(ends), models),
@@ -292,13 +298,15 @@ def _add_and_solve(predictors, candidates, folds):
         key, total, n_validation = None, None, 0
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if (row["series_id"], row["horizon"]) != key:
+            parts = _numbers(batch["sums"], (-1, folds, side, side))
+            keys = zip(batch["series_id"].to_pylist(), batch["horizon"].to_pylist())
+            for row_key, part, validation in zip(keys, parts, batch["n_validation"].to_pylist()):
+                if row_key != key:
                     if key is not None:
                         out += solved(key, total, n_validation)
-                    key, total, n_validation = (row["series_id"], row["horizon"]), 0.0, 0
-                total = total + np.array(row["sums"]).reshape(folds, side, side)
-                n_validation += row["n_validation"]
+                    key, total, n_validation = row_key, 0.0, 0
+                total = total + part
+                n_validation += validation
             yield from _table(out, SOLVED_ARROW).to_batches()
         if key is not None:
             yield from _table(solved(key, total, n_validation), SOLVED_ARROW).to_batches()
@@ -333,17 +341,16 @@ def _describe(predictors, candidates, folds):
 
     def describe(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            if rows:
-                column = {name: [row[name] for row in rows] for name in rows[0]}
-                errors = [[(e["cv"], e["train"], e["validation"]) for e in row] for row in column["errors"]]
+            if len(batch):
+                errors = batch["errors"].flatten()
+                errors = [_numbers(errors.field(c), (len(batch), -1)) for c in ("cv", "train", "validation")]
                 yield from _fitted_table(
-                    column["series_id"],
-                    column["horizon"],
-                    column["n_train"],
-                    column["n_validation"],
-                    np.array(column["coefs"]).reshape(shape)[:, :, -1],
-                    np.array(errors, dtype=float),
+                    batch["series_id"],
+                    batch["horizon"],
+                    batch["n_train"].to_numpy(),
+                    batch["n_validation"].to_numpy(),
+                    _numbers(batch["coefs"], shape)[:, :, -1],
+                    np.stack(errors, axis=2),
                     candidates,
                     predictors,
                 ).to_batches()
