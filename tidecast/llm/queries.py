@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, exact_dedup, packing
+from tidecast.llm import bpe, chat_perspectives, exact_dedup, line_rules, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    """
+    WITH m AS (
+      SELECT DISTINCT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS role,
+             replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part
+      FROM conversations
+    ), v AS (
+      SELECT s.speaker, m.*, m.role = s.speaker AS own, '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant'
+               WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) || m.text
+             || '<|im_end|>' || chr(10) AS segment
+      FROM (SELECT DISTINCT conv_id, part, role AS speaker FROM m WHERE role <> 'system') s JOIN m USING (conv_id, part)
+    ), w AS (
+      SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text) AS stop FROM v
+    )
+    SELECT conv_id, part, 0::BIGINT AS split, speaker, count(*) AS n_messages,
+           string_agg(segment, '' ORDER BY turn, role, text) AS text,
+           string_agg((stop - length(segment) + 22)::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop)
+             FILTER (WHERE own) AS masks
+    FROM w GROUP BY conv_id, part, speaker
+    """
+)
+def op1_chat_perspectives(spark, sf_dir):
+    views = chat_perspectives.chat_perspectives(table(spark, sf_dir, "conversations"))
+    spans = F.transform("masks", lambda m: F.concat(m["start"].cast("string"), F.lit(":"), m["end"].cast("string")))
+    return views.withColumn("masks", F.array_join(spans, ","))
+
+
+@query(
+    """
+    WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT *, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS words,
+                 [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines
+          FROM d),
+    g AS (SELECT doc_id, i, words[i:i + 2] AS gram
+          FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+    t AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) WHERE n > 1),
+    r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM t, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+    l AS (SELECT host, text, line, sum(len(string_split(line, ' '))) AS words
+          FROM (SELECT host, text, trim(unnest(string_split(
+                         lower(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10)))) AS line
+                FROM (SELECT DISTINCT host, text FROM d))
+          WHERE line <> '' GROUP BY ALL),
+    h AS (SELECT host, count(DISTINCT text) AS texts FROM l GROUP BY host),
+    f AS (SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, texts
+          HAVING count(*) > 20 AND count(*) > 0.05 * texts),
+    m AS (SELECT host, text, sum(words) AS removed FROM l JOIN f USING (host, line) GROUP BY host, text)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed,
+           NOT base_failed AND NOT n_words - words_removed < 0.2 * n_words AS kept
+    FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+          FROM (SELECT doc_id, len(words)::BIGINT AS n_words,
+                       length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                       (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                       coalesce(r.n, 0) AS n_repeat_words, coalesce(m.removed, 0)::BIGINT AS words_removed
+                FROM w LEFT JOIN r USING (doc_id) LEFT JOIN m USING (host, text)))
+    """
+)
+def op3_line_rules(spark, sf_dir):
+    return line_rules.line_rules(table(spark, sf_dir, "documents"))
+
+
 @query(
     """
     WITH normal AS (
