@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat_perspectives, exact_dedup, line_rules, packing
+from tidecast.llm import bpe, chat_perspectives, exact_dedup, line_rules, packing, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,11 @@ def op7_bpe_codec(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_toxicity_kneser_ney(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op10_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
