@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat_perspectives, exact_dedup, line_rules, packing, secret_scan, toxicity
+from tidecast.llm import bpe, chat_perspectives, exact_dedup, line_rules, packing, quality_gam, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +102,11 @@ def op5_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op2_quality_gam(spark, sf_dir):
+    return quality_gam.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op7_bpe_codec(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.labelled import held_out, labelled_rows
 from tidecast.llm.text_batches import Pieces, pieces_of, slices, texts_of
 
 ORDER = 8
@@ -25,7 +26,6 @@ WINDOW_SHARE = 1 / (1 << 19)
 HELD_ENTRIES = 2_000_000
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 5
-BROADCAST_LABELS = 2_000_000
 
 # Bytes of letters in lower case; every other ASCII byte is a space.
 LETTERS = np.full(256, 0x20, dtype=np.uint8)
@@ -60,7 +60,7 @@ def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def window_counts(rows: DataFrame) -> DataFrame:
-    """Counts of windows in each class over rows with text and toxic: window, toxic_count, ordinary_count."""
+    """Counts of windows in each class over rows with text and label: window, toxic_count, ordinary_count."""
 
     def count(batches):
         held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -76,7 +76,7 @@ def window_counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 pieces = pieces_of(texts_of(part.column("text")))
-                toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[pieces.doc]
+                toxic = part.column("label").to_numpy(zero_copy_only=False).astype(bool)[pieces.doc]
                 keys, owner = windows(pieces.distinct)
                 times = [np.bincount(pieces.ids[of], minlength=len(pieces.distinct))[owner] for of in (toxic, ~toxic)]
                 held.append(summed(keys, *times))
@@ -87,7 +87,7 @@ def window_counts(rows: DataFrame) -> DataFrame:
                         held[:] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         yield out()
 
-    counted = rows.select("text", "toxic").mapInArrow(count, "window long, toxic_count long, ordinary_count long")
+    counted = rows.select("text", "label").mapInArrow(count, "window long, toxic_count long, ordinary_count long")
     return counted.groupBy("window").agg(
         F.sum("toxic_count").alias("toxic_count"), F.sum("ordinary_count").alias("ordinary_count")
     )
@@ -178,23 +178,6 @@ def calibrated(model: ToxicityModel, evidence: np.ndarray, toxic: np.ndarray) ->
     return model
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of the rows that may be learned from, with their labels and a hash of the doc_id.
-
-    Labels filter the scan as a broadcast up to BROADCAST_LABELS of them, and otherwise through a join.
-    """
-    known = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    )
-    if labels.count() <= BROADCAST_LABELS:
-        known = F.broadcast(known)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fit on rows whose crc32(doc_id as text) mod 5 is not 0.
 
@@ -202,7 +185,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     set the logistic curve from evidence to probability. The driver gets only windows above WINDOW_SHARE
     of their class, 2 ** 20 at most, and the calibration rows' evidence.
     """
-    rows = labelled_rows(docs, labels)
+    rows = labelled_rows(docs, labels, "toxic")
     apart = F.pmod("draw", F.lit(CALIBRATION_FOLD)) == 0
     counts = window_counts(rows.filter(~apart)).persist()
     totals = counts.agg(F.sum("toxic_count").alias("t"), F.sum("ordinary_count").alias("o")).first()
@@ -212,10 +195,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     counts.unpersist()
     grams, toxic, ordinary = (kept.column(i).to_numpy() for i in range(3))
     model = kneser_ney(grams.view(np.uint64), toxic, ordinary)
-    sample = rows.filter(apart).select("draw", "toxic", evidence_column(docs, model, MARGINS).alias("evidence"))
+    sample = rows.filter(apart).select("draw", "label", evidence_column(docs, model, MARGINS).alias("evidence"))
     sample = sample.orderBy("draw").limit(CALIBRATION_ROWS).toArrow()
     evidence = np.array(sample.column("evidence").to_pylist(), dtype=float).reshape(-1, len(MARGINS))
-    return calibrated(model, evidence, sample.column("toxic").to_numpy())
+    return calibrated(model, evidence, sample.column("label").to_numpy())
 
 
 def evidence_column(docs: DataFrame, model: ToxicityModel, margins, text: str = "text") -> Column:
@@ -248,7 +231,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_toxicity(docs, labels)
     scored = docs.select(
         "doc_id",
-        F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"),
+        held_out(5, 0).alias("held_out"),
         score_toxicity(docs, model).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
