@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat_perspectives, exact_dedup, language_gru, line_rules, packing, quality_gam, secret_scan, toxicity
+from tidecast.llm import bpe, chat_perspectives, exact_dedup, jaccard_join, language_gru, line_rules, packing, quality_gam, secret_scan, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +112,11 @@ def op4_language_gru(spark, sf_dir):
     return language_gru.languages(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op6_jaccard_components(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 @query()
 def op7_bpe_codec(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
