@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm import text_batches  # noqa: F401  (its code travels with the tasks)
+from tidecast.llm.joins import checked, without
 from tidecast.sources.tables import staged
 
 BLOCK_ROWS = 1 << 16
 FINGERPRINTS_PER_OWNER = 1 << 20
-BROADCAST_ROWS = 1 << 20
 
 BLOCKS = "sender long, doc_id array<long>, fingerprint array<long>, digest array<binary>"
 MESSAGES = "owner long, sender long, n long, shift int, payload binary"
@@ -171,15 +171,14 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     Blocks of rows send sorted compressed fingerprints to the owners of ranges of fingerprints; owners
     answer with one bit for each. Only texts with a fingerprint met twice are shuffled: they are grouped
     by the text itself, in each task first, so a large group of copies is one row for each task. The
-    fingerprints met twice filter the scan as a broadcast up to BROADCAST_ROWS of them, and otherwise
+    fingerprints met twice filter the scan as a broadcast up to a checked number of them, and otherwise
     through a join; the result is the same.
     """
     blocks = staged(fingerprint_blocks(docs), "fingerprints")
     total = blocks.agg(F.coalesce(F.sum(F.size("doc_id")), F.lit(0)).alias("n")).first()["n"]
     owners = max(8, -(-total // FINGERPRINTS_PER_OWNER))
     doubtful = staged(suspects(blocks, replies(messages(blocks, owners)), owners), "suspects")
-    if doubtful.count() <= BROADCAST_ROWS:
-        doubtful = F.broadcast(doubtful)
+    doubtful = checked(doubtful)
 
     normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal.alias("normal")).withColumn(
@@ -210,3 +209,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
         (alone | ((F.col("first.sender") == F.col("sender")) & (F.col("first.pos") == F.col("pos")))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with their columns: one of each group of equal texts."""
+    found = exact_duplicates(docs).groupBy("doc_id", "text_sha256")
+    found = staged(found.agg(F.max("kept").alias("kept"), F.count("*").alias("n")), "decisions")
+    normal = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
+
+    def key(digest):
+        return F.concat_ws(":", F.col("doc_id").cast("string"), digest)
+
+    keyed = docs.withColumn("_dedup_key", key(F.sha2(normal, 256)))
+    named = found.select("kept", "n", key(F.col("text_sha256")).alias("_dedup_key"))
+    left = without(keyed, named.filter(~F.col("kept")), "_dedup_key")
+    again = checked(staged(named.filter("kept AND n > 1").select("_dedup_key"), "repeated"))
+    once = left.join(again, "_dedup_key", "left_anti").select(*docs.columns)
+    return once.union(left.join(again, "_dedup_key", "left_semi").dropDuplicates(["_dedup_key"]).select(*docs.columns))

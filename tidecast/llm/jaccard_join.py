@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.joins import checked, without
 from tidecast.llm.text_batches import Texts, lower_ascii, slices, texts_of, words_of
 from tidecast.sources.tables import staged
 
@@ -26,7 +27,6 @@ LEAST_FREQUENT = 8
 HELD_SHINGLES = 4_000_000
 SMALL_CELL = 24
 PIVOT_ROUNDS = 4
-BROADCAST_ROWS = 1 << 20
 
 PREFIXES = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"
 
@@ -153,8 +153,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The sorted shingles of the documents named in `wanted` (doc_id): cid, shingles as bytes."""
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = checked(staged(wanted, "wanted"))
 
     def run(batches):
         for batch in batches:
@@ -326,3 +325,12 @@ def remaining_pairs(cells: DataFrame) -> DataFrame:
     )
     every = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
     return outside.join(every, "cell").filter("c1 <> c2").select("a", "b", "n1", "n2")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows that stay, with their columns: of each component the document with the smallest doc_id.
+
+    Rows that share a doc_id go or stay together; rows without one stay.
+    """
+    found = jaccard_components(docs, size, percent)
+    return without(docs, found.filter("component_id <> doc_id"), "doc_id")

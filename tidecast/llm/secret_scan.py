@@ -280,3 +280,13 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
         return F.concat(state["out"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
+
+
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """All rows, with their columns; secrets in texts are replaced by a mark, and n_chars follows."""
+    found = docs.withColumn("_spans", secret_spans(docs, learn_formats(docs)))
+    shown = found.withColumn("text", redacted(F.col("text"), F.col("_spans")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        shown = shown.withColumn("n_chars", changed.otherwise(F.col("n_chars")))
+    return shown.select(*docs.columns)

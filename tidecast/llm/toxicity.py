@@ -235,3 +235,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score_toxicity(docs, model).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with their columns."""
+    scored = docs.withColumn("_toxicity", score_toxicity(docs, fit_toxicity(docs, labels)))
+    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)
