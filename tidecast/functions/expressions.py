@@ -1,11 +1,11 @@
-"""Column expressions shared by the operators. All stay inside whole-stage codegen."""
+"""Column expressions shared by the operators, built-in functions only."""
 
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidecast.config import HORIZONS, LAG_NAMES, METADATA_ROWS, MONTH_NAMES, N_LAGS, N_MONTHS, SEASON_LAGS
+from tidecast.config import HORIZONS, LAG_NAMES, METADATA_ROWS, MONTH_NAMES, N_LAGS, N_MONTHS
 
 
 def frequency(series_id: Column) -> Column:
@@ -22,10 +22,6 @@ def max_horizon(series_id: Column) -> Column:
     return by_frequency(series_id, HORIZONS)
 
 
-def season_lag(series_id: Column) -> Column:
-    return by_frequency(series_id, SEASON_LAGS)
-
-
 def metadata_rows(series_id: Column) -> Column:
     return by_frequency(series_id, METADATA_ROWS)
 

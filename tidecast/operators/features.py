@@ -100,7 +100,7 @@ def anchors(ts: DataFrame, pred_type: str) -> DataFrame:
 def inference_features(ts: DataFrame, pred_type: str, first_horizon: int = 1) -> DataFrame:
     """One row per (series, horizon) to score, for horizons counted from `first_horizon`.
 
-    `first_horizon=0` counts as the earlier project did, one step behind the model's horizon.
+    `first_horizon=0` counts from the anchor itself, one step behind the model's horizon.
     """
     shift = 1 - first_horizon
     observation_id = F.col("anchor_time") + F.col("horizon")

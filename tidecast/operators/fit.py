@@ -17,10 +17,10 @@ import tidecast
 from tidecast.config import CHUNK_ROWS, HORIZONS, N_LAGS, PREDICTORS
 from tidecast.functions import linear_models as lm
 from tidecast.functions.expressions import is_finite, max_horizon, target_id
-from tidecast.operators.features import future_limit, lagged_rows, per_horizon, train_features
+from tidecast.operators.features import future_limit, lagged_rows, per_horizon
 from tidecast.operators.impute import exact_medians
 from tidecast.operators.selection import in_sample
-from tidecast.operators.sequence import chunk_of, fits_one_task
+from tidecast.operators.sequence import chunk_of, fits_one_task, with_lags
 from tidecast.operators.split import fold as fold_of
 from tidecast.sources.tables import staged
 
@@ -365,13 +365,14 @@ def trend_models(
 
     Only these rows' times and values are needed, so the built-in regression aggregates suffice.
     """
+    rows = in_sample(ts).select("series_id", "time_index", "tourism")
     return (
-        train_features(ts, holdout, max_rows)
-        .where(F.col("horizon") == horizon)
+        with_lags(rows, [horizon + N_LAGS], max_rows=max_rows)
+        .where((F.col("future_record_count") > future_limit(holdout)) & F.get("lags", F.lit(0)).isNotNull())
         .groupBy("series_id")
         .agg(
-            F.regr_slope("target", "observation_id").alias("slope"),
-            F.regr_intercept("target", "observation_id").alias("intercept"),
+            F.regr_slope("tourism", "time_index").alias("slope"),
+            F.regr_intercept("tourism", "time_index").alias("intercept"),
             F.count(F.lit(1)).alias("rows"),
         )
     )

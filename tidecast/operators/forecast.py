@@ -75,7 +75,7 @@ def direct_forecast(ts: DataFrame, models: DataFrame, pred_type: str, first_hori
     """One forecast per (series, horizon), each from its own model.
 
     One anchor row per series meets at most 24 models. `first_horizon=0` places the observation one
-    step early, as the earlier project did.
+    step early.
     """
     observation_id = F.col("anchor_time") + F.col("horizon") - (1 - first_horizon)
     return (

@@ -3,6 +3,7 @@
 A fit run adds to every table once, for all targets together.
 """
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,8 +79,10 @@ def loss_rows(models: DataFrame) -> DataFrame:
     )
 
 
-def meta_rows(models: DataFrame) -> DataFrame:
-    return models.select("target", "model_id", F.current_date().alias("create_date"))
+def meta_rows(models: DataFrame, create_date: str | None = None) -> DataFrame:
+    """The given date, or today's in the session's time zone."""
+    date = F.current_date() if create_date is None else F.lit(create_date).cast("date")
+    return models.select("target", "model_id", date.alias("create_date"))
 
 
 def latest_models(model_storage: DataFrame) -> DataFrame:
@@ -144,6 +147,7 @@ class Registry:
         predictors: Sequence[str] = tuple(PREDICTORS),
         holdout: str = "fixed",
         max_rows: int | None = None,
+        create_date: str | None = None,
     ) -> DataFrame:
         """Give freshly fitted models their ids and store everything about them.
 
@@ -151,17 +155,13 @@ class Registry:
         whole run; runs on the same registry must follow one another.
         """
         models = with_model_ids(fitted, self.read("model_storage"))
-        path = f"{self.folder}/runs/{self.spark.sparkContext.applicationId}-{_run_number(self.spark)}"
+        path = f"{self.folder}/runs/{self.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
         models.write.parquet(path)
         models = self.spark.read.schema(models.schema).parquet(path)
         self.append("predictors", predictor_rows(models, predictors))
         self.append("record_ids", record_rows(ts, models, holdout, max_rows))
         self.append("fit_performance", loss_rows(models))
-        self.append("models", meta_rows(models))
+        self.append("models", meta_rows(models, create_date))
         # Last, so a run cut short leaves no model that looks complete.
         self.append("model_storage", model_rows(models))
         return models
-
-
-def _run_number(spark: SparkSession) -> str:
-    return spark.sql("SELECT replace(uuid(), '-', '')").first()[0]

@@ -5,17 +5,18 @@ from pyspark.sql import functions as F
 
 from tidecast.config import HORIZONS, MAX_HORIZON
 from tidecast.functions.expressions import by_frequency, frequency, horizons, max_horizon, metadata_rows, target_id
-from tidecast.operators.reference_tables import with_max_time
+from tidecast.operators.reference_tables import max_time
 from tidecast.operators.sequence import last_rows
 
 
 def in_sample(ts: DataFrame) -> DataFrame:
-    return ts.where(F.lower("sample_type") == "in")
+    """Sample types are in lower case in every loaded table, so the filter reaches the scan."""
+    return ts.where(F.col("sample_type") == "in")
 
 
 def series_extract(ts: DataFrame, sample_type: str, series_id: str | None = None) -> DataFrame:
     """One series, or all of them, in time order. Letter case of ids and sample types is ignored."""
-    rows = ts.where(F.lower("sample_type") == sample_type.lower())
+    rows = ts.where(F.col("sample_type") == sample_type.lower())
     if series_id is not None:
         rows = rows.where(F.lower("series_id") == series_id.lower())
     return rows.select("series_id", "time_index", "tourism").orderBy("series_id", "time_index")
@@ -28,11 +29,11 @@ def similarity_profile(
     the mean. All kinds come from one pass; the two filters pick one."""
     rows = ts.where(F.col("time_index") < before)
     if sample_type is not None:
-        rows = rows.where(F.lower("sample_type").like(f"%{sample_type}%"))
+        rows = rows.where(F.col("sample_type").like(f"%{sample_type}%"))
     if series_type is not None:
         rows = rows.where(F.lower("series_id").like(f"%{series_type}%"))
     profile = rows.groupBy(
-        frequency(F.col("series_id")).alias("series_type"), F.lower("sample_type").alias("sample_type"), "time_index"
+        frequency(F.col("series_id")).alias("series_type"), "sample_type", "time_index"
     ).agg(F.stddev_samp("tourism").alias("tourism_stddev"), F.avg("tourism").alias("tourism_avg"))
     return profile.withColumns(
         {
@@ -61,8 +62,8 @@ def validation_actuals(ts: DataFrame) -> DataFrame:
     )
 
 
-def oos_actuals(ts: DataFrame, phase_shift: bool = False, max_rows: int | None = None) -> DataFrame:
-    """Out-of-sample rows as the earlier project selected and numbered them.
+def oos_actuals(ts: DataFrame, phase_shift: bool = False) -> DataFrame:
+    """Out-of-sample rows with the bounds and numbering of the simple selection.
 
     With `phase_shift` the first rows are skipped but not re-numbered. Only monthly series have
     their own bounds; quarterly ones fall under the yearly rule.
@@ -74,8 +75,8 @@ def oos_actuals(ts: DataFrame, phase_shift: bool = False, max_rows: int | None =
     else:
         kept = time < F.when(monthly, 24).otherwise(1)
     return (
-        with_max_time(ts, max_rows)
-        .where((F.col("sample_type") == "oos") & kept)
+        ts.where((F.col("sample_type") == "oos") & kept)
+        .join(max_time(ts), "series_id")
         .select("series_id", (time + F.col("max_time")).alias("time_index"), "tourism")
     )
 
@@ -84,7 +85,6 @@ def oos_observations(
     ts: DataFrame,
     metadata_kept: bool = True,
     horizon_limits: dict[str, int] = HORIZONS,
-    max_rows: int | None = None,
 ) -> DataFrame:
     """Out-of-sample observations on the in-sample axis, with their step.
 
@@ -94,16 +94,16 @@ def oos_observations(
     skipped = metadata_rows(F.col("series_id")) if metadata_kept else F.lit(0)
     step = F.col("time_index") - skipped + 1
     return (
-        with_max_time(ts, max_rows)
-        .where(
+        ts.where(
             (F.col("sample_type") == "oos")
             & step.between(1, by_frequency(F.col("series_id"), horizon_limits))
         )
+        .join(max_time(ts), "series_id")
         .select("series_id", (F.col("max_time") + step).alias("time_index"), "tourism", step.alias("step"))
     )
 
 
 def paired_by_position(actuals: DataFrame) -> DataFrame:
-    """Number each series' actuals 1, 2, ... in time order, up to one more than the longest forecast."""
+    """Number each series' actuals 1, 2, ... in time order."""
     by_time = Window.partitionBy("series_id").orderBy("time_index")
-    return actuals.withColumn("step", F.row_number().over(by_time)).where(F.col("step") <= MAX_HORIZON + 1)
+    return actuals.withColumn("step", F.row_number().over(by_time))

@@ -21,9 +21,10 @@ def fit_and_store(
     candidates: Sequence[str] = CANDIDATES,
     holdout: str = "fixed",
     max_rows: int | None = None,
+    create_date: str | None = None,
 ) -> DataFrame:
     fitted = staged(fit_models(ts, predictors, candidates, holdout=holdout, max_rows=max_rows), "fitted")
-    return registry.add_models(fitted, ts, predictors, holdout, max_rows)
+    return registry.add_models(fitted, ts, predictors, holdout, max_rows, create_date)
 
 
 def new_registry(spark) -> Registry:
@@ -36,7 +37,7 @@ def current_models(registry: Registry) -> DataFrame:
 
 
 def actual_values(ts: DataFrame, pred_type: str, max_rows: int | None = None) -> DataFrame:
-    return validation_actuals(ts) if pred_type == "validation" else oos_observations(ts, max_rows=max_rows)
+    return validation_actuals(ts) if pred_type == "validation" else oos_observations(ts)
 
 
 def compare_methods(

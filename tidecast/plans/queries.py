@@ -22,6 +22,7 @@ ORACLES: dict[str, str] = {}
 BOUND = {"max_rows": MAX_SERIES_ROWS}
 # Used to run the path for series of unknown length on the short series at hand.
 SPLIT = {"max_rows": None, "chunk_rows": 40}
+STRETCH = 1.2345678
 
 
 def query(oracle: str | None = None, name: str | None = None):
@@ -45,25 +46,18 @@ def r(expression: str, digits: int, name: str) -> str:
 
 
 def single(df: DataFrame, *columns: str) -> DataFrame:
-    """Values of fitted models, in thousands and to the digits of single precision, which two ways
-    of fitting share. (Whole units of cents would often lie just between two such numbers.)"""
-    narrow = {c: (F.col(c) / 1000).cast("float").cast("double") for c in columns}
-    return rounded(df.withColumns(narrow), 9, *columns)
+    """Values of fitted models to the digits of single precision, which two ways of fitting share.
 
-
-def r1(expression: str, name: str) -> str:
-    return r(f"CAST(CAST(({expression}) / 1000 AS FLOAT) AS DOUBLE)", 9, name)
+    The values keep their units. They are stretched by a factor while they are cut, because whole cents
+    and halves of them would often lie just between two numbers of single precision.
+    """
+    plain = {c: F.when(F.abs(c) < 1e-6, 0.0).otherwise(F.col(c)) for c in columns}
+    return df.withColumns({c: (x * STRETCH).cast("float").cast("double") / STRETCH + 0.0 for c, x in plain.items()})
 
 
-def query(oracle: str | None = None, name: str | None = None):
-    def register(function):
-        key = name or function.__name__
-        QUERIES[key] = function
-        if oracle is not None:
-            ORACLES[key] = oracle
-        return function
-
-    return register
+def r1(expression: str, name: str) -> str:
+    plain = f"CASE WHEN abs({expression}) < 1e-6 THEN 0.0 ELSE {expression} END"
+    return f"CAST(CAST(({plain}) * {STRETCH}e0 AS FLOAT) AS DOUBLE) / {STRETCH}e0 + 0.0 AS {name}"
 
 
 # Sources
@@ -112,19 +106,46 @@ def unpivot(spark, sf_dir):
     return wide_csv.unpivot_wide(wide_sales(spark, sf_dir), "step", "in")
 
 
+# Six files: three frequencies, by the letter in front of the series ids, and two samples with different rows.
+SAMPLE_STEP = 100
+WIDE_FILES = """
+samples AS (
+  SELECT w.step, kind, quantity, CASE WHEN w.step < 100 THEN 'in' ELSE 'oos' END AS sample_type,
+         CASE WHEN w.step < 100 THEN pos ELSE pos - (SELECT count(*) FROM placed WHERE step < 100) END AS pos
+  FROM wide w JOIN placed p ON w.step = p.step),
+files(freq, skipped) AS (VALUES ('m', 3), ('q', 3), ('y', 2))
+"""
+
+
+def wide_files(spark, sf_dir):
+    """CSV folders of several ordered part files, each with its header."""
+    path, paths = tables.staging_path(spark, "wide"), []
+    wide = tables.staged(wide_sales(spark, sf_dir), "wide")
+    for freq, name in (("m", "monthly"), ("q", "quarterly"), ("y", "yearly")):
+        renamed = wide.withColumnsRenamed({k: freq + k[1:] for k in KINDS.values()})
+        for sample_type, kept in (("in", F.col("step") < SAMPLE_STEP), ("oos", F.col("step") >= SAMPLE_STEP)):
+            rows = renamed.where(kept).repartitionByRange(3, "step").sortWithinPartitions("step").drop("step")
+            paths.append(f"{path}/{name}_{sample_type}.csv")
+            rows.write.option("header", True).csv(paths[-1])
+    return paths
+
+
 @query(
-    f"WITH {WIDE} SELECT series_id, s.sample_type, CAST(pos - skipped AS INTEGER) AS time_index, "
-    "quantity AS tourism FROM wide JOIN kinds USING (kind) JOIN placed USING (step) "
-    "CROSS JOIN (VALUES ('in', 3), ('oos', 3)) s(sample_type, skipped) "
-    "WHERE quantity IS NOT NULL AND pos >= skipped"
+    f"WITH {WIDE}, {WIDE_FILES} SELECT freq || substr(series_id, 2) AS series_id, sample_type, "
+    "CAST(pos - skipped AS INTEGER) AS time_index, quantity AS tourism "
+    "FROM samples JOIN kinds USING (kind) CROSS JOIN files WHERE quantity IS NOT NULL AND pos >= skipped"
 )
 def wide_csv_ingest(spark, sf_dir):
-    path = tables.staging_path(spark, "wide")
-    # A file keeps rows in order, so it is written by one task; the calendar bounds its rows.
-    wide = wide_sales(spark, sf_dir).coalesce(1).sortWithinPartitions("step").drop("step")
-    for sample_type in ("in", "oos"):
-        wide.write.option("header", True).csv(f"{path}/monthly_{sample_type}.csv")
-    return wide_csv.read_wide_csv(spark, [f"{path}/monthly_in.csv", f"{path}/monthly_oos.csv"])
+    return wide_csv.read_wide_csv(spark, wide_files(spark, sf_dir))
+
+
+@query(
+    f"WITH {WIDE}, {WIDE_FILES} SELECT freq || substr(series_id, 2) AS series_id, sample_type, "
+    "CAST(pos AS INTEGER) AS time_index, quantity AS tourism "
+    "FROM samples JOIN kinds USING (kind) CROSS JOIN files WHERE quantity IS NOT NULL"
+)
+def wide_csv_ingest_kept(spark, sf_dir):
+    return wide_csv.read_wide_csv(spark, wide_files(spark, sf_dir), metadata="keep")
 
 
 @query(
@@ -360,17 +381,17 @@ def _oos_sql(kept: str) -> str:
 
 @query(_oos_sql("time_index < CASE WHEN left(series_id, 1) = 'm' THEN 24 ELSE 1 END"))
 def oos_actuals(spark, sf_dir):
-    return selection.oos_actuals(sales_series(spark, sf_dir), **BOUND)
+    return selection.oos_actuals(sales_series(spark, sf_dir))
 
 
 @query(_oos_sql("time_index > CASE WHEN left(series_id, 1) = 'm' THEN 2 ELSE 1 END"))
 def oos_actuals_shifted(spark, sf_dir):
-    return selection.oos_actuals(sales_series(spark, sf_dir), phase_shift=True, **BOUND)
+    return selection.oos_actuals(sales_series(spark, sf_dir), phase_shift=True)
 
 
 @query(f"WITH {sql.TIME_SERIES}, {sql.MAX_TIME}, {sql.OOS_ACTUALS} SELECT * FROM actuals")
 def oos_observations(spark, sf_dir):
-    return selection.oos_observations(sales_series(spark, sf_dir), **BOUND)
+    return selection.oos_observations(sales_series(spark, sf_dir))
 
 
 # Imputation and split
@@ -523,12 +544,12 @@ def fit_status(spark, sf_dir):
 
 # Registry
 
-def stored_models(spark, sf_dir, runs=("observation_id",)):
+def stored_models(spark, sf_dir, runs=("observation_id",), create_date=None):
     """A registry filled by one fit run per predictor, on the whole series table."""
     ts = tables.staged(sales_series(spark, sf_dir), "time_series")
     store = pipeline.new_registry(spark)
     for predictor in runs:
-        pipeline.fit_and_store(store, ts, [predictor], ("ols",), **BOUND)
+        pipeline.fit_and_store(store, ts, [predictor], ("ols",), create_date=create_date, **BOUND)
     return ts, store
 
 
@@ -587,9 +608,9 @@ def fit_performance(spark, sf_dir):
     return single(store.read("fit_performance"), "performance")
 
 
-@query(f"{ONE_RUN} SELECT target_id AS target, 1 AS model_id, current_date AS create_date FROM models")
+@query(f"{ONE_RUN} SELECT target_id AS target, 1 AS model_id, DATE '2020-02-29' AS create_date FROM models")
 def model_dates(spark, sf_dir):
-    _, store = stored_models(spark, sf_dir)
+    _, store = stored_models(spark, sf_dir, create_date="2020-02-29")
     return store.read("models")
 
 
@@ -781,7 +802,7 @@ def mase_direct(spark, sf_dir):
 def mase_direct_oos(spark, sf_dir):
     ts, models = line_models(spark, sf_dir)
     forecasts = forecast.direct_forecast(ts, models, "oos")
-    return _rounded_mase(evaluate.mase(forecasts, selection.oos_observations(ts, **BOUND), _scores(ts)))
+    return _rounded_mase(evaluate.mase(forecasts, selection.oos_observations(ts), _scores(ts)))
 
 
 @query(
@@ -790,7 +811,7 @@ def mase_direct_oos(spark, sf_dir):
         f", {sql.UNIFIED}, numbered AS (SELECT series_id, tourism, "
         "row_number() OVER (PARTITION BY series_id ORDER BY time_index) AS step FROM time_series "
         "WHERE sample_type = 'oos' AND time_index > CASE WHEN left(series_id, 1) = 'm' THEN 2 ELSE 1 END), "
-        "actuals AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM numbered WHERE step <= 25) "
+        "actuals AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM numbered) "
         "SELECT f.series_id, any_value(n) AS actuals, "
         + r1(f"CASE WHEN any_value(n) = any_value({sql.MAX_H.replace('series_id', 'f.series_id')}) THEN avg(abs(tourism - score)) / any_value(error) END", "mase")
         + " FROM direct f JOIN actuals a ON f.series_id = a.series_id AND step = horizon "
@@ -800,7 +821,7 @@ def mase_direct_oos(spark, sf_dir):
 def mase_by_position(spark, sf_dir):
     ts, models = line_models(spark, sf_dir)
     forecasts = forecast.direct_forecast(ts, models, "oos")
-    actuals = selection.oos_actuals(ts, phase_shift=True, **BOUND)
+    actuals = selection.oos_actuals(ts, phase_shift=True)
     return single(evaluate.mase_by_position(forecasts, actuals, _scores(ts)), "mase")
 
 
@@ -876,7 +897,7 @@ def forecast_bands(spark, sf_dir):
     models = pipeline.current_models(store)
     bands = evaluate.forecast_bands(
         forecast.direct_forecast(ts, models, "oos"),
-        selection.oos_observations(ts, **BOUND),
+        selection.oos_observations(ts),
         evaluate.error_bounds(models, store.read("fit_performance")),
     )
     return single(bands, "score", "lower", "upper")

@@ -1,6 +1,5 @@
 """Stored tables: reading, appending, and staging of intermediate results."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +22,7 @@ def append_time_series(rows: DataFrame, path: str) -> None:
     """Append long rows, one folder per sample type. Rows of a series end up near each other."""
     (
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schemas.TIME_SERIES])
+        .withColumn("sample_type", F.lower("sample_type"))
         .repartitionByRange("series_id", "sample_type", "time_index")
         .sortWithinPartitions("sample_type", "series_id", "time_index")
         .write.mode("append")
@@ -37,16 +37,22 @@ def read_time_series(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it; a local one is made only if unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tidecast-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    """Folder all executors can reach: the one the cluster names, or else the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tidecast/{spark.sparkContext.applicationId}"
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tidecast/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all that this application has staged, when its results are no longer read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
