@@ -19,16 +19,17 @@ from tidecast.sources.tables import staged
 def training_columns(n, seed=0):
     rng = np.random.default_rng(seed)
     y = rng.normal(1000, 50, n)
-    return np.arange(13, 13 + n), y, rng.normal(1000, 50, (n, 36)), rng.integers(-1, 3, n)
+    return np.arange(13, 13 + n), y, rng.normal(1000, 50, (n, 36)), rng.integers(-1, 3, n), np.ones((n, 36), dtype=bool)
 
 
 def test_ridge_equals_closed_form(monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_ROWS", 17)  # several blocks
     rows, horizons = training_columns(90), np.array([1, 5, 24])
-    sums, n_validation = lm.product_sums(rows, horizons, PREDICTORS, 3, None)
-    coefs = lm.fit_candidates(sums, horizons, ["naive", "trend", "ridge:0.1", "ols"], PREDICTORS, "m")
+    shift = lm.shifts(PREDICTORS, 990.0, 13)
+    sums, n_validation = lm.product_sums(rows, horizons, PREDICTORS, 3, None, shift)
+    coefs = lm.fit_candidates(sums, horizons, ["naive", "trend", "ridge:0.1", "ols"], PREDICTORS, "m", shift)
     errors = lm.error_sums(rows, horizons, PREDICTORS, coefs, None)
-    time_index, y, lags, fold_ = rows
+    time_index, y, lags, fold_, _ = rows
     assert list(n_validation) == [(fold_ < 0).sum()] * 3
     for i, h in enumerate(horizons):
         x = np.column_stack(
@@ -61,22 +62,24 @@ def mixed(spark):
     rows += series("m2", 100 + 20 * np.sin(t * np.pi / 6) + rng.normal(0, 1, 110))
     rows += series("m3", rng.normal(50, 5, 110))
     rows += series("m4", np.where(t == 5, np.inf, rng.normal(50, 5, 110)))
+    rows += series("m6", np.where(t == 40, np.nan, rng.normal(50, 5, 110)))
+    rows += series("m7", [None if i in (30, 61) else float(v) for i, v in enumerate(rng.normal(50, 5, 110))])
     rows += series("q1", rng.normal(50, 5, 60)) + series("y1", range(9)) + series("m5", [4.0] * 70)
     return staged(spark.createDataFrame(rows, TS), "mixed")
 
 
 def test_chunked_fit_equals_whole_fit(mixed):
-    finite = mixed.where("series_id <> 'm4'")
     keys = ["series_id", "horizon"]
-    whole = fit_models(finite, max_rows=1000).toPandas().sort_values(keys).reset_index(drop=True)
-    chunked = fit_models(finite, chunk_rows=32).toPandas().sort_values(keys).reset_index(drop=True)
-    assert len(whole) == len(chunked) and set(whole["series_id"]) == {"m1", "m2", "m3", "m5", "q1"}
-    steady = whole["series_id"].isin(["m2", "m3"])
+    whole = fit_models(mixed, max_rows=1000).toPandas().sort_values(keys).reset_index(drop=True)
+    chunked = fit_models(mixed, chunk_rows=32).toPandas().sort_values(keys).reset_index(drop=True)
+    assert len(whole) == len(chunked) and set(whole["series_id"]) == {"m1", "m2", "m3", "m4", "m5", "m6", "m7", "q1"}
+    steady = whole["series_id"].isin(["m2", "m3", "m4", "m6", "m7"])
     assert (whole["family"] == chunked["family"])[steady].all()
     for column in ("n_train", "n_validation"):
         assert (whole[column] == chunked[column]).all()
     for column in ("cv_mae", "train_mae", "validation_mae"):
         np.testing.assert_allclose(whole[column], chunked[column], rtol=1e-6, atol=1e-6)
+    assert ((whole["fill"].isna()) == (~whole["series_id"].isin(["m4", "m6", "m7"]))).all()
     line = whole[whole["series_id"] == "m1"]
     np.testing.assert_allclose(line["cv_mae"], 0, atol=1e-6)
 
@@ -89,6 +92,36 @@ def test_infinite_values_are_replaced_by_medians(mixed):
     np.testing.assert_allclose(np.array(list(whole["coef"])), np.array(list(chunked["coef"])), rtol=1e-6, atol=1e-6)
 
 
+def test_small_spread_on_a_high_level(spark):
+    rng = np.random.default_rng(1)
+    values = 1e6 + np.cumsum(rng.normal(0, 1, 300))
+    ts = spark.createDataFrame(series("m1", values), TS)
+    got = fit_models(ts, ["lag_1"], ("ols",)).where("horizon = 1").first()
+    t = np.arange(13, 300 - 25)
+    from_rows = ts.select("series_id", F.col("time_index"), purpose(F.col("series_id"), F.col("time_index")).alias("p"))
+    train = np.array([r.p == "train" for r in from_rows.orderBy("time_index").collect()])[t]
+    slope = np.polyfit(values[t - 2][train] - 1e6, values[t][train], 1)[0]
+    assert got.coef[1 + PREDICTORS.index("lag_1")] == pytest.approx(slope, rel=1e-6)
+
+
+def test_rows_are_chosen_by_horizon(spark):
+    values = [None if i == 40 else float(i % 7) for i in range(110)]
+    ts = spark.createDataFrame(series("m1", values), TS)
+    used = {r.horizon: r.n_train + r.n_validation for r in fit_models(ts, ["lag_1"], ("ols",)).collect()}
+    for h in (1, 6, 24):
+        usable = [t for t in range(110 - 25) if t >= h + 12 and t != 40 and t - h - 12 != 40]
+        assert used[h] == len(usable)
+
+
+def test_scores_use_the_stored_medians(spark, mixed, tmp_path):
+    ts = mixed.where("series_id in ('m4', 'm6', 'm7')")
+    store = Registry(spark, str(tmp_path / "registry")).create()
+    fit_and_store(store, ts, ["lag_1", "lag_5"], ("ridge:0.1",))
+    scores = forecast.train_scores(ts, scoring_models(store.read("model_storage")))
+    checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance")).collect()
+    assert checked and all(r["pass"] for r in checked)
+
+
 def test_split_does_not_depend_on_partitions(mixed):
     rows = mixed.select(
         "series_id", "time_index", purpose(F.col("series_id"), F.col("time_index")).alias("p"),
@@ -103,7 +136,7 @@ def test_split_does_not_depend_on_partitions(mixed):
 
 
 def test_status_and_trend(mixed):
-    fitted = fit_models(mixed.where("series_id <> 'm4'"), ["observation_id"], ("ols",), max_rows=1000)
+    fitted = fit_models(mixed, ["observation_id"], ("ols",), max_rows=1000)
     status = {(r.series_id, r.horizon): r.status for r in target_status(mixed, fitted).collect()}
     assert status[("y1", 1)] == "no_training_rows" and status[("m1", 24)] == "fitted"
     trend = {r.series_id: r for r in trend_models(mixed, max_rows=1000).collect()}
@@ -112,7 +145,7 @@ def test_status_and_trend(mixed):
 
 @pytest.fixture(scope="module")
 def models(spark, mixed):
-    fitted = fit_models(mixed.where("series_id <> 'm4'"), candidates=("ridge:0.1",), max_rows=1000)
+    fitted = fit_models(mixed.where("series_id NOT IN ('m4', 'm6', 'm7')"), candidates=("ridge:0.1",), max_rows=1000)
     return staged(fitted.withColumn("model_id", F.lit(1)), "models")
 
 

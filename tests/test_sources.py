@@ -73,16 +73,19 @@ def test_stored_series(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(sample_type" in plan
 
 
-@pytest.mark.parametrize("median_rows", [1_000_000, 10])
-def test_imputation(spark, median_rows):
+@pytest.mark.parametrize("parts", [None, 30])
+def test_imputation(spark, parts):
     rows = [("a", "1", "idk"), ("a", "-", "5"), ("a", "2", " 7 "), ("a", "3", "inf"), ("a", None, "9"), ("a", "4", "nan")]
     rows += [("b", str(i), str(i % 7)) for i in range(200)] + [("b", "9", "what")]
+    rows += [("c", str(i), "idk") for i in range(30)] + [(None, "1", "2"), (None, "2", "idk")]
     df = spark.createDataFrame(rows, "k string, y string, x string")
-    got = impute(df, ["k"], ["x"], "y", median_rows=median_rows).collect()
+    got = impute(df, ["k"], ["x"], "y", parts=parts).collect()
     a = sorted((r.y, r.x) for r in got if r.k == "a")
     assert a == [(1.0, 8.0), (2.0, 7.0), (3.0, 8.0), (4.0, 8.0)]  # median of 5, 7, 9, inf
     assert [r.x for r in got if r.k == "b" and r.y == 9.0 and r.x not in (2.0,)] == [3.0]
-    assert len(got) == 4 + 201
+    assert [r.x for r in got if r.k == "c"] == [None] * 30
+    assert sorted((r.y, r.x) for r in got if r.k is None) == [(1.0, 2.0), (2.0, 2.0)]
+    assert len(got) == 4 + 201 + 30 + 2
 
 
 def test_large_medians_equal_numpy(spark):
@@ -91,7 +94,7 @@ def test_large_medians_equal_numpy(spark):
     groups["half"] = np.array([1.0] * 500 + [2.0] * 500)
     rows = [(k, float(v)) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, v double")
-    got = dict(exact_medians(df, ["k"], ["v"], median_rows=100).collect())
+    got = dict(exact_medians(df, ["k"], ["v"], parts=50).collect())
     assert got == pytest.approx({k: float(np.median(v)) for k, v in groups.items()}, rel=1e-15)
 
 

@@ -63,11 +63,16 @@ def parse_number(text: Column, missing: str) -> Column:
     return F.nullif(F.trim(text.cast("string")), F.lit(missing)).try_cast("double")
 
 
-def linear_score(coef: Column, observation_id: Column, lags: list[Column]) -> Column:
+def linear_score(coef: Column, observation_id: Column, lags: list[Column], fill: Column | None = None) -> Column:
     """Dot product of a coefficient array (intercept, then the predictors in order) and a row.
 
-    Only one month flag is 1, so the twelve month terms are one look-up.
+    Only one month flag is 1, so the twelve month terms are one look-up. A lag that is not finite is
+    replaced by the model's own value in `fill`, if it has one.
     """
+    if fill is not None:
+        lags = [
+            F.when(is_finite(lag), lag).otherwise(F.coalesce(F.get(fill, F.lit(k)), lag)) for k, lag in enumerate(lags)
+        ]
     terms = [coef[0], coef[1] * observation_id]
     terms += [coef[2 + k] * lag for k, lag in enumerate(lags)]
     terms.append(F.get(coef, 2 + N_LAGS + (observation_id % N_MONTHS).cast("int")))

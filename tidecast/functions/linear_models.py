@@ -1,8 +1,9 @@
 """Linear models from sums of products (numpy, inside tasks), for all horizons of a series at once.
 
 A model is fitted from the matrix of summed products of its columns, whose size depends on the
-number of predictors only, never on the number of rows. The sums can be built per block of rows,
-or per chunk of a series, and added.
+number of predictors only, never on the number of rows. The sums are built per block of rows and per
+chunk of a series, and added. Values are taken relative to a shift near the level of their series,
+so that a small spread on a high level is not lost.
 """
 
 import numpy as np
@@ -13,7 +14,7 @@ BLOCK_ROWS = 512
 
 
 def blocks(rows):
-    """Split the (time_index, y, lags, fold) columns into blocks of bounded size."""
+    """Split the (time_index, y, lags, fold, present) columns into blocks of bounded size."""
     for start in range(0, len(rows[0]), BLOCK_ROWS):
         yield tuple(column[start : start + BLOCK_ROWS] for column in rows)
 
@@ -21,10 +22,11 @@ def blocks(rows):
 def design(rows, horizons, predictors, medians=None):
     """x (horizons, rows, 1 + predictors), y and a mask of rows with all lags for the horizon.
 
-    Rows without all lags are zero, so they add nothing to sums of products or of errors.
-    Non-finite predictor values are replaced by `medians` (horizons, 1 + predictors) if given.
+    A horizon's rows are those whose furthest lag is not NULL (`present`). Others are zero, so they add
+    nothing to sums of products or of errors. Non-finite predictor values, NULL ones among them, are
+    replaced by `medians` (horizons, 1 + predictors).
     """
-    time_index, y, lags, _ = rows
+    time_index, y, lags, _, present = rows
     n = len(time_index)
     x = np.empty((len(horizons), n, 1 + len(predictors)))
     x[:, :, 0] = 1.0
@@ -38,48 +40,75 @@ def design(rows, horizons, predictors, medians=None):
             x[:, :, column] = time_index
         else:
             raise ValueError(f"unknown predictor {name!r}")
-    full = ~np.isnan(lags[:, horizons + N_LAGS - 1].T)
+    full = present[:, horizons + N_LAGS - 1].T
     if medians is not None:
         x = np.where(np.isfinite(x), x, medians[:, None, :])
     return np.where(full[:, :, None], x, 0.0), np.where(full, y, 0.0), full
 
 
-def medians(rows, horizons, predictors):
-    """Column medians per horizon over all its rows; None if every value is finite."""
-    lags = rows[2]
-    if not np.isinf(lags).any():
-        return None
-    found = []
-    for horizon in horizons:
-        x, _, full = design(rows, np.array([horizon]), predictors)
-        found.append(np.median(x[0][full[0]], axis=0) if full.any() else np.zeros(x.shape[2]))
-    return np.array(found)
+def shifts(predictors, level, time):
+    """What is taken from each column of [1, x, y]: the level from values, a time from times."""
+    kinds = [name.rpartition("_")[0] for name in predictors]
+    return np.array([0.0, *[{"lag": level, "observation": time}.get(kind, 0.0) for kind in kinds], level])
 
 
-def product_sums(rows, horizons, predictors, folds, fill):
-    """Summed products of [x, y] per horizon and fold of train rows, and validation row counts."""
+def product_sums(rows, horizons, predictors, folds, fill, shift):
+    """Per horizon and fold of train rows: summed products of shifted [1, x, y], and below them the least
+    and the greatest value of each column; and per horizon the number of validation rows."""
     width = 2 + len(predictors)
-    sums = np.zeros((len(horizons), folds, width, width))
+    sums = np.zeros((len(horizons), folds, width + 2, width))
+    sums[:, :, width], sums[:, :, width + 1] = np.inf, -np.inf
     validation = np.zeros(len(horizons), dtype=int)
     for block in blocks(rows):
         x, y, full = design(block, horizons, predictors, fill)
-        z = np.concatenate([x, y[:, :, None]], axis=2)
+        z = np.where(full[:, :, None], np.concatenate([x, y[:, :, None]], axis=2) - shift, 0.0)
         for f in range(folds):
-            part = z[:, block[3] == f]
-            sums[:, f] += part.transpose(0, 2, 1) @ part
+            at = block[3] == f
+            part, seen = z[:, at], full[:, at, None]
+            sums[:, f, :width] += part.transpose(0, 2, 1) @ part
+            if at.any():
+                low, high = np.where(seen, part, np.inf).min(axis=1), np.where(seen, part, -np.inf).max(axis=1)
+                sums[:, f, width] = np.minimum(sums[:, f, width], low)
+                sums[:, f, width + 1] = np.maximum(sums[:, f, width + 1], high)
         validation += full[:, block[3] < 0].sum(axis=1)
     return sums, validation
 
 
+def added(total, part):
+    """Two results of `product_sums` together."""
+    width = part.shape[-1]
+    out = total + part
+    out[..., width, :] = np.minimum(total[..., width, :], part[..., width, :])
+    out[..., width + 1, :] = np.maximum(total[..., width + 1, :], part[..., width + 1, :])
+    return out
+
+
+def without_each(sums):
+    """The sums with each fold left out in turn, then with none."""
+    width, folds = sums.shape[-1], sums.shape[1]
+    kept = [[g for g in range(folds) if g != f] for f in [*range(folds), folds]]
+    parts = []
+    for which in kept:
+        part = np.zeros((sums.shape[0], *sums.shape[2:]))
+        part[:, width], part[:, width + 1] = np.inf, -np.inf
+        for g in which:
+            part = added(part, sums[:, g])
+        parts.append(part)
+    return np.stack(parts, axis=1)
+
+
 def standardised(sums):
-    """Correlations and scales of the columns, from summed products of [1, x, y]."""
+    """Correlations and scales of the columns, from `product_sums`. A column whose least value is its
+    greatest does not vary."""
+    width = sums.shape[-1]
+    low, high = sums[..., width, 1:-1], sums[..., width + 1, 1:-1]
+    sums = sums[..., :width, :]
     n = sums[..., 0, 0]
     with np.errstate(divide="ignore", invalid="ignore"):
         means = sums[..., 0, 1:] / n[..., None]
         centred = sums[..., 1:, 1:] / n[..., None, None] - means[..., :, None] * means[..., None, :]
-        squares = np.diagonal(sums, axis1=-2, axis2=-1)[..., 1:-1] / n[..., None]
         variance = np.diagonal(centred, axis1=-2, axis2=-1)[..., :-1]
-        used = variance > 1e-9 * squares
+        used = (low < high) & (variance > 0)
     scale = np.sqrt(np.where(used, variance, 1.0))
     both = used[..., :, None] & used[..., None, :]
     left = np.where(both, centred[..., :-1, :-1] / (scale[..., :, None] * scale[..., None, :]), 0.0)
@@ -105,15 +134,14 @@ def solve(columns, penalty):
     return np.concatenate([intercept[..., None], slopes], axis=-1)
 
 
-def fit_candidates(sums, horizons, candidates, predictors, frequency):
+def fit_candidates(sums, horizons, candidates, predictors, frequency, shift):
     """Coefficients (horizons, candidates, folds + 1, width); NaN where a model cannot be fitted.
 
     Each fold's model leaves that fold out, the last one uses all train rows. `naive` repeats the
     value one season back, `trend` is a line through time, `ridge:<penalty>` and `ols` use all
-    predictors.
+    predictors. Coefficients are for plain values, without the shift.
     """
-    total = sums.sum(axis=1, keepdims=True)
-    parts = np.concatenate([total - sums, total], axis=1)
+    parts = without_each(sums)
     columns = standardised(parts)
     width = 1 + len(predictors)
     coefs = np.full((len(horizons), len(candidates), parts.shape[1], width), np.nan)
@@ -138,6 +166,8 @@ def fit_candidates(sums, horizons, candidates, predictors, frequency):
             coefs[:, place] = solve(columns, float(penalty or 0.0))
         else:
             raise ValueError(f"unknown candidate {candidate!r}")
+        if kind != "naive":
+            coefs[:, place, :, 0] += shift[-1] - coefs[:, place, :, 1:] @ shift[1:-1]
     return coefs
 
 

@@ -1,8 +1,8 @@
 """One model per (series, horizon), chosen among candidates by cross-validated absolute error.
 
-Series with a known length bound are fitted in one pass, a series per group. Without a bound a
-series is handled chunk by chunk: product sums per chunk are added up and solved, then each chunk
-is scored with the solutions and the errors are added up. No group grows with the series.
+Series of every length are handled alike, chunk by chunk: product sums per chunk are added up and
+solved, then each chunk is scored with the solutions and the errors are added up. A short series is
+one chunk. No group grows with the series.
 """
 
 from collections.abc import Sequence
@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tidecast
-from tidecast.config import CHUNK_ROWS, HORIZONS, N_LAGS, PREDICTORS
+from tidecast.config import CHUNK_ROWS, HORIZONS, LAG_NAMES, MAX_HORIZON, N_LAGS, PREDICTORS
 from tidecast.functions import linear_models as lm
 from tidecast.functions.expressions import is_finite, max_horizon, target_id
 from tidecast.operators.features import future_limit, lagged_rows, per_horizon
 from tidecast.operators.impute import exact_medians
 from tidecast.operators.selection import in_sample
-from tidecast.operators.sequence import chunk_of, fits_one_task, with_lags
+from tidecast.operators.sequence import chunk_of, with_lags
 from tidecast.operators.split import fold as fold_of
 from tidecast.sources.tables import staged
 
@@ -37,7 +37,7 @@ CANDIDATE_TYPE = (
 FITTED_SCHEMA = (
     f"series_id string, horizon int, n_train long, n_validation long, candidates array<{CANDIDATE_TYPE}>"
 )
-SUMS_SCHEMA = "series_id string, horizon int, n_validation long, sums array<double>"
+SUMS_SCHEMA = "series_id string, horizon int, n_validation long, shift array<double>, sums array<double>"
 SOLVED_SCHEMA = "series_id string, horizon int, n_train long, n_validation long, coefs array<double>"
 ERRORS_SCHEMA = "series_id string, horizon int, place int, cv double, train double, validation double"
 
@@ -51,19 +51,15 @@ def fit_models(
     max_rows: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """(series_id, horizon, target, family, coef, cv_mae, train_mae, validation_mae, n_train,
-    n_validation): the chosen model. A target without training rows has no model and no row."""
-    if fits_one_task(max_rows):
-        # Fitting costs far more time per byte than Spark expects when it merges small partitions,
-        # so ask for the configured number; the lag windows and the fit share this one shuffle.
-        parallel = int(ts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ts = in_sample(ts).repartition(parallel, "series_id")
-    rows = training_rows(ts, folds, holdout, max_rows, chunk_rows)
-    args = (list(predictors), list(candidates), folds)
-    if fits_one_task(max_rows):
-        fitted = rows.groupBy("series_id").applyInArrow(_fit_series(*args), FITTED_SCHEMA)
-    else:
-        fitted = _fit_chunked(in_sample(ts), rows, *args, chunk_rows)
+    """(series_id, horizon, target, family, coef, fill, cv_mae, train_mae, validation_mae, n_train,
+    n_validation): the chosen model. A target without training rows has no model and no row.
+
+    `fill` has the medians that stand for lag_1 to lag_12 where they are not finite; it is NULL for a
+    series without such values. `max_rows` only chooses how lags are windowed.
+    """
+    ts = in_sample(ts)
+    rows = staged(training_rows(ts, folds, holdout, max_rows, chunk_rows), "training-rows")
+    fitted = _fit_chunked(ts, rows, list(predictors), list(candidates), folds, chunk_rows)
     # Structs compare field by field, so the least one has the least error, then the first place.
     return fitted.withColumn("best", F.array_min("candidates")).select(
         "series_id",
@@ -71,6 +67,7 @@ def fit_models(
         target_id(F.col("series_id"), F.col("horizon")).alias("target"),
         "best.family",
         "best.coef",
+        "fill",
         "best.cv_mae",
         "best.train_mae",
         "best.validation_mae",
@@ -80,12 +77,13 @@ def fit_models(
 
 
 def training_rows(ts, folds, holdout, max_rows, chunk_rows):
-    """Each training row once, with all its lags and its fold; horizons are cut out later."""
+    """Each row that any horizon trains on, with all its lags and its fold; horizons are cut out later."""
+    furthest = F.slice("lags", N_LAGS + 1, MAX_HORIZON)  # the twelfth lag of every horizon
     return (
         lagged_rows(ts, max_rows, chunk_rows)
         .where(
             (F.col("future_record_count") > future_limit(holdout))
-            & F.get("lags", F.lit(N_LAGS)).isNotNull()
+            & F.exists(furthest, lambda lag: lag.isNotNull())
             & is_finite(F.col("tourism"))
         )
         .select(
@@ -99,13 +97,15 @@ def training_rows(ts, folds, holdout, max_rows, chunk_rows):
 
 
 def _columns(table):
-    """numpy columns of training rows; NULL lags become NaN."""
-    lags = table["lags"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    """numpy columns of training rows. NULL and NaN lags are both NaN; `present` tells them apart."""
+    lags = table["lags"].combine_chunks().flatten()
+    shape = (len(table), -1)
     return (
         table["time_index"].to_numpy(),
         table["tourism"].to_numpy(),
-        lags.reshape(len(table), -1),
+        lags.to_numpy(zero_copy_only=False).reshape(shape),
         table["fold"].to_numpy(),
+        lags.is_valid().to_numpy(zero_copy_only=False).reshape(shape),
     )
 
 
@@ -124,25 +124,6 @@ def _horizons(frequency):
     return np.arange(1, HORIZONS[frequency] + 1)
 
 
-def _fit_series(predictors, candidates, folds):
-    def fit(table: pa.Table) -> pa.Table:
-        rows = _columns(table)
-        series_id = table["series_id"][0].as_py()
-        freq = _frequency(series_id)
-        horizons = _horizons(freq)
-        fill = lm.medians(rows, horizons, predictors)
-        sums, n_validation = lm.product_sums(rows, horizons, predictors, folds, fill)
-        coefs = lm.fit_candidates(sums, horizons, candidates, predictors, freq)
-        errors = lm.error_sums(rows, horizons, predictors, coefs, fill)
-        n_train = sums[:, :, 0, 0].sum(axis=1).astype(int)
-        return _fitted_table(
-            [series_id] * len(horizons), horizons, n_train, n_validation, coefs[:, :, -1], errors,
-            candidates, predictors,
-        )
-
-    return fit
-
-
 CANDIDATE_ARROW = pa.struct(
     [
         ("cv_mae", pa.float64()),
@@ -156,7 +137,9 @@ CANDIDATE_ARROW = pa.struct(
 KEY_ARROW = [("series_id", pa.string()), ("horizon", pa.int32())]
 COUNT_ARROW = [("n_train", pa.int64()), ("n_validation", pa.int64())]
 FITTED_ARROW = pa.schema([*KEY_ARROW, *COUNT_ARROW, ("candidates", pa.list_(CANDIDATE_ARROW))])
-SUMS_ARROW = pa.schema([*KEY_ARROW, ("n_validation", pa.int64()), ("sums", pa.list_(pa.float64()))])
+SUMS_ARROW = pa.schema(
+    [*KEY_ARROW, ("n_validation", pa.int64()), ("shift", pa.list_(pa.float64())), ("sums", pa.list_(pa.float64()))]
+)
 SOLVED_ARROW = pa.schema([*KEY_ARROW, *COUNT_ARROW, ("coefs", pa.list_(pa.float64()))])
 ERRORS_ARROW = pa.schema(
     [*KEY_ARROW, ("place", pa.int32()), *[(n, pa.float64()) for n in ("cv", "train", "validation")]]
@@ -209,7 +192,14 @@ def _table(rows, schema):
 
 def _fit_chunked(ts, rows, predictors, candidates, folds, chunk_rows):
     rows = rows.withColumn("chunk", chunk_of("time_index", chunk_rows))
-    rows = rows.join(_medians(ts, rows, predictors), "series_id", "left")
+    levels = rows.groupBy("series_id").agg(F.avg("tourism").alias("level"), F.min("time_index").alias("start"))
+    medians = _medians(ts, rows)
+    if medians is None:
+        known = levels.withColumn("medians", F.lit(None).cast(MEDIANS_TYPE))
+    else:
+        known = levels.join(medians, "series_id", "left")
+    known = staged(known, "levels")
+    rows = rows.join(known, "series_id")
     sums = rows.groupBy("series_id", "chunk").applyInArrow(_chunk_sums(predictors, folds), SUMS_SCHEMA)
     # Sums of one target pass through one task as a stream, one small matrix per chunk and fold.
     solved = (
@@ -221,7 +211,7 @@ def _fit_chunked(ts, rows, predictors, candidates, folds, chunk_rows):
     solved = staged(solved, "solved")
     models = solved.groupBy("series_id").agg(F.collect_list(F.struct("horizon", "coefs")).alias("models"))
     per_chunk = (
-        ts.select("series_id", chunk_of("time_index", chunk_rows).alias("chunk"))
+        rows.select("series_id", "chunk")
         .distinct()
         .join(models, "series_id")
         .select(F.col("series_id").alias("model_series"), F.col("chunk").alias("model_chunk"), "models")
@@ -235,47 +225,68 @@ def _fit_chunked(ts, rows, predictors, candidates, folds, chunk_rows):
         .groupBy("series_id", "horizon")
         .agg(F.sort_array(F.collect_list(F.struct("place", "cv", "train", "validation"))).alias("errors"))
     )
-    return errors.join(solved, ["series_id", "horizon"]).mapInArrow(
+    fitted = errors.join(solved, ["series_id", "horizon"]).mapInArrow(
         _describe(predictors, candidates, folds), FITTED_SCHEMA
     )
+    if medians is None:
+        return fitted.withColumn("fill", F.lit(None).cast("array<double>"))
+    own = F.filter("medians", lambda m: m["horizon"] == F.col("horizon"))
+    return fitted.join(known.select("series_id", "medians"), "series_id").withColumn("fill", F.get(own, F.lit(0))["lags"])
+
+
+MEDIANS_TYPE = "array<struct<horizon: int, lags: array<double>>>"
+
 
+def _medians(ts, rows):
+    """Per series, the medians of lag_1 to lag_12 for each horizon, over the horizon's training rows.
 
-def _medians(ts, rows, predictors):
-    """Per series, the flattened (horizon, lag) medians; only series with a non-finite value."""
-    names = [p for p in predictors if p.startswith("lag_")]
+    Only series with a non-finite value need them; None if there is no such series. A lag without any
+    value has the median 0.
+    """
     marked = ts.where(~is_finite(F.col("tourism"))).select("series_id").distinct()
-    if not names:
-        return marked.withColumn("medians", F.array().cast("array<double>"))
+    if not marked.head(1):
+        return None
     features = per_horizon(
         rows.join(marked, "series_id", "left_semi").withColumn("future_record_count", F.lit(0))
     ).where(F.col(f"lag_{N_LAGS}").isNotNull())
-    by_horizon = F.sort_array(F.collect_list(F.struct("horizon", F.array(*names).alias("lags"))))
+    lags = F.array(*[F.coalesce(name, F.lit(0.0)) for name in LAG_NAMES])
+    by_horizon = F.sort_array(F.collect_list(F.struct(F.col("horizon").cast("int").alias("horizon"), lags.alias("lags"))))
     return (
-        exact_medians(features, ["series_id", "horizon"], names)
+        exact_medians(features, ["series_id", "horizon"], LAG_NAMES)
         .groupBy("series_id")
-        .agg(F.flatten(by_horizon.getField("lags")).alias("medians"))
+        .agg(by_horizon.cast(MEDIANS_TYPE).alias("medians"))
     )
 
 
 def _chunk_medians(table, horizons, predictors):
     """Medians per horizon for the columns of the design, or None if all values are finite."""
-    names = [p for p in predictors if p.startswith("lag_")]
     found = table["medians"][0].as_py()
-    if not found or not names:
+    if not found:
         return None
-    by_horizon = np.array(found, dtype=float).reshape(-1, len(names))
     fill = np.zeros((len(horizons), 1 + len(predictors)))
-    fill[: len(by_horizon), [1 + predictors.index(name) for name in names]] = by_horizon
+    at = [(1 + i, LAG_NAMES.index(name)) for i, name in enumerate(predictors) if name in LAG_NAMES]
+    for row in found:
+        for column, lag in at:
+            fill[np.asarray(horizons) == row["horizon"], column] = row["lags"][lag]
     return fill
 
 
+def _chunk_shift(table, predictors):
+    return lm.shifts(predictors, table["level"][0].as_py(), table["start"][0].as_py())
+
+
 def _chunk_sums(predictors, folds):
     def chunk_sums(table: pa.Table) -> pa.Table:
         series_id = table["series_id"][0].as_py()
         horizons = _horizons(_frequency(series_id))
         fill = _chunk_medians(table, horizons, predictors)
-        sums, n_validation = lm.product_sums(_columns(table), horizons, predictors, folds, fill)
-        out = [(series_id, h, n_validation[i], sums[i].ravel()) for i, h in enumerate(horizons)]
+        shift = _chunk_shift(table, predictors)
+        sums, n_validation = lm.product_sums(_columns(table), horizons, predictors, folds, fill, shift)
+        out = [
+            (series_id, h, n_validation[i], shift, sums[i].ravel())
+            for i, h in enumerate(horizons)
+            if n_validation[i] or sums[i, :, 0, 0].any()
+        ]
         return _table(out, SUMS_ARROW)
 
     return chunk_sums
@@ -284,32 +295,32 @@ def _chunk_sums(predictors, folds):
 def _add_and_solve(predictors, candidates, folds):
     side = 2 + len(predictors)
 
-    def solved(key, total, n_validation):
+    def solved(key, total, n_validation, shift):
         series_id, horizon = key
         n_train = int(total[:, 0, 0].sum())
-        if not n_train + n_validation:
-            return []
         coefs = lm.fit_candidates(
-            total[None], np.array([horizon]), candidates, predictors, _frequency(series_id)
+            total[None], np.array([horizon]), candidates, predictors, _frequency(series_id), shift
         )
         return [(series_id, horizon, n_train, n_validation, coefs.ravel())]
 
     def add(batches):
-        key, total, n_validation = None, None, 0
+        key, total, n_validation, shift = None, None, 0, None
         for batch in batches:
             out = []
-            parts = _numbers(batch["sums"], (-1, folds, side, side))
+            parts = _numbers(batch["sums"], (-1, folds, side + 2, side))
+            row_shifts = _numbers(batch["shift"], (-1, side))
             keys = zip(batch["series_id"].to_pylist(), batch["horizon"].to_pylist())
-            for row_key, part, validation in zip(keys, parts, batch["n_validation"].to_pylist()):
+            for row_key, part, row_shift, validation in zip(keys, parts, row_shifts, batch["n_validation"].to_pylist()):
                 if row_key != key:
                     if key is not None:
-                        out += solved(key, total, n_validation)
-                    key, total, n_validation = row_key, 0.0, 0
-                total = total + part
-                n_validation += validation
+                        out += solved(key, total, n_validation, shift)
+                    key, total, n_validation, shift = row_key, part, validation, row_shift
+                else:
+                    total = lm.added(total, part)
+                    n_validation += validation
             yield from _table(out, SOLVED_ARROW).to_batches()
         if key is not None:
-            yield from _table(solved(key, total, n_validation), SOLVED_ARROW).to_batches()
+            yield from _table(solved(key, total, n_validation, shift), SOLVED_ARROW).to_batches()
 
     return add
 

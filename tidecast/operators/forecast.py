@@ -1,6 +1,6 @@
 """Scoring, direct and recursive forecasts. All scoring is JVM-side arithmetic on coefficient arrays."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import LAG_NAMES, N_LAGS, PREDICTORS
@@ -31,6 +31,12 @@ def aligned_coefficients(models: DataFrame, predictors: DataFrame) -> DataFrame:
     )
 
 
+def fill_of(models: DataFrame) -> Column:
+    """The stored replacements of lags that are not finite; NULL for models without any."""
+    stored = F.col("fill") if "fill" in models.columns else F.lit(None)
+    return stored.cast("array<double>").alias("fill")
+
+
 def batch_score(features: DataFrame, models: DataFrame) -> DataFrame:
     """Add `score` to feature rows from the model of their (series_id, horizon).
 
@@ -39,9 +45,9 @@ def batch_score(features: DataFrame, models: DataFrame) -> DataFrame:
     """
     lags = [F.col(name) for name in LAG_NAMES]
     return (
-        features.join(models.select("series_id", "horizon", "model_id", "coef"), ["series_id", "horizon"])
-        .withColumn("score", linear_score(F.col("coef"), F.col("observation_id"), lags))
-        .drop("coef")
+        features.join(models.select("series_id", "horizon", "model_id", "coef", fill_of(models)), ["series_id", "horizon"])
+        .withColumn("score", linear_score(F.col("coef"), F.col("observation_id"), lags, F.col("fill")))
+        .drop("coef", "fill")
     )
 
 
@@ -54,7 +60,7 @@ def train_scores(
     with bounded series the rows are not shuffled again after their lags are built.
     """
     per_series = models.groupBy("series_id").agg(
-        F.collect_list(F.struct("horizon", "model_id", "coef")).alias("models")
+        F.collect_list(F.struct("horizon", "model_id", "coef", fill_of(models))).alias("models")
     )
     lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
     rows = lagged.join(per_series, "series_id").select(
@@ -67,7 +73,7 @@ def train_scores(
         "model_id",
         F.col("time_index").alias("observation_id"),
         F.col("tourism").alias("target"),
-        linear_score(F.col("coef"), F.col("time_index"), lags).alias("score"),
+        linear_score(F.col("coef"), F.col("time_index"), lags, F.col("fill")).alias("score"),
     )
 
 
@@ -80,7 +86,7 @@ def direct_forecast(ts: DataFrame, models: DataFrame, pred_type: str, first_hori
     observation_id = F.col("anchor_time") + F.col("horizon") - (1 - first_horizon)
     return (
         anchors(ts, pred_type)
-        .join(models.select("series_id", "horizon", "model_id", "coef"), "series_id")
+        .join(models.select("series_id", "horizon", "model_id", "coef", fill_of(models)), "series_id")
         .where(F.col("horizon") <= max_horizon(F.col("series_id")))
         .select(
             "series_id",
@@ -88,7 +94,7 @@ def direct_forecast(ts: DataFrame, models: DataFrame, pred_type: str, first_hori
             target_id(F.col("series_id"), F.col("horizon")).alias("target"),
             "model_id",
             (F.col("anchor_time") + F.col("horizon")).alias("time_index"),
-            linear_score(F.col("coef"), observation_id, [F.col(n) for n in LAG_NAMES]).alias("score"),
+            linear_score(F.col("coef"), observation_id, [F.col(n) for n in LAG_NAMES], F.col("fill")).alias("score"),
         )
     )
 
@@ -109,7 +115,7 @@ def recursive_forecast(ts: DataFrame, models: DataFrame, pred_type: str, feed: s
     def step(state, j):
         recent = state["recent"]
         used = [F.get(recent, F.lit(first_lag + k)) for k in range(N_LAGS)]
-        score = linear_score(F.col("coef"), F.col("anchor_time") + j, used)
+        score = linear_score(F.col("coef"), F.col("anchor_time") + j, used, F.col("fill"))
         return F.struct(
             F.slice(F.concat(F.array(score), recent), 1, len(known)).alias("recent"),
             F.concat(state["scores"], F.array(score)).alias("scores"),
@@ -121,7 +127,7 @@ def recursive_forecast(ts: DataFrame, models: DataFrame, pred_type: str, feed: s
     steps = F.sequence(F.lit(1), max_horizon(F.col("series_id")))
     return (
         anchors(ts, pred_type)
-        .join(models.where("horizon = 1").select("series_id", "model_id", "coef"), "series_id")
+        .join(models.where("horizon = 1").select("series_id", "model_id", "coef", fill_of(models)), "series_id")
         .select(
             "series_id",
             "model_id",

@@ -30,7 +30,7 @@ def with_model_ids(fitted: DataFrame, model_storage: DataFrame) -> DataFrame:
 
 
 def model_rows(models: DataFrame) -> DataFrame:
-    return models.select("target", "model_id", "family", "coef")
+    return models.select("target", "model_id", "family", "coef", "fill")
 
 
 def predictor_rows(models: DataFrame, predictors: Sequence[str] = tuple(PREDICTORS)) -> DataFrame:

@@ -440,8 +440,25 @@ def impute_median(spark, sf_dir):
 
 @query(IMPUTE_SQL)
 def impute_median_large_groups(spark, sf_dir):
-    rows = gappy_rows(spark, sf_dir)
-    return impute(rows, ["series_id", "sample_type"], ["near", "far"], "target", median_rows=50)
+    """The same in many ranges of values, so that most groups lie in several."""
+    return impute(gappy_rows(spark, sf_dir), ["series_id", "sample_type"], ["near", "far"], "target", parts=400)
+
+
+@query(
+    f"WITH {sql.TIME_SERIES}, {GAPS}, own AS (SELECT series_id, sample_type, time_index, target, "
+    "CASE WHEN left(series_id, 1) = 'q' THEN NULL ELSE near END AS near, far FROM numbers WHERE target IS NOT NULL), "
+    "own_medians AS (SELECT series_id, sample_type, median(CASE WHEN NOT isnan(near) THEN near END) AS near_median, "
+    "median(far) AS far_median FROM (SELECT series_id, sample_type, far, CASE WHEN left(series_id, 1) = 'q' THEN NULL "
+    "ELSE near END AS near FROM numbers) n GROUP BY series_id, sample_type) "
+    "SELECT series_id, sample_type, time_index, target, "
+    "CASE WHEN near IS NULL OR isnan(near) OR isinf(near) THEN near_median ELSE near END AS near, "
+    "coalesce(far, far_median) AS far FROM own JOIN own_medians USING (series_id, sample_type)"
+)
+def impute_all_missing_group(spark, sf_dir):
+    """Quarterly series have no `near` at all: their rows stay, with NULL."""
+    missing = F.when(F.col("series_id").startswith("q"), F.lit("idk")).otherwise(F.col("near"))
+    rows = gappy_rows(spark, sf_dir).withColumn("near", missing)
+    return impute(rows, ["series_id", "sample_type"], ["near", "far"], "target")
 
 
 @query(
@@ -516,6 +533,64 @@ def fit_one_lag_split(spark, sf_dir):
     return _lag_line(fit_models(ts, ["lag_12"], ("ols",), chunk_rows=60))
 
 
+# The same series with values missing by a rule, and far above zero.
+GAPPY_SERIES = sql.TIME_SERIES.replace("time_series AS (", "full_series AS (") + """,
+time_series AS (
+  SELECT series_id, sample_type, time_index,
+         CASE WHEN sample_type = 'oos' THEN tourism WHEN time_index % 29 = 7 THEN NULL
+              WHEN time_index % 31 = 8 THEN 'nan'::DOUBLE WHEN time_index % 37 = 9 THEN 'inf'::DOUBLE ELSE tourism END AS tourism
+  FROM full_series)
+"""
+GAPPY_TRAIN = f"""{sql.LAG_FEATURES},
+usable AS (SELECT *, CASE WHEN substr(md5(series_id || '|' || CAST(observation_id AS VARCHAR)), 1, 2) >= 'c0'
+                         THEN 'validation' ELSE 'train' END AS purpose
+           FROM lag_features
+           WHERE lag_12 IS NOT NULL AND future_record_count > 24 AND target IS NOT NULL AND isfinite(target)),
+fills AS (SELECT series_id, horizon, coalesce(median(CASE WHEN NOT isnan(lag_1) THEN lag_1 END), 0) AS fill
+          FROM usable GROUP BY series_id, horizon),
+train AS (SELECT u.* REPLACE (CASE WHEN lag_1 IS NOT NULL AND isfinite(lag_1) THEN lag_1 ELSE fill END AS lag_1)
+          FROM usable u JOIN fills f ON u.series_id = f.series_id AND u.horizon = f.horizon)
+"""
+
+
+def _lag_fit_sql(series, train):
+    return (
+        f"WITH {series}, {train}, {sql.models('lag_1')} SELECT series_id, CAST(horizon AS INTEGER) AS horizon, "
+        f"{r1('b', 'slope')}, n_train, {r('train_mae', 3, 'train_mae')} FROM models"
+    )
+
+
+def _lag_fit(ts):
+    fitted = fit_models(tables.staged(ts, "time_series"), ["lag_1"], ("ols",), **BOUND)
+    slope = F.get("coef", F.lit(1 + PREDICTORS.index("lag_1")))
+    out = fitted.select("series_id", "horizon", slope.alias("slope"), "n_train", "train_mae")
+    return single(rounded(out, 3, "train_mae"), "slope")
+
+
+@query(_lag_fit_sql(GAPPY_SERIES, GAPPY_TRAIN))
+def fit_with_gaps(spark, sf_dir):
+    """NULL, NaN and infinite values: rows are chosen by horizon, other lags filled by medians."""
+    t, inside = F.col("time_index"), F.col("sample_type") == "in"
+    gappy = (
+        F.when(~inside, F.col("tourism")).when(t % 29 == 7, F.lit(None)).when(t % 31 == 8, float("nan"))
+        .when(t % 37 == 9, float("inf")).otherwise(F.col("tourism"))
+    )
+    return _lag_fit(sales_series(spark, sf_dir).withColumn("tourism", gappy))
+
+
+@query(
+    _lag_fit_sql(
+        sql.TIME_SERIES.replace("time_series AS (", "full_series AS (")
+        + ", time_series AS (SELECT * REPLACE (1e6 + tourism / 1e5 AS tourism) FROM full_series)",
+        sql.TRAIN,
+    )
+)
+def fit_high_level(spark, sf_dir):
+    """A small spread on a high level still has its slope."""
+    raised = F.lit(1e6) + F.col("tourism") / F.lit(1e5)
+    return _lag_fit(sales_series(spark, sf_dir).withColumn("tourism", raised))
+
+
 @query(_line_sql("observation_id"))
 def fit_trend(spark, sf_dir):
     return _line(one_predictor_models(spark, sf_dir, "observation_id"), "observation_id")

@@ -10,7 +10,9 @@ def _schema(**columns: T.DataType) -> T.StructType:
 STRING, INT, DOUBLE, DATE = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
 
 TIME_SERIES = _schema(series_id=STRING, sample_type=STRING, time_index=INT, tourism=DOUBLE)
-MODEL_STORAGE = _schema(target=STRING, model_id=INT, family=STRING, coef=T.ArrayType(DOUBLE))
+MODEL_STORAGE = _schema(
+    target=STRING, model_id=INT, family=STRING, coef=T.ArrayType(DOUBLE), fill=T.ArrayType(DOUBLE)
+)
 PREDICTORS = _schema(target=STRING, model_id=INT, predictor_index=INT, predictor=STRING)
 RECORD_IDS = _schema(target=STRING, model_id=INT, purpose=STRING, observation_id=INT)
 FIT_PERFORMANCE = _schema(
