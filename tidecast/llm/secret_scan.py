@@ -3,7 +3,7 @@
 The formats are probabilistic automata. The letters of a labelled credential become classes, the
 credentials of one kind form a prefix tree, and states of the tree whose futures agree statistically
 are merged, which leaves a small automaton with loops. A candidate is scored by its likelihood under
-each automaton against its likelihood by how classes follow each other in all texts.
+each automaton against its likelihood by how classes follow each other in all other text.
 """
 
 from __future__ import annotations
@@ -190,23 +190,31 @@ class Formats:
 
 
 def corpus_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """All base secrets with their kinds, and how often each class follows another in all texts."""
+    """All base secrets with their kinds, and how often each class follows another in all other text."""
 
     def scan(batches):
         moves = np.zeros((END + 1) ** 2, dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 column = part.column("text")
-                classes = CLASS_OF_BYTE[texts_of(column).data]
-                moves += np.bincount(classes[:-1] * (END + 1) + classes[1:], minlength=len(moves))
+                moves += moves_in(texts_of(column).data)
                 *signs, _ = signs_of(column)
                 rows = []
                 for i in np.flatnonzero(signs[0] | signs[1] | signs[2]):
                     found = base_matches(column[int(i)].as_py(), tuple(bool(s[i]) for s in signs))
                     rows += {(kind, secret, None, None) for _, kind, _, secret in found}
+                    at = 0
+                    for start, _, end, _ in found:  # secrets are not ordinary text
+                        inside = column[int(i)].as_py()[max(at, start) : end].encode()
+                        moves -= moves_in(np.frombuffer(inside, dtype=np.uint8))
+                        at = max(at, end)
                 yield as_batch(rows)
         yield as_batch([(None, None, i, int(n)) for i, n in enumerate(moves) if n])
 
+    def moves_in(data):
+        classes = CLASS_OF_BYTE[data]
+        return np.bincount(classes[:-1] * (END + 1) + classes[1:], minlength=(END + 1) ** 2)
+
     def as_batch(rows):
         types = (pa.int32(), pa.string(), pa.int32(), pa.int64())
         columns = list(zip(*rows)) or [[]] * 4
@@ -218,7 +226,7 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     found = staged(text.mapInArrow(scan, "kind int, secret string, move int, times long"), "secrets")
     moves = np.ones((END + 1) ** 2)
     for row in found.filter("move is not null").groupBy("move").agg(F.sum("times").alias("times")).collect():
-        moves[row["move"]] += row["times"]
+        moves[row["move"]] += max(0, row["times"])
     return found.filter("kind is not null").select("kind", "secret"), moves.reshape(END + 1, END + 1)
 
 
