@@ -139,10 +139,15 @@ def evaluate_fit(
     scores: DataFrame,
     record_ids: DataFrame,
     fit_performance: DataFrame,
+    models: DataFrame | None = None,
     loss_function: str = LOSS,
     tolerance: float = FIT_TOLERANCE,
 ) -> DataFrame:
-    """Compare the loss on the stored rows, scored again, with the loss stored at fitting."""
+    """Compare the loss on the stored rows, scored again, with the loss stored at fitting.
+
+    With `models` (target, model_id), the ones that were scored, a loss that is missing on either side
+    fails the check instead of leaving it.
+    """
     repeated = (
         recorded_scores(scores, record_ids)
         .groupBy("target", "model_id", "purpose")
@@ -151,7 +156,8 @@ def evaluate_fit(
     stored = fit_performance.where(F.lower("loss_function") == loss_function.lower()).select(
         "target", "model_id", "purpose", F.col("performance").alias("stored")
     )
-    difference = F.abs(F.col("stored") - F.col("repeated"))
-    return repeated.join(stored, ["target", "model_id", "purpose"]).select(
-        "target", "model_id", "purpose", "stored", "repeated", (difference < tolerance).alias("pass")
-    )
+    if models is not None:
+        stored = stored.join(models.select("target", "model_id").distinct(), ["target", "model_id"], "left_semi")
+    passed = F.coalesce(F.abs(F.col("stored") - F.col("repeated")) < tolerance, F.lit(False))
+    joined = repeated.join(stored, ["target", "model_id", "purpose"], "inner" if models is None else "full")
+    return joined.select("target", "model_id", "purpose", "stored", "repeated", passed.alias("pass"))

@@ -9,25 +9,20 @@ from tidecast.operators.features import anchors, future_limit, lagged_rows
 
 
 def aligned_coefficients(models: DataFrame, predictors: DataFrame) -> DataFrame:
-    """Bring coefficients stored in the order of each model's own predictor list into the standard
-    order of all 25 predictors, with 0 for those a model does not use."""
-    listed = predictors.groupBy("target", "model_id").agg(
-        F.sort_array(F.collect_list(F.struct("predictor_index", F.trim("predictor").alias("predictor")))).alias(
-            "listed"
-        )
-    )
-    by_name = F.map_from_arrays(F.col("listed.predictor"), F.slice("coef", F.lit(2), F.size("listed")))
+    """Stored models reduced to the predictors listed for them.
+
+    Coefficients are stored for all 25 predictors in one order; those of predictors that are not listed
+    become 0. A model without any listed predictor is left out.
+    """
+    listed = predictors.groupBy("target", "model_id").agg(F.collect_set(F.trim("predictor")).alias("listed"))
+    used = [
+        F.when(F.array_contains("listed", name), F.get("coef", F.lit(1 + i))).otherwise(0.0)
+        for i, name in enumerate(PREDICTORS)
+    ]
     return (
         models.join(listed, ["target", "model_id"])
-        .withColumn("_by_name", by_name)
-        .withColumn(
-            "coef",
-            F.array(
-                F.get("coef", F.lit(0)),
-                *[F.coalesce(F.try_element_at("_by_name", F.lit(p)), F.lit(0.0)) for p in PREDICTORS],
-            ),
-        )
-        .drop("listed", "_by_name")
+        .withColumn("coef", F.array(F.get("coef", F.lit(0)), *used))
+        .drop("listed")
     )
 
 

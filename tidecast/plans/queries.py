@@ -1,6 +1,7 @@
 """One query per operator over the whole derived series table, each with its SQL where there is one."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -756,6 +757,80 @@ def batch_score(spark, sf_dir):
     return single(scored.select("series_id", "horizon", "observation_id", "score"), "score")
 
 
+@query(
+    f"{TWO_RUNS} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 2 AS model_id, observation_id, "
+    f"{r1('a + b * observation_id', 'score')} FROM train t JOIN second m ON t.series_id = m.series_id AND t.horizon = m.horizon"
+)
+def score_by_predictors(spark, sf_dir):
+    """The newest models, through the list of predictors stored for them."""
+    ts, store = stored_models(spark, sf_dir, ("lag_12", "observation_id"))
+    newest = registry.latest_models(store.read("model_storage"))
+    models = registry.scoring_models(forecast.aligned_coefficients(newest, store.read("predictors")))
+    scores = forecast.train_scores(ts, models, **BOUND)
+    return single(scores.select("series_id", "horizon", "model_id", "observation_id", "score"), "score")
+
+
+@query(
+    f"{TWO_RUNS} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, "
+    f"{r('a + b * lag_12', 3, 'score')} FROM train t JOIN first m ON t.series_id = m.series_id AND t.horizon = m.horizon"
+)
+def score_model_id(spark, sf_dir):
+    """A chosen model of each target instead of the newest."""
+    ts, store = stored_models(spark, sf_dir, ("lag_12", "observation_id"))
+    models = registry.scoring_models(store.read("model_storage").where("model_id = 1"))
+    scores = forecast.train_scores(ts, models, **BOUND)
+    return rounded(scores.select("series_id", "horizon", "model_id", "observation_id", "score"), 3, "score")
+
+
+@query(
+    f"{ONE_RUN}, counted AS (SELECT 'model_storage' AS name, count(*) AS rows FROM models UNION ALL "
+    "SELECT 'predictors', count(*) FROM models UNION ALL SELECT 'models', count(*) FROM models UNION ALL "
+    "SELECT 'fit_performance', count(train_mae) + count(validation_mae) FROM models UNION ALL "
+    "SELECT 'record_ids', count(*) FROM train t JOIN models m ON t.series_id = m.series_id AND t.horizon = m.horizon) "
+    "SELECT name, rows, 0 AS duplicates FROM counted"
+)
+def registry_keys(spark, sf_dir):
+    """Rows of the five registry tables and how many key values occur more than once."""
+    _, store = stored_models(spark, sf_dir)
+    checks = [
+        store.read(name)
+        .groupBy(*KEYS[name])
+        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("duplicates"))
+        .select(F.lit(name).alias("name"), "rows", F.col("duplicates").cast("int").alias("duplicates"))
+        for name in store_tables()
+    ]
+    return reduce(DataFrame.unionAll, checks)
+
+
+def store_tables():
+    return [name for name in KEYS if name != "time_series"]
+
+
+# The model search: two candidates over the same folds as SQL can fit them.
+SEARCH_SQL = f"""WITH {sql.TIME_SERIES}, {sql.TRAIN},
+folded AS (SELECT *, CAST('0x' || substr(md5(series_id || '|' || CAST(observation_id AS VARCHAR)), 3, 4) AS INTEGER) % 3 AS fold,
+                  CASE {sql.SEASON} - horizon % {sql.SEASON} {" ".join(f"WHEN {k} THEN lag_{k}" for k in range(1, 13))} END AS season
+           FROM train WHERE purpose = 'train'),
+lines AS (SELECT f.series_id, f.horizon, g.fold,
+                 CASE WHEN min(observation_id) < max(observation_id) THEN regr_slope(target, observation_id) ELSE 0 END AS b,
+                 CASE WHEN min(observation_id) < max(observation_id) THEN regr_intercept(target, observation_id) ELSE avg(target) END AS a
+          FROM folded f JOIN (VALUES (0), (1), (2)) g(fold) ON f.fold <> g.fold GROUP BY 1, 2, 3),
+naive AS (SELECT series_id, horizon, avg(abs(season - target)) AS cv, count(*) AS n FROM folded GROUP BY 1, 2),
+trend AS (SELECT f.series_id, f.horizon, CASE WHEN count(*) = count(a) THEN avg(abs(a + b * observation_id - target)) END AS cv
+          FROM folded f LEFT JOIN lines l ON f.series_id = l.series_id AND f.horizon = l.horizon AND f.fold = l.fold GROUP BY 1, 2)
+SELECT n.series_id, CAST(n.horizon AS INTEGER) AS horizon, n AS n_train,
+       CASE WHEN t.cv < n.cv - 1e-6 THEN 'trend' ELSE 'naive' END AS family, {r1('CASE WHEN t.cv < n.cv THEN t.cv ELSE n.cv END', 'cv_mae')}
+FROM naive n JOIN trend t ON n.series_id = t.series_id AND n.horizon = t.horizon"""
+
+
+@query(SEARCH_SQL)
+def fit_search(spark, sf_dir):
+    """The chosen candidate of each target and its cross-validated error."""
+    fitted = fit_models(sales_series(spark, sf_dir), candidates=("naive", "trend"), **BOUND).where("n_train > 0")
+    return single(fitted.select("series_id", "horizon", "n_train", "family", "cv_mae"), "cv_mae")
+
+
 @query(
     f"{ONE_RUN} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, target, "
     f"{r1('a + b * observation_id', 'score')} FROM train t JOIN models m ON t.series_id = m.series_id AND t.horizon = m.horizon"
@@ -997,8 +1072,9 @@ def evaluate_fit_all_predictors(spark, sf_dir):
     ts = tables.staged(sales_series(spark, sf_dir), "time_series")
     store = pipeline.new_registry(spark)
     pipeline.fit_and_store(store, ts, **BOUND)
-    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
-    return evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"))
+    models = pipeline.current_models(store)
+    scores = forecast.train_scores(ts, models, **BOUND)
+    return evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"), models)
 
 
 def full_models(spark, sf_dir):
