@@ -731,8 +731,9 @@ def train_residuals(spark, sf_dir):
 )
 def evaluate_fit(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
-    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
-    checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"))
+    models = pipeline.current_models(store)
+    scores = forecast.train_scores(ts, models, **BOUND)
+    checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"), models)
     return single(
         checked.select("target", "model_id", "purpose", "repeated", F.col("pass").cast("int").alias("passed")),
         "repeated",
