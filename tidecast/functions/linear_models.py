@@ -74,6 +74,22 @@ def product_sums(rows, horizons, predictors, folds, fill, shift):
     return sums, validation
 
 
+def packed(sums):
+    """The last two axes of `product_sums` in one: products are symmetric, half of them is enough."""
+    width = sums.shape[-1]
+    upper = np.triu_indices(width)
+    return np.concatenate([sums[..., upper[0], upper[1]], sums[..., width, :], sums[..., width + 1, :]], axis=-1)
+
+
+def unpacked(flat, width):
+    upper, n = np.triu_indices(width), width * (width + 1) // 2
+    sums = np.empty((*flat.shape[:-1], width + 2, width))
+    sums[..., upper[0], upper[1]] = flat[..., :n]
+    sums[..., upper[1], upper[0]] = flat[..., :n]
+    sums[..., width, :], sums[..., width + 1, :] = flat[..., n : n + width], flat[..., n + width :]
+    return sums
+
+
 def added(total, part):
     """Two results of `product_sums` together."""
     width = part.shape[-1]

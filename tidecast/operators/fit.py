@@ -283,7 +283,7 @@ def _chunk_sums(predictors, folds):
         shift = _chunk_shift(table, predictors)
         sums, n_validation = lm.product_sums(_columns(table), horizons, predictors, folds, fill, shift)
         out = [
-            (series_id, h, n_validation[i], shift, sums[i].ravel())
+            (series_id, h, n_validation[i], shift, lm.packed(sums[i]).ravel())
             for i, h in enumerate(horizons)
             if n_validation[i] or sums[i, :, 0, 0].any()
         ]
@@ -307,7 +307,7 @@ def _add_and_solve(predictors, candidates, folds):
         key, total, n_validation, shift = None, None, 0, None
         for batch in batches:
             out = []
-            parts = _numbers(batch["sums"], (-1, folds, side + 2, side))
+            parts = lm.unpacked(_numbers(batch["sums"], (-1, folds, side * (side + 1) // 2 + 2 * side)), side)
             row_shifts = _numbers(batch["shift"], (-1, side))
             keys = zip(batch["series_id"].to_pylist(), batch["horizon"].to_pylist())
             for row_key, part, row_shift, validation in zip(keys, parts, row_shifts, batch["n_validation"].to_pylist()):
