@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 # The package's code travels with the tasks.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -41,6 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
+        pa.default_memory_pool().release_unused()
         start = stop
 
 

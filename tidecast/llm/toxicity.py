@@ -23,7 +23,8 @@ DISCOUNT = 0.75
 MARGINS = (2.0, 4.0, 6.0, 8.0)
 # A class keeps the windows that make up at least this share of its windows: 2 ** 19 of them at most.
 WINDOW_SHARE = 1 / (1 << 19)
-HELD_ENTRIES = 2_000_000
+SLICE_BYTES = 2 << 20  # of text; its windows take some thirty times as much
+HELD_ENTRIES = 1_000_000
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 5
 
@@ -74,7 +75,7 @@ def window_counts(rows: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 pieces = pieces_of(texts_of(part.column("text")))
                 toxic = part.column("label").to_numpy(zero_copy_only=False).astype(bool)[pieces.doc]
                 keys, owner = windows(pieces.distinct)
@@ -152,7 +153,8 @@ def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> To
         own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[inside]
         logs.append(np.log(own + left[inside] * shared))
         unseen.append(np.log(left))
-    return ToxicityModel(grams, logs[0] - logs[1], contexts, unseen[0] - unseen[1])
+    narrow = np.float32
+    return ToxicityModel(grams, (logs[0] - logs[1]).astype(narrow), contexts, (unseen[0] - unseen[1]).astype(narrow))
 
 
 def logistic(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
@@ -207,7 +209,7 @@ def evidence_column(docs: DataFrame, model: ToxicityModel, margins, text: str =
     @F.arrow_udf("array<double>")
     def evidence(column: pa.Array) -> pa.Array:
         batch, model = pa.RecordBatch.from_arrays([column], ["text"]), ToxicityModel(**shared.value)
-        found = [model.evidence(texts_of(part.column(0)), margins) for part in slices(batch, "text")]
+        found = [model.evidence(texts_of(part.column(0)), margins) for part in slices(batch, "text", SLICE_BYTES)]
         flat = np.concatenate(found).ravel() if found else np.zeros(0)
         return pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * len(margins), pa.array(flat))
 
