@@ -26,9 +26,9 @@ FREQUENT_SHINGLES = 1 << 18  # bound on the shingles that are known to be freque
 LEAST_FREQUENT = 8
 HELD_SHINGLES = 4_000_000
 SMALL_CELL = 24
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
-PREFIXES = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>"
+PREFIXES = "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, bits binary"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -73,6 +73,28 @@ def fingerprint(values: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray
     return mixed(sums[starts[1:]] - sums[starts[:-1]] + (starts[1:] - starts[:-1]).astype(np.uint64))
 
 
+def bitmaps(values: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """For each set a bitmap of two to four bits per member, a power of two long."""
+    n = np.diff(starts)
+    length = 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    ends = np.zeros(len(n) + 1, dtype=np.int64)
+    np.cumsum(length, out=ends[1:])
+    doc = np.repeat(np.arange(len(n)), n)
+    bits = np.zeros(ends[-1], dtype=np.uint8)
+    bits[ends[:-1][doc] + (mixed(values + np.uint64(5)) & (length[doc] - 1).astype(np.uint64)).astype(np.int64)] = 1
+    packed, ends = np.packbits(bits, bitorder="little"), ends // 8
+    return [packed[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+
+
+def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """A bound on the size of the intersection: a member whose bit the other lacks is not shared."""
+    if len(x) > len(y):
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     """Shingles that many different texts share, sorted; FREQUENT_SHINGLES of them at most.
 
@@ -117,7 +139,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """For each text the size of its set, fingerprints of set and prefix, and the prefix."""
+    """For each text the size of its set, fingerprints of set and prefix, the prefix and a bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -143,8 +165,9 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                     *(pa.array(fingerprint(values, starts, salt).view(np.int64)) for salt in (1, 2)),
                     *(pa.array(fingerprint(ordered, ends, salt).view(np.int64)) for salt in (3, 4)),
                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ordered.view(np.int64))),
+                    pa.array(bitmaps(values, starts), pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, PREFIXES
@@ -163,11 +186,25 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "cid long, shingles binary").dropDuplicates(["cid"])
+    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "cid long, shingles binary")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes with 100 * intersection >= percent * union.
 
+    Bitmaps, some thirty times smaller than sets, rule out most other pairs; the sets of the rest are
+    made from their texts and compared whole.
+    """
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes with 100 * intersection >= percent * union."""
+    def possible(batches):
+        for batch in batches:
+            good = []
+            for x, n, y, m in zip(*(batch.column(c) for c in ("left_bits", "left_n", "right_bits", "right_n"))):
+                x, y = (np.frombuffer(z.as_buffer(), dtype=np.uint8) for z in (x, y))
+                n, m = n.as_py(), m.as_py()
+                both = most_shared(x, n, y, m)
+                good.append(100 * both >= percent * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     def check(batches):
         for batch in batches:
@@ -178,11 +215,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    left = bits.select(F.col("cid").alias("a"), F.col("n").alias("left_n"), F.col("bits").alias("left_bits"))
+    right = bits.select(F.col("cid").alias("b"), F.col("n").alias("right_n"), F.col("bits").alias("right_bits"))
+    likely = pairs.select("a", "b").join(left, "a").join(right, "b")
+    likely = staged(likely.mapInArrow(possible, "a long, b long"), "likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = staged(whole_sets(docs, wanted, size), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("right_set"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set").mapInArrow(
-        check, "a long, b long"
-    )
+    return likely.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +264,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     """
     rows = staged(prefixes(docs, size, percent, frequent_shingles(docs, size)), "prefixes")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = staged(some.groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("cid")), "classes")
+    classes = staged(some.groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("cid"), F.first("bits").alias("bits")), "classes")
     groups = staged(
         some.groupBy("n", "p1", "p2").agg(F.min("doc_id").alias("gid"), F.first("prefix").alias("prefix")), "groups"
     )
@@ -270,8 +311,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
         .select("cell", "cid", "n")
     )
     work = staged(inside.union(between).union(many), "work")
-    sets = staged(whole_sets(docs, work.select(F.col("cid").alias("doc_id")).distinct(), size), "sets")
-
+    bits = classes.select("cid", "n", "bits")
     found, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         labelled = work.withColumn("component", F.col("cid"))
@@ -296,7 +336,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
         pairs = with_pivot.union(remaining_pairs(rest))
         pairs = pairs.filter(compatible(F.col("n1"), F.col("n2"), percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = staged(verified(pairs, sets, percent), "verified")
+        new = staged(verified(docs, staged(pairs, "pairs"), bits, size, percent), "verified")
         found = new if found is None else found.union(new)
         labels = components(found)
         # A pivot has been compared with its whole cell; small cells are done.
