@@ -6,6 +6,7 @@ the bound is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -32,6 +33,15 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: a worker waits for its next task without holding it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with at most `limit` bytes of text, one row at least."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0)
@@ -41,8 +51,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(start, stop - start)
-        pa.default_memory_pool().release_unused()
         start = stop
+    give_back_memory()
 
 
 @dataclass
