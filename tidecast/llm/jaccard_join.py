@@ -22,9 +22,10 @@ from tidecast.llm.joins import checked, without
 from tidecast.llm.text_batches import Texts, lower_ascii, slices, texts_of, words_of
 from tidecast.sources.tables import staged
 
-FREQUENT_SHINGLES = 1 << 18  # bound on the shingles that are known to be frequent
-LEAST_FREQUENT = 8
-HELD_SHINGLES = 4_000_000
+FREQUENT_SHINGLES = 1 << 21  # bound on the shingles that are known to be frequent
+LEAST_FREQUENT = 4
+SLICE_BYTES = 2 << 20
+HELD_SHINGLES = 2_000_000
 SMALL_CELL = 24
 PIVOT_ROUNDS = 2
 
@@ -95,44 +96,47 @@ def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that many different texts share, sorted; FREQUENT_SHINGLES of them at most.
+def prefix_lengths(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
 
-    Each task counts its shingles over texts with different sets and reports those it met twice or more.
-    The bound is on total counts: fewer than FREQUENT_SHINGLES can have the share asked for. The list
-    sets the order of shingles only; the result does not depend on it.
+
+def frequent_shingles(docs: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Shingles that many texts share, sorted; FREQUENT_SHINGLES of them at most.
+
+    Counted are the shingles that would be in a text's prefix if the order were by hash alone: those are
+    the entries of an index that frequent shingles would crowd. Each task counts over texts with different
+    sets. The least count is chosen so that no more than FREQUENT_SHINGLES can reach it. The list sets the
+    order of shingles only; the result does not depend on it.
     """
 
     def count(batches):
-        held, seen, n, total = [], set(), 0, 0
+        held, seen, n = [], set(), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 values, starts = shingle_sets(texts_of(part.column("text")), size)
-                fresh = np.zeros(len(starts) - 1, dtype=bool)
+                lengths = np.diff(starts)
+                fresh = np.zeros(len(lengths), dtype=bool)
                 for i, print_ in enumerate(fingerprint(values, starts, 1).tolist()):
                     fresh[i] = print_ not in seen
                     seen.add(print_)
-                held.append(values[np.repeat(fresh, np.diff(starts))])
+                place = np.arange(len(values)) - np.repeat(starts[:-1], lengths)
+                wanted = place < np.repeat(np.where(fresh, prefix_lengths(lengths, percent), 0), lengths)
+                held.append(values[wanted])
                 n += len(held[-1])
-                total += len(held[-1])
                 if n > HELD_SHINGLES:
                     yield report(held)
                     held, seen, n = [], set(), 0
         if held:
             yield report(held)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["shingle", "times"])
 
     def report(held):
         values, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times > 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(times)], ["shingle", "times"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     counted = text.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    counted = staged(counted, "shingles")
-    total = counted.filter("shingle is null").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
+    counted = staged(counted.groupBy(F.when(F.col("times") >= LEAST_FREQUENT, F.col("shingle")).alias("shingle")).agg(F.sum("times").alias("times")), "shingles")
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
     least = max(LEAST_FREQUENT, -(-total // FREQUENT_SHINGLES))
     often = counted.filter(F.col("shingle").isNotNull() & (F.col("times") >= least)).select("shingle").toArrow()
     return np.sort(often.column(0).to_numpy().view(np.uint64))
@@ -145,7 +149,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
     def run(batches):
         often = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 values, starts = shingle_sets(texts_of(part.column("text")), size)
                 n = np.diff(starts)
                 doc = np.repeat(np.arange(len(n)), n)
@@ -154,7 +158,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) ->
                     at = np.minimum(np.searchsorted(often, values), len(often) - 1)
                     late = often[at] == values
                 ordered = values[np.lexsort((values, late, doc))]
-                length = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+                length = prefix_lengths(n, percent)
                 first = np.arange(len(values)) - starts[:-1][doc] < length[doc]
                 ordered = ordered[first]
                 ends = np.zeros(len(n) + 1, dtype=np.int64)
@@ -180,7 +184,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 values, starts = shingle_sets(texts_of(part.column("text")), size)
                 sets = [values[a:b].tobytes() for a, b in zip(starts, starts[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["cid", "shingles"])
@@ -249,8 +253,14 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def compatible(n: Column, m: Column, percent: int) -> Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def can_link(n: Column, pos: Column, m: Column, pos2: Column, percent: int) -> Column:
+    """Whether sets of n and m can link if the shingle at these places is the first they share.
+
+    A pair that links passes this in the cell of its first shared shingle, where it is met; in later
+    cells it may fail, which loses nothing.
+    """
+    overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - pos, m - pos2) >= overlap)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_cell: int = SMALL_CELL) -> DataFrame:
@@ -262,7 +272,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     nothing, not even its like. Rows with equal texts are one class whatever their number. A row without
     a doc_id has no component and is no link. An empty table gives no rows. Other columns are ignored.
     """
-    rows = staged(prefixes(docs, size, percent, frequent_shingles(docs, size)), "prefixes")
+    rows = staged(prefixes(docs, size, percent, frequent_shingles(docs, size, percent)), "prefixes")
     some = rows.filter("n > 0 AND doc_id IS NOT NULL")
     classes = staged(some.groupBy("n", "s1", "s2", "p1", "p2").agg(F.min("doc_id").alias("cid"), F.first("bits").alias("bits")), "classes")
     groups = staged(
@@ -287,28 +297,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     # Cells of few groups: all pairs, which filters on size and on what can follow the first shared shingle.
     few = met.filter(F.col("k") <= small_cell)
     other = few.select("cell", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
     group_pairs = (
         few.join(other, "cell")
-        .filter((F.col("gid") < F.col("gid2")) & compatible(F.col("n"), F.col("n2"), percent))
-        .groupBy("gid", "gid2", "n", "n2")
-        .agg(F.min("pos").alias("pos"), F.min("pos2").alias("pos2"))
-        .filter(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= overlap)
+        .filter((F.col("gid") < F.col("gid2")) & can_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"), percent))
         .select("gid", "gid2")
+        .distinct()
     )
     group_pairs = staged(group_pairs, "group-pairs")
 
     # What has to be compared, class by class, as cells: a group; a pair of groups; a crowded cell.
     one = members.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    inside = members.join(one, "gid").select(F.struct(F.lit(0).alias("kind"), F.col("gid").alias("x"), F.col("gid").alias("y")).alias("cell"), "cid", "n")
+    inside = members.join(one, "gid").select(F.struct(F.lit(0).alias("kind"), F.col("gid").alias("x"), F.col("gid").alias("y")).alias("cell"), "cid", "n", F.lit(0).alias("pos"))
     kind = F.struct(F.lit(1).alias("kind"), F.col("gid").alias("x"), F.col("gid2").alias("y")).alias("cell")
     sides = group_pairs.select(kind, F.explode(F.array("gid", "gid2")).alias("gid"))
-    between = sides.join(members, "gid").select("cell", "cid", "n")
+    between = sides.join(members, "gid").select("cell", "cid", "n", F.lit(0).alias("pos"))
     many = (
         met.filter(F.col("k") > small_cell)
-        .select(F.struct(F.lit(2).alias("kind"), F.col("cell.shingle").alias("x"), F.col("cell.cell_band").cast("long").alias("y")).alias("cell"), "gid")
+        .select(F.struct(F.lit(2).alias("kind"), F.col("cell.shingle").alias("x"), F.col("cell.cell_band").cast("long").alias("y")).alias("cell"), "gid", "pos")
         .join(members, "gid")
-        .select("cell", "cid", "n")
+        .select("cell", "cid", "n", "pos")
     )
     work = staged(inside.union(between).union(many), "work")
     bits = classes.select("cid", "n", "bits")
@@ -317,30 +324,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
         labelled = work.withColumn("component", F.col("cid"))
         if labels is not None:
             labelled = work.join(labels, work.cid == labels.node, "left").select(
-                "cell", "cid", "n", F.coalesce("component", "cid").alias("component")
+                "cell", "cid", "n", "pos", F.coalesce("component", "cid").alias("component")
             )
         mixed_cells = labelled.groupBy("cell").agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "component")).alias("pivot"),
+            F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "pos", "component")).alias("pivot"),
             F.count("*").alias("k"),
         ).filter("low <> high")
         open_cells = staged(labelled.join(mixed_cells.drop("low", "high"), "cell"), "open")
         if not open_cells.head(1):
             break
         crowded = (F.col("k") > small_cell) if turn < PIVOT_ROUNDS else F.lit(False)
-        with_pivot = open_cells.filter(crowded & (F.col("component") != F.col("pivot.component"))).select(
-            F.col("cid").alias("a"), F.col("pivot.cid").alias("b"), F.col("n").alias("n1"), F.col("pivot.n").alias("n2")
-        )
-        rest = open_cells.filter(~crowded)
-        pairs = with_pivot.union(remaining_pairs(rest))
-        pairs = pairs.filter(compatible(F.col("n1"), F.col("n2"), percent))
+        with_pivot = open_cells.filter(
+            crowded
+            & (F.col("component") != F.col("pivot.component"))
+            & can_link(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), percent)
+        ).select(F.col("cid").alias("a"), F.col("pivot.cid").alias("b"))
+        pairs = with_pivot.union(remaining_pairs(open_cells.filter(~crowded), percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = staged(verified(docs, staged(pairs, "pairs"), bits, size, percent), "verified")
         found = new if found is None else found.union(new)
         labels = components(found)
         # A pivot has been compared with its whole cell; small cells are done.
-        work = open_cells.filter(crowded & (F.col("cid") != F.col("pivot.cid"))).select("cell", "cid", "n")
+        work = open_cells.filter(crowded & (F.col("cid") != F.col("pivot.cid"))).select("cell", "cid", "n", "pos")
 
     in_class = classes.select("n", "s1", "s2", "cid")
     if labels is not None:
@@ -353,18 +360,21 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
-def remaining_pairs(cells: DataFrame) -> DataFrame:
-    """Pairs of a cell in different components, but for those within its largest component's own rows:
-    members outside it are compared with all others."""
+def remaining_pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a cell in different components that can link. Members outside the cell's largest
+    component are compared with all others, and with each other once."""
     sizes = cells.groupBy("cell", "component").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("largest"))
-    outside = (
-        cells.join(largest, "cell")
-        .filter(F.col("component") != F.col("largest.component"))
-        .select("cell", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+    marked = cells.join(largest, "cell").withColumn("inside", F.col("component") == F.col("largest.component"))
+    outside = marked.filter(~F.col("inside")).select(
+        "cell", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("pos").alias("pos1"), F.col("component").alias("c1")
+    )
+    every = marked.select(
+        "cell", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("component").alias("c2"), "inside"
     )
-    every = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    return outside.join(every, "cell").filter("c1 <> c2").select("a", "b", "n1", "n2")
+    once = (F.col("c1") != F.col("c2")) & (F.col("inside") | (F.col("a") < F.col("b")))
+    linked = can_link(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), percent)
+    return outside.join(every, "cell").filter(once & linked).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
