@@ -18,9 +18,12 @@ def held_out(folds: int, remainder: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(F.col(doc_id), folds) == remainder, F.lit(False))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int = 5, remainder: int = 0) -> DataFrame:
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, column: str, folds: int = 5, remainder: int = 0, how: str = "inner"
+) -> DataFrame:
     """doc_id, text, label and a hash (`draw`) of the labelled documents that are not set apart.
 
+    With how="left" the other documents follow with a null label.
     Of several labels of a doc_id the highest counts; null labels and labels without a document are left
     out. Labels filter the scan as a broadcast up to BROADCAST_LABELS of them, and otherwise through a
     join; the result is the same.
@@ -34,4 +37,4 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str, folds: int =
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    return rows.join(known, "doc_id", how).withColumn("draw", F.xxhash64("doc_id"))

@@ -4,27 +4,35 @@ Each class counts 8-byte windows inside words. What a class has not seen falls b
 counted over both classes together, so an expression rare in both says nothing. A word's evidence is
 the log-ratio of its two likelihoods beyond a margin; a text's is the sum over its words, normalised by
 its length. The margin and the curve from evidence to probability come from rows set apart.
+
+Every window counts, however rare. Each different word of the corpus is taken apart once; counts,
+backoffs and log-ratios are aggregations over the table of all windows, and only words with evidence go
+back to the texts. Words are told apart by 64-bit hashes there.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidecast.llm.joins import BROADCAST_ROWS
 from tidecast.llm.labelled import held_out, labelled_rows
-from tidecast.llm.text_batches import Pieces, pieces_of, slices, texts_of
+from tidecast.llm.text_batches import Pieces, Words, pieces_of, slices, texts_of, words_of
+from tidecast.sources.tables import staged
 
 ORDER = 8
 DISCOUNT = 0.75
 MARGINS = (2.0, 4.0, 6.0, 8.0)
-# A class keeps the windows that make up at least this share of its windows: 2 ** 19 of them at most.
-WINDOW_SHARE = 1 / (1 << 19)
-SLICE_BYTES = 2 << 20  # of text; its windows take some thirty times as much
-HELD_ENTRIES = 1_000_000
+SLICE_BYTES = 2 << 20  # of text
+WORD_BYTES = 1 << 19  # of words; their windows take some thirty times as much
+HELD_WORDS = 200_000
+HELD_BYTES = 16 << 20
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 5
 
@@ -53,68 +61,139 @@ def windows(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return packed[at], owner[at - len(gap)] if len(distinct) else at
 
 
-def summed(keys: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], *(np.add.reduceat(c[order], starts) if len(keys) else c for c in counts)
+def letters_of(word: bytes) -> bytes:
+    """What windows() reads of a word, b"" if it has no letters."""
+    return word.translate(LETTERS.tobytes()).strip(b" ")
+
+
+def word_ids(distinct: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in distinct), dtype=np.int64)
 
 
-def window_counts(rows: DataFrame) -> DataFrame:
-    """Counts of windows in each class over rows with text and label: window, toxic_count, ordinary_count."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """Each different word of rows with text and label: word_id, word, toxic_count, ordinary_count.
+
+    Words of rows without a label are listed, but not counted.
+    """
 
     def count(batches):
-        held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        index: dict[bytes, int] = {}
+        counts, held_bytes = np.zeros((2, HELD_WORDS), dtype=np.int64), 0
 
         def out():
-            keys, toxic, ordinary = summed(*(np.concatenate(c) for c in zip(*held)))
-            held[:] = [(keys, toxic, ordinary)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(ordinary)],
-                ["window", "toxic_count", "ordinary_count"],
-            )
+            words = list(index)
+            toxic, ordinary = counts[:, : len(words)].copy()
+            columns = [pa.array(word_ids(words)), pa.array(words, pa.binary()), pa.array(toxic), pa.array(ordinary)]
+            return pa.RecordBatch.from_arrays(columns, ["word_id", "word", "toxic_count", "ordinary_count"])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                pieces = pieces_of(texts_of(part.column("text")))
-                toxic = part.column("label").to_numpy(zero_copy_only=False).astype(bool)[pieces.doc]
-                keys, owner = windows(pieces.distinct)
-                times = [np.bincount(pieces.ids[of], minlength=len(pieces.distinct))[owner] for of in (toxic, ~toxic)]
-                held.append(summed(keys, *times))
-                if sum(len(h[0]) for h in held) > HELD_ENTRIES:
-                    full = out()
-                    if len(held[0][0]) > HELD_ENTRIES // 2:
-                        yield full
-                        held[:] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+                words = words_of(texts_of(part.column("text")), letters_of)
+                label = pc.fill_null(part.column("label"), -1).to_numpy(zero_copy_only=False)[words.doc]
+                before = len(index)
+                at = np.fromiter((index.setdefault(w, len(index)) for w in words.distinct), np.int64, len(words.distinct))
+                held_bytes += sum(map(len, list(index)[before:]))
+                if len(index) > counts.shape[1]:
+                    counts = np.pad(counts, ((0, 0), (0, len(index))))
+                for row, value in enumerate((1, 0)):
+                    counts[row][at] += np.bincount(words.ids[label == value], minlength=len(at))
+                if len(index) > HELD_WORDS or held_bytes > HELD_BYTES:
+                    yield out()
+                    index.clear()
+                    counts, held_bytes = np.zeros((2, HELD_WORDS), dtype=np.int64), 0
         yield out()
 
-    counted = rows.select("text", "label").mapInArrow(count, "window long, toxic_count long, ordinary_count long")
-    return counted.groupBy("window").agg(
+    schema = "word_id long, word binary, toxic_count long, ordinary_count long"
+    counted = rows.select("text", "label").mapInArrow(count, schema)
+    return counted.groupBy("word_id", "word").agg(
         F.sum("toxic_count").alias("toxic_count"), F.sum("ordinary_count").alias("ordinary_count")
     )
 
 
+def word_windows(words: DataFrame) -> DataFrame:
+    """The windows of each word, with the counts of the word: word_id, window, toxic_count, ordinary_count."""
+
+    def spell(batches):
+        for batch in batches:
+            for part in slices(batch, "word", WORD_BYTES):
+                keys, owner = windows(part.column("word").to_pylist())
+                columns = [part.column(c).take(pa.array(owner)) for c in ("word_id", "toxic_count", "ordinary_count")]
+                columns.insert(1, pa.array(keys.view(np.int64)))
+                names = ["word_id", "window", "toxic_count", "ordinary_count"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return words.mapInArrow(spell, "word_id long, window long, toxic_count long, ordinary_count long")
+
+
+def discounted(low: np.ndarray, contexts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
+    _, inside, kinds = np.unique(low >> np.uint64(8), return_inverse=True, return_counts=True)
+    total = np.bincount(inside, contexts)[inside]
+    return (contexts - DISCOUNT) / total + DISCOUNT * kinds[inside] / total * backoff
+
+
 def shared_probability(grams: np.ndarray, order: int) -> np.ndarray:
     """Kneser-Ney probability of the last byte of each gram from how many different bytes come before."""
     mask = np.uint64((1 << (8 * order)) - 1)
     low, where, contexts = np.unique(grams & mask, return_inverse=True, return_counts=True)
     if order == 1:
         return (contexts / contexts.sum())[where]
-    backoff = shared_probability(low, order - 1)
-    _, inside, kinds = np.unique(low >> np.uint64(8), return_inverse=True, return_counts=True)
-    total = np.bincount(inside, contexts)[inside]
-    return ((contexts - DISCOUNT) / total + DISCOUNT * kinds[inside] / total * backoff)[where]
+    return discounted(low, contexts, shared_probability(low, order - 1))[where]
+
+
+def last_bytes(gram: str, order: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << (8 * order)) - 1))
+
+
+def shared_probabilities(grams: DataFrame) -> DataFrame:
+    """shared_probability() over a table of different windows `gram`: their last ORDER - 1 bytes, as gram, shared.
+
+    The driver gets the orders 1 and 2, which have at most 2 ** 16 grams. A context has at most 256.
+    """
+    orders = {ORDER: grams}
+    for order in range(ORDER - 1, 1, -1):
+        lower = orders[order + 1].groupBy(last_bytes("gram", order).alias("gram")).agg(F.count("*").alias("contexts"))
+        orders[order] = staged(lower, f"grams{order}")
+    pairs = orders[2].toArrow()
+    low, contexts = pairs.column("gram").to_numpy().view(np.uint64), pairs.column("contexts").to_numpy()
+    probability = discounted(low, contexts, shared_probability(low, 1))
+    shared = grams.sparkSession.createDataFrame(pa.table({"gram": low.view(np.int64), "shared": probability}))
+    context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
+    total, kinds = F.sum("contexts").over(context), F.count("*").over(context)
+    for order in range(3, ORDER):
+        parts = orders[order].select(
+            "gram",
+            last_bytes("gram", order - 1).alias("lower"),
+            ((F.col("contexts") - DISCOUNT) / total).alias("own"),
+            (DISCOUNT * kinds / total).alias("left"),
+        )
+        parts = parts.join(shared.select(F.col("gram").alias("lower"), F.col("shared").alias("backoff")), "lower")
+        shared = parts.select("gram", (F.col("own") + F.col("left") * F.col("backoff")).alias("shared"))
+    return shared
+
+
+def window_ratios(counts: DataFrame) -> DataFrame:
+    """kneser_ney() over a table: window and ratio. Windows counted in no class get what their context says."""
+    seen = F.col("toxic_count") + F.col("ordinary_count") > 0
+    shared = shared_probabilities(counts.filter(seen).select(F.col("window").alias("gram")))
+    rows = counts.withColumn("lower", last_bytes("window", ORDER - 1))
+    rows = rows.join(shared.withColumnRenamed("gram", "lower"), "lower", "left")
+    context, logs = Window.partitionBy(F.shiftrightunsigned("window", 8)), []
+    for name in ("toxic_count", "ordinary_count"):
+        total, kinds = F.sum(name).over(context), F.sum((F.col(name) > 0).cast("int")).over(context)
+        left = F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
+        own = F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
+        logs.append(F.log(own + left * F.when(seen, F.col("shared")).otherwise(1.0)))
+    return rows.select("window", (logs[0] - logs[1]).alias("ratio"))
 
 
 @dataclass
-class ToxicityModel:
+class WindowModel:
+    """The log-ratios of a few windows, in memory."""
+
     windows: np.ndarray
     ratios: np.ndarray
     contexts: np.ndarray
     context_ratios: np.ndarray
-    margin: float = MARGINS[0]
-    slope: float = 1.0
-    intercept: float = -1.0
 
     def evidence(self, texts, margins) -> np.ndarray:
         """Length-normalised evidence of each text for each margin, one row per text."""
@@ -125,9 +204,25 @@ class ToxicityModel:
         ratio[unseen] = looked_up(self.contexts, self.context_ratios, keys[unseen] >> np.uint64(8), 0.0)
         ratios = np.bincount(owner, ratio, len(pieces.distinct))
         has_letters = np.bincount(owner, minlength=len(pieces.distinct)) > 0
-        words = np.bincount(pieces.doc, has_letters[pieces.ids], texts.count)
-        over = [np.bincount(pieces.doc, np.maximum(ratios - m, 0)[pieces.ids], texts.count) for m in margins]
-        return np.log1p(np.stack(over, axis=1) / np.sqrt(words + 3)[:, None])
+        index = np.cumsum(has_letters) - 1
+        words = has_letters[pieces.ids]
+        return text_evidence(index[pieces.ids[words]], pieces.doc[words], ratios[has_letters], texts.count, margins)
+
+
+@dataclass
+class ToxicityModel:
+    """Words with a log-ratio above the least margin, as a stored table of word_id and ratio, and the curve."""
+
+    words: DataFrame
+    margin: float = MARGINS[0]
+    slope: float = 1.0
+    intercept: float = -1.0
+
+
+def text_evidence(ids: np.ndarray, doc: np.ndarray, ratios: np.ndarray, count: int, margins) -> np.ndarray:
+    """Length-normalised evidence of texts for each margin, from the log-ratio of each of their words."""
+    over = [np.bincount(doc, np.maximum(ratios - m, 0)[ids], count) for m in margins]
+    return np.log1p(np.stack(over, axis=1) / np.sqrt(np.bincount(doc, minlength=count) + 3)[:, None])
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -137,11 +232,11 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> ToxicityModel:
+def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> WindowModel:
     """Log-ratios of the two class models, for windows and for contexts followed by something unseen."""
     if not len(grams) or not toxic.any() or not ordinary.any():
         none = np.zeros(0)
-        return ToxicityModel(none.astype(np.uint64), none, none.astype(np.uint64), none)
+        return WindowModel(none.astype(np.uint64), none, none.astype(np.uint64), none)
     order = np.argsort(grams)
     grams, toxic, ordinary = grams[order], toxic[order], ordinary[order]
     shared = shared_probability(grams, ORDER - 1)
@@ -153,8 +248,7 @@ def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> To
         own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[inside]
         logs.append(np.log(own + left[inside] * shared))
         unseen.append(np.log(left))
-    narrow = np.float32
-    return ToxicityModel(grams, (logs[0] - logs[1]).astype(narrow), contexts, (unseen[0] - unseen[1]).astype(narrow))
+    return WindowModel(grams, logs[0] - logs[1], contexts, unseen[0] - unseen[1])
 
 
 def logistic(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, np.ndarray]:
@@ -180,46 +274,94 @@ def calibrated(model: ToxicityModel, evidence: np.ndarray, toxic: np.ndarray) ->
     return model
 
 
+def toxic_words(rows: DataFrame) -> DataFrame:
+    """The words of rows with text and label whose log-ratio is above the least margin: word_id, ratio.
+
+    The others are evidence for no margin. Labels of both classes are needed, or there are none.
+    """
+    words = staged(word_counts(rows), "words")
+    totals = words.agg(F.sum("toxic_count").alias("t"), F.sum("ordinary_count").alias("o")).first()
+    if not totals["t"] or not totals["o"]:
+        return rows.sparkSession.createDataFrame([], "word_id long, ratio double")
+    spelled = word_windows(words)
+    counts = spelled.groupBy("window").agg(
+        F.sum("toxic_count").alias("toxic_count"), F.sum("ordinary_count").alias("ordinary_count")
+    )
+    ratios = window_ratios(staged(counts, "windows"))
+    summed = spelled.select("word_id", "window").join(ratios, "window").groupBy("word_id").agg(F.sum("ratio").alias("ratio"))
+    return staged(summed.filter(F.col("ratio") > min(MARGINS)), "toxic_words")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    """Fit on rows whose crc32(doc_id as text) mod 5 is not 0.
+    """Fit on rows whose crc32(doc_id as text) mod 5 is not 0, for scoring the texts of `docs`.
 
     All of them are counted but for one in CALIBRATION_FOLD, of which at most CALIBRATION_ROWS, by hash,
-    set the logistic curve from evidence to probability. The driver gets only windows above WINDOW_SHARE
-    of their class, 2 ** 20 at most, and the calibration rows' evidence.
+    set the logistic curve from evidence to probability. All windows of the others are used. The driver
+    gets the calibration rows' evidence, and the words with evidence if they are few.
     """
-    rows = labelled_rows(docs, labels, "toxic")
     apart = F.pmod("draw", F.lit(CALIBRATION_FOLD)) == 0
-    counts = window_counts(rows.filter(~apart)).persist()
-    totals = counts.agg(F.sum("toxic_count").alias("t"), F.sum("ordinary_count").alias("o")).first()
-    frequent = (F.col("toxic_count") >= F.lit((totals["t"] or 0) * WINDOW_SHARE)) & (F.col("toxic_count") > 0)
-    frequent |= (F.col("ordinary_count") >= F.lit((totals["o"] or 0) * WINDOW_SHARE)) & (F.col("ordinary_count") > 0)
-    kept = counts.filter(frequent).toArrow()
-    counts.unpersist()
-    grams, toxic, ordinary = (kept.column(i).to_numpy() for i in range(3))
-    model = kneser_ney(grams.view(np.uint64), toxic, ordinary)
-    sample = rows.filter(apart).select("draw", "label", evidence_column(docs, model, MARGINS).alias("evidence"))
-    sample = sample.orderBy("draw").limit(CALIBRATION_ROWS).toArrow()
+    rows = labelled_rows(docs, labels, "toxic", how="left")
+    words = toxic_words(rows.withColumn("label", F.when(~apart, F.col("label"))))
+    sample = labelled_rows(docs, labels, "toxic").filter(apart).orderBy("draw").limit(CALIBRATION_ROWS)
+    sample = with_evidence(sample, words, MARGINS).select("label", "evidence").toArrow()
     evidence = np.array(sample.column("evidence").to_pylist(), dtype=float).reshape(-1, len(MARGINS))
-    return calibrated(model, evidence, sample.column("label").to_numpy())
+    return calibrated(ToxicityModel(words), evidence, sample.column("label").to_numpy())
 
 
-def evidence_column(docs: DataFrame, model: ToxicityModel, margins, text: str = "text") -> Column:
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # arrays alone: workers may lack this class
+def with_evidence(docs: DataFrame, words: DataFrame, margins, text: str = "text") -> DataFrame:
+    """The rows with an array `evidence`, one entry per margin. Up to BROADCAST_ROWS words go to all tasks."""
+    if words.count() > BROADCAST_ROWS:
+        return joined_evidence(docs, words, margins, text)
+    known = words.orderBy("word_id").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast([known.column(c).to_numpy() for c in ("word_id", "ratio")])
 
     @F.arrow_udf("array<double>")
     def evidence(column: pa.Array) -> pa.Array:
-        batch, model = pa.RecordBatch.from_arrays([column], ["text"]), ToxicityModel(**shared.value)
-        found = [model.evidence(texts_of(part.column(0)), margins) for part in slices(batch, "text", SLICE_BYTES)]
+        batch, found = pa.RecordBatch.from_arrays([column], ["text"]), []
+        for part in slices(batch, "text", SLICE_BYTES):
+            texts = texts_of(part.column(0))
+            own: Words = words_of(texts, letters_of)
+            ratios = looked_up(*shared.value, word_ids(own.distinct), 0.0)
+            found.append(text_evidence(own.ids, own.doc, ratios, texts.count, margins))
         flat = np.concatenate(found).ravel() if found else np.zeros(0)
         return pa.ListArray.from_arrays(np.arange(len(column) + 1, dtype=np.int32) * len(margins), pa.array(flat))
 
-    return evidence(F.col(text).cast("string"))
+    return docs.withColumn("evidence", evidence(F.col(text).cast("string")))
+
 
+def joined_evidence(docs: DataFrame, words: DataFrame, margins, text: str = "text") -> DataFrame:
+    """with_evidence() by joins, for any number of words. Equal texts, by md5, are looked up once."""
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Column:
-    """A column with each text's probability of being toxic, from the text alone; null counts as empty."""
-    evidence = evidence_column(docs, model, (model.margin,), text)[0]
-    return 1 / (1 + F.exp(-(F.lit(model.intercept) + F.lit(model.slope) * evidence)))
+    def listed(batches):
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                own = words_of(texts_of(part.column("text")), letters_of)
+                pairs, times = np.unique(own.doc * max(len(own.distinct), 1) + own.ids, return_counts=True)
+                doc, ids = np.divmod(pairs, max(len(own.distinct), 1))
+                length = np.bincount(own.doc, minlength=part.num_rows)[doc]
+                columns = [part.column("md5").take(pa.array(doc)), pa.array(word_ids(own.distinct)[ids]), pa.array(times), pa.array(length)]
+                yield pa.RecordBatch.from_arrays(columns, ["md5", "word_id", "times", "length"])
+
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.md5(value).alias("md5"), value.alias("text"))
+    pairs = rows.mapInArrow(listed, "md5 string, word_id long, times long, length long").distinct()
+    over = [F.sum(F.col("times") * F.greatest(F.col("ratio") - m, F.lit(0.0))) for m in margins]
+    found = pairs.join(words, "word_id").groupBy("md5", "length").agg(*[o.alias(f"over{i}") for i, o in enumerate(over)])
+    logs = F.array(*[F.log1p(F.col(f"over{i}") / F.sqrt(F.col("length") + 3)) for i in range(len(margins))])
+    found = found.select(F.col("md5").alias("_md5"), logs.alias("_found"))
+    none = F.array(*[F.lit(0.0)] * len(margins))
+    rows = docs.withColumn("_md5", F.md5(value)).join(found, "_md5", "left")
+    return rows.withColumn("evidence", F.coalesce("_found", none)).drop("_md5", "_found")
+
+
+def with_score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
+    """The rows with `toxicity`, each text's probability of being toxic; null counts as empty.
+
+    The texts are those that the model was fitted for, or have no other words.
+    """
+    scored = with_evidence(docs, model.words, (model.margin,), text)
+    evidence = F.lit(model.intercept) + F.lit(model.slope) * F.col("evidence")[0]
+    return scored.withColumn("toxicity", 1 / (1 + F.exp(-evidence))).drop("evidence")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -231,15 +373,12 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Other columns are ignored.
     """
     model = fit_toxicity(docs, labels)
-    scored = docs.select(
-        "doc_id",
-        held_out(5, 0).alias("held_out"),
-        score_toxicity(docs, model).alias("score"),
-    )
+    rows = with_score(docs.select("doc_id", "text"), model)
+    scored = rows.select("doc_id", held_out(5, 0).alias("held_out"), F.col("toxicity").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that score below the threshold, with their columns."""
-    scored = docs.withColumn("_toxicity", score_toxicity(docs, fit_toxicity(docs, labels)))
-    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    scored = with_score(docs.select(F.struct("*").alias("row"), "text"), fit_toxicity(docs, labels))
+    return scored.filter(F.col("toxicity") < threshold).select("row.*")
