@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecast.llm import bpe, chat_perspectives, exact_dedup, jaccard_join, language_gru, line_rules, packing, quality_gam, secret_scan, toxicity
+from tidecast.llm import (
+    bpe,
+    chat_perspectives,
+    collocations,
+    exact_dedup,
+    jaccard_join,
+    language_gru,
+    line_rules,
+    packing,
+    quality_gam,
+    secret_scan,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +163,37 @@ def op9_secret_grammar(spark, sf_dir):
 @query()
 def op10_best_two_fit(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\\x0A-\\x0D]')) AS piece
+      FROM documents
+    ), w AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS words FROM p),
+    f AS MATERIALIZED (
+      SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS g, any_value(words[i:i + k - 1]) AS ws,
+             lang || chr(10) || array_to_string(words[i:i + k - 1], ' ') AS id, count(*) AS f
+      FROM (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w), (VALUES (1), (2), (3)) t(k)
+      WHERE i + k - 1 <= len(words) GROUP BY lang, k, array_to_string(words[i:i + k - 1], ' ')),
+    c AS MATERIALIZED (SELECT *, f::HUGEINT AS a FROM f WHERE k > 1 AND f >= 10),
+    halves AS (SELECT c.*, cut, lang || chr(10) || array_to_string(ws[1:cut], ' ') AS head,
+                      lang || chr(10) || array_to_string(ws[cut + 1:k], ' ') AS tail
+               FROM c, (VALUES (1), (2)) t(cut) WHERE cut < k),
+    cuts AS (SELECT c.lang, c.g, c.a, cut, x.f AS l, y.f AS r, (1000000 * a * a) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+             FROM halves c JOIN f x ON x.id = head JOIN f y ON y.id = tail),
+    lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    longer AS (SELECT lang, h, max(a) AS b FROM (
+                 SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS h FROM c WHERE k = 3)
+               GROUP BY lang, h),
+    kept AS (SELECT m.* FROM lowest m LEFT JOIN longer o ON o.lang = m.lang AND o.h = m.g WHERE b IS NULL OR 100 * b < 50 * a),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang)
+    SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase,
+           a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+    FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+    """
+)
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
