@@ -225,3 +225,88 @@ def test_registry_round_trip(spark, mixed, tmp_path):
     stored = {r.target: -r.performance for r in store.read("fit_performance").where("purpose = 'train' and model_id = 2").collect()}
     for row in mae:
         assert row.mae == pytest.approx(stored[f"{row.series_id}_{row.horizon}"], rel=1e-9)
+
+
+def fits_of(rows, horizon, fold_, fit):
+    """Plain design and values of the rows one fit uses."""
+    time_index, y, lags = rows[:3]
+    at = (fold_ >= 0) & (fold_ != fit)
+    return np.column_stack([time_index, lags[:, horizon : horizon + 12], *[time_index % 12 == m for m in range(12)]])[at].astype(float), y[at]
+
+
+def plain_lasso(x, y, ratio):
+    """Coordinate by coordinate on the rows themselves."""
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    b, residual = np.zeros(x.shape[1]), y - y.mean()
+    penalty = ratio * np.abs(z.T @ residual / len(y)).max()
+    for _ in range(3000):
+        before = b.copy()
+        for j in range(len(b)):
+            rho = z[:, j] @ residual / len(y) + b[j]
+            new = np.sign(rho) * max(abs(rho) - penalty, 0.0)
+            residual += z[:, j] * (b[j] - new)
+            b[j] = new
+        if np.abs(b - before).max() < 1e-12:
+            break
+    return b / x.std(axis=0)
+
+
+def plain_huber(x, y, number):
+    """Reweighted least squares on the rows themselves, and the width of the bound."""
+    full = np.column_stack([np.ones(len(y)), x])
+    fit = np.linalg.lstsq(full, y, rcond=None)[0]
+    bound = number * np.sqrt(np.pi / 2) * np.abs(full @ fit - y).mean()
+    for _ in range(lm.HUBER_STEPS):
+        error = np.abs(full @ fit - y)
+        weight = np.where(error > bound, bound / np.maximum(error, 1e-300), 1.0)
+        root = np.sqrt(weight)
+        fit = np.linalg.lstsq(full * root[:, None], y * root, rcond=None)[0]
+    return full @ fit, bound
+
+
+def test_lasso_and_huber_equal_plain_loops(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 17)
+    rows, horizons = training_columns(130, seed=5), np.array([1, 7, 24])
+    rows[1][::9] += 900.0  # outliers
+    names = ["lasso:0.1", "huber:1.345", "lasso:0.5", "ols", "lasso:0.01"]
+    shift = lm.shifts(PREDICTORS, 990.0, 13)
+    sums, _ = lm.product_sums(rows, horizons, PREDICTORS, 3, None, shift)
+    coefs = lm.fit_candidates(sums, horizons, names, PREDICTORS, "m", shift)
+    start = coefs[:, 1].copy()
+    coefs[:, 1] = lm.huber_fit(rows, horizons, PREDICTORS, coefs[:, 1], 1.345, None, shift)
+    assert np.abs(coefs[:, 1] - start).max() > 0.01
+    for i, h in enumerate(horizons):
+        for f in range(4):
+            x, y = fits_of(rows, h, rows[3], f)
+            for place, ratio in ((0, 0.1), (2, 0.5), (4, 0.01)):
+                wanted = plain_lasso(x, y, ratio)
+                np.testing.assert_allclose(coefs[i, place, f, 1:], wanted, rtol=1e-5, atol=1e-6)
+                assert ((coefs[i, place, f, 1:] == 0) == (wanted == 0)).all()
+            full = np.column_stack([np.ones(len(y)), x])
+            np.testing.assert_allclose(full @ start[i, f], full @ coefs[i, 3, f], rtol=1e-6)
+            scores, bound = plain_huber(x, y, 1.345)
+            np.testing.assert_allclose(full @ coefs[i, 1, f], scores, rtol=1e-6)
+            # Near the minimum of the Huber loss the clipped errors are uncorrelated with the columns.
+            clipped = np.clip(scores - y, -bound, bound)
+            assert np.abs(np.corrcoef(np.column_stack([clipped, x[:, :13]]).T)[0, 1:]).max() < 0.02
+
+
+def test_resistant_fit_is_alike_in_chunks(mixed):
+    some = mixed.where("series_id in ('m2', 'm3', 'm6', 'q1')")
+    names, keys = ("naive", "lasso:0.1", "huber:1.345", "ridge:1.0"), ["series_id", "horizon"]
+    for candidates in (names, ("huber:1.345", "huber:2.5")):
+        whole = fit_models(some, ["lag_1", "lag_6", "observation_id"], candidates, max_rows=1000).orderBy(*keys).toPandas()
+        chunked = fit_models(some, ["lag_1", "lag_6", "observation_id"], candidates, chunk_rows=40).orderBy(*keys).toPandas()
+        assert len(whole) == len(chunked) > 60 and (whole["family"] == chunked["family"]).all()
+        np.testing.assert_allclose(np.array(list(whole["coef"])), np.array(list(chunked["coef"])), rtol=1e-5, atol=1e-6)
+        for column in ("cv_mae", "train_mae", "validation_mae"):
+            np.testing.assert_allclose(whole[column], chunked[column], rtol=1e-6, atol=1e-6)
+
+
+def test_outliers_prefer_the_resistant_fit(spark):
+    rng = np.random.default_rng(8)
+    values = 5.0 * np.arange(260) + rng.normal(0, 1, 260)
+    values[rng.choice(260, 26, replace=False)] += 4000.0
+    ts = spark.createDataFrame(series("m1", values), TS)
+    got = fit_models(ts, ["observation_id"], ("ols", "huber:1.0"), max_rows=300).toPandas()
+    assert (got["family"] == "huber:1.0").all()

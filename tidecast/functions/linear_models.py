@@ -11,6 +11,14 @@ import numpy as np
 from tidecast.config import N_LAGS, N_MONTHS, PREDICTORS, SEASON_LAGS
 
 BLOCK_ROWS = 512
+HUBER_STEPS = 10
+# Keeps months, which add up to the intercept, solvable without a decomposition at every step.
+HUBER_PENALTY = 1e-8
+# The standard deviation of normal errors over their mean absolute value.
+SPREAD = np.sqrt(np.pi / 2)
+LASSO_SWEEPS = 8
+LASSO_ROUNDS = 200
+LASSO_TOLERANCE = 1e-7
 
 
 def blocks(rows):
@@ -145,32 +153,110 @@ def solve(columns, penalty):
         slopes = np.linalg.solve(left, right[..., None])[..., 0]
     else:
         slopes = (np.linalg.pinv(left, rcond=1e-10, hermitian=True) @ right[..., None])[..., 0]
-    slopes = slopes / scale
+    return with_intercept(slopes / scale, means)
+
+
+def lasso_path(columns, ratios):
+    """Slopes for each ratio, by coordinate descent on correlations: (ratios, ..., predictors).
+
+    The penalty on the sum of absolute standardised slopes is `ratio` times the one at which all are 0. Ratios
+    are taken from the largest down, each starting from the solution before it. After some sweeps the slopes
+    that are not 0 are solved for at once; a target whose signs and gradients then agree is solved exactly and
+    leaves the batch.
+    """
+    left, right, scale, _ = columns
+    shape, p = right.shape, right.shape[-1]
+    left, right = left.reshape(-1, p, p), right.reshape(-1, p)
+    top = np.abs(right).max(axis=1)
+    slopes, found = np.zeros_like(right), {}
+    for ratio in sorted(set(ratios), reverse=True):
+        at = np.flatnonzero(top > 0)
+        for _ in range(LASSO_ROUNDS):
+            if not len(at):
+                break
+            own, product, penalty = slopes[at], left[at], ratio * top[at]
+            moved = _descend(own, product, right[at], penalty)
+            exact, agrees = _active_solution(own, product, right[at], penalty)
+            own[agrees] = exact[agrees]
+            slopes[at] = own
+            at = at[~agrees & (moved > LASSO_TOLERANCE * top[at])]
+        found[ratio] = slopes.reshape(shape) / scale
+    return np.stack([found[ratio] for ratio in ratios])
+
+
+def _descend(own, product, right, penalty):
+    """Some sweeps over the coordinates, in place; how far the last one moved."""
+    pull = right - np.einsum("npq,nq->np", product, own)
+    for _ in range(LASSO_SWEEPS):
+        moved = np.zeros(len(own))
+        for j in range(own.shape[1]):
+            rho = pull[:, j] + product[:, j, j] * own[:, j]
+            new = np.sign(rho) * np.maximum(np.abs(rho) - penalty, 0.0) / product[:, j, j]
+            step = new - own[:, j]
+            own[:, j] = new
+            pull -= product[:, j] * step[:, None]
+            np.maximum(moved, np.abs(step), out=moved)
+    return moved
+
+
+def _active_solution(own, product, right, penalty):
+    """The solution with the signs of `own`, and whether it has these signs and no other slope would move.
+
+    Slopes within rounding of 0 count as 0: of two columns that are alike only the first is used.
+    """
+    signs = np.where(np.abs(own) > 1e-7 * np.abs(right).max(axis=1, keepdims=True), np.sign(own), 0.0)
+    active = signs != 0
+    both = active[:, :, None] & active[:, None, :]
+    system = np.where(both, product, 0.0) + np.where(active, 1e-12, 1.0)[:, :, None] * np.eye(own.shape[1])
+    exact = np.linalg.solve(system, np.where(active, right - penalty[:, None] * signs, 0.0)[..., None])[..., 0]
+    pull = right - np.einsum("npq,nq->np", product, exact)
+    slack = penalty * (1 + 1e-7)
+    agrees = ((np.sign(exact) == signs) & (np.abs(pull) <= slack[:, None])).all(axis=1)
+    return exact, agrees
+
+
+def with_intercept(slopes, means):
+    """The intercept that goes through the means, then the slopes."""
     intercept = means[..., -1] - (slopes * means[..., :-1]).sum(axis=-1)
     return np.concatenate([intercept[..., None], slopes], axis=-1)
 
 
+def without_shift(coefs, shift):
+    """Coefficients for plain values from those for shifted ones; the first axis is the target's."""
+    coefs = coefs.copy()
+    shift = shift[:, None]
+    coefs[..., 0] += shift[..., -1] - (coefs[..., 1:] * shift[..., 1:-1]).sum(axis=-1)
+    return coefs
+
+
 def fit_candidates(sums, horizons, candidates, predictors, frequency, shift):
-    """Coefficients (horizons, candidates, folds + 1, width); NaN where a model cannot be fitted.
+    """Coefficients (targets, candidates, folds + 1, width); NaN where a model cannot be fitted.
 
     Each fold's model leaves that fold out, the last one uses all train rows. `naive` repeats the
-    value one season back, `trend` is a line through time, `ridge:<penalty>` and `ols` use all
-    predictors. Coefficients are for plain values, without the shift.
+    value one season back, `trend` is a line through time, `ridge:<penalty>`, `lasso:<ratio>` and `ols` use
+    all predictors. `huber:<width>` is least squares here, the start of `huber_fit`. Coefficients are for plain
+    values, without the shift. `horizons` has one entry per target; `frequency` is one letter for all or the
+    season of each target, `shift` one row for all or one for each.
     """
+    horizons = np.asarray(horizons)
+    seasons = np.broadcast_to(SEASON_LAGS[frequency] if isinstance(frequency, str) else frequency, horizons.shape)
+    shift = np.broadcast_to(shift, (len(horizons), np.shape(shift)[-1]))
     parts = without_each(sums)
     columns = standardised(parts)
     width = 1 + len(predictors)
+    kinds = [candidate.partition(":")[::2] for candidate in candidates]
+    ratios = [float(x) for kind, x in kinds if kind == "lasso"]
+    paths = iter(lasso_path(columns, ratios) if ratios else ())
     coefs = np.full((len(horizons), len(candidates), parts.shape[1], width), np.nan)
-    for place, candidate in enumerate(candidates):
-        kind, _, penalty = candidate.partition(":")
+    for place, (kind, number) in enumerate(kinds):
         if kind == "naive":
-            season = SEASON_LAGS[frequency]
-            for i, horizon in enumerate(horizons):
-                name = f"lag_{season - horizon % season}"
-                if name in predictors:
-                    coefs[i, place] = 0.0
-                    coefs[i, place, :, 1 + predictors.index(name)] = 1.0
-        elif kind == "trend":
+            back = seasons - horizons % seasons
+            for lag in np.unique(back):
+                if f"lag_{lag}" in predictors:
+                    coefs[back == lag, place] = 0.0
+                    coefs[back == lag, place, :, 1 + predictors.index(f"lag_{lag}")] = 1.0
+            continue
+        if kind == "trend":
             if "observation_id" in predictors:
                 time = predictors.index("observation_id")
                 _, right, scale, means = columns
@@ -178,12 +264,77 @@ def fit_candidates(sums, horizons, candidates, predictors, frequency, shift):
                 coefs[:, place] = np.where(np.isnan(slope), np.nan, 0.0)[..., None]
                 coefs[:, place, :, 0] = means[..., -1] - slope * means[..., time]
                 coefs[:, place, :, 1 + time] = slope
-        elif kind in ("ridge", "ols"):
-            coefs[:, place] = solve(columns, float(penalty or 0.0))
+        elif kind == "lasso":
+            coefs[:, place] = with_intercept(next(paths), columns[3])
+        elif kind in ("ridge", "ols", "huber"):
+            coefs[:, place] = solve(columns, {"ridge": float(number or 0), "huber": HUBER_PENALTY}.get(kind, 0.0))
         else:
-            raise ValueError(f"unknown candidate {candidate!r}")
-        if kind != "naive":
-            coefs[:, place, :, 0] += shift[-1] - coefs[:, place, :, 1:] @ shift[1:-1]
+            raise ValueError(f"unknown candidate {candidates[place]!r}")
+        coefs[:, place] = without_shift(coefs[:, place], shift)
+    return coefs
+
+
+def fitted_rows(fold, fit):
+    """The train rows that a fit uses: all but those of its own fold."""
+    return (fold >= 0) & (fold != fit)
+
+
+def absolute_errors(rows, horizons, predictors, coefs, fill):
+    """(horizons, fits, 2): summed absolute errors of each fit on its own rows, and their number."""
+    out = np.zeros((*coefs.shape[:2], 2))
+    for block in blocks(rows):
+        x, y, full = design(block, horizons, predictors, fill)
+        for fit in range(coefs.shape[1]):
+            at = fitted_rows(block[3], fit)
+            error = np.abs(np.einsum("hnp,hp->hn", x[:, at], coefs[:, fit]) - y[:, at])
+            out[:, fit, 0] += error.sum(axis=1)
+            out[:, fit, 1] += full[:, at].sum(axis=1)
+    return out
+
+
+def huber_bounds(errors, number):
+    """The error up to which a row counts in full: `number` standard deviations, estimated from the start."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return number * SPREAD * errors[..., 0] / errors[..., 1]
+
+
+def weighted_sums(rows, horizons, predictors, coefs, bounds, fill, shift):
+    """As `product_sums`, per fit instead of per fold, with rows beyond the bound weighted down to it."""
+    width = 2 + len(predictors)
+    sums = np.zeros((*coefs.shape[:2], width + 2, width))
+    sums[:, :, width], sums[:, :, width + 1] = np.inf, -np.inf
+    for block in blocks(rows):
+        x, y, full = design(block, horizons, predictors, fill)
+        z = np.where(full[:, :, None], np.concatenate([x, y[:, :, None]], axis=2) - shift, 0.0)
+        for fit in range(coefs.shape[1]):
+            at = fitted_rows(block[3], fit)
+            if not at.any():
+                continue
+            error = np.abs(np.einsum("hnp,hp->hn", x[:, at], coefs[:, fit]) - y[:, at])
+            bound = bounds[:, fit, None]
+            part, seen = z[:, at], full[:, at, None]
+            weight = np.where(error > bound, bound / np.where(error > 0, error, 1.0), 1.0)
+            sums[:, fit, :width] += (part * weight[:, :, None]).transpose(0, 2, 1) @ part
+            low, high = np.where(seen, part, np.inf).min(axis=1), np.where(seen, part, -np.inf).max(axis=1)
+            sums[:, fit, width] = np.minimum(sums[:, fit, width], low)
+            sums[:, fit, width + 1] = np.maximum(sums[:, fit, width + 1], high)
+    return sums
+
+
+def weighted_fit(sums, shift):
+    """Least squares from `weighted_sums`, for plain values: (targets, fits, width)."""
+    return without_shift(solve(standardised(sums), HUBER_PENALTY), np.broadcast_to(shift, (len(sums), np.shape(shift)[-1])))
+
+
+def huber_places(candidates):
+    return [(place, float(c.partition(":")[2])) for place, c in enumerate(candidates) if c.startswith("huber:")]
+
+
+def huber_fit(rows, horizons, predictors, coefs, number, fill, shift):
+    """Coefficients (horizons, fits, width) after HUBER_STEPS reweighted fits of one chunk, from a start."""
+    bounds = huber_bounds(absolute_errors(rows, horizons, predictors, coefs, fill), number)
+    for _ in range(HUBER_STEPS):
+        coefs = weighted_fit(weighted_sums(rows, horizons, predictors, coefs, bounds, fill, shift), shift)
     return coefs
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidecast.config import LAG_NAMES, MONTH_NAMES, PREDICTORS
 from tidecast.functions.expressions import is_finite, linear_score, month_flags, target_horizon, target_series
 from tidecast.operators import evaluate, features, forecast, quality, reference_tables, registry, selection, split
-from tidecast.operators.fit import fit_models, target_status, trend_models
+from tidecast.operators.fit import WIDE_CANDIDATES, fit_models, target_status, trend_models
 from tidecast.operators.impute import impute
 from tidecast.plans import oracle as sql
 from tidecast.plans import pipeline
@@ -832,6 +832,57 @@ def fit_search(spark, sf_dir):
     return single(fitted.select("series_id", "horizon", "n_train", "family", "cv_mae"), "cv_mae")
 
 
+# Two predictors have closed forms: ridge by the inverse of a 2 x 2 matrix, lasso by the column with the
+# larger correlation and then, if its residual still pulls enough, both. A fold's model leaves it out.
+LINEAR_SQL = f"""WITH {sql.TIME_SERIES}, {sql.TRAIN},
+folded AS (SELECT series_id, horizon, target AS y, lag_1 AS x1, lag_12 AS x2,
+                  CAST('0x' || substr(md5(series_id || '|' || CAST(observation_id AS VARCHAR)), 3, 4) AS INTEGER) % 3 AS fold
+           FROM train WHERE purpose = 'train'),
+moments AS (SELECT f.series_id, f.horizon, g.fold, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay,
+                CASE WHEN min(x1) < max(x1) THEN stddev_pop(x1) END AS s1, CASE WHEN min(x2) < max(x2) THEN stddev_pop(x2) END AS s2,
+                covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2
+         FROM folded f JOIN (VALUES (0), (1), (2)) g(fold) ON f.fold <> g.fold GROUP BY 1, 2, 3),
+scaled AS (SELECT *, coalesce(c12 / (s1 * s2), 0) AS rho, coalesce(c1 / s1, 0) AS r1, coalesce(c2 / s2, 0) AS r2 FROM moments),
+chosen AS (SELECT *, abs(r1) >= abs(r2) * (1 - 1e-9) AS one, 0.1 * greatest(abs(r1), abs(r2)) AS pen FROM scaled),
+alone AS (SELECT *, CASE WHEN one THEN r1 ELSE r2 END AS rj, CASE WHEN one THEN r2 ELSE r1 END AS rk FROM chosen),
+pulled AS (SELECT *, rk - rho * sign(rj) * (abs(rj) - pen) AS pull FROM alone),
+slopes AS (
+  SELECT series_id, horizon, fold, a1, a2, ay, one, s1, s2,
+         (1.1 * r1 - rho * r2) / (1.21 - rho * rho) AS ridge1, (1.1 * r2 - rho * r1) / (1.21 - rho * rho) AS ridge2,
+         CASE WHEN abs(pull) <= pen * (1 + 1e-9) THEN sign(rj) * (abs(rj) - pen)
+              ELSE (rj - pen * sign(rj) - rho * (rk - pen * sign(pull))) / (1 - rho * rho) END AS bj,
+         CASE WHEN abs(pull) <= pen * (1 + 1e-9) THEN 0
+              ELSE (rk - pen * sign(pull) - rho * (rj - pen * sign(rj))) / (1 - rho * rho) END AS bk
+  FROM pulled),
+lines AS (SELECT series_id, horizon, fold, a1, a2, ay, coalesce(ridge1 / s1, 0) AS ridge1, coalesce(ridge2 / s2, 0) AS ridge2,
+                 coalesce(CASE WHEN one THEN bj ELSE bk END / s1, 0) AS lasso1,
+                 coalesce(CASE WHEN one THEN bk ELSE bj END / s2, 0) AS lasso2
+          FROM slopes),
+errors AS (SELECT f.series_id, f.horizon, count(*) AS n, count(*) = count(ay) AS whole,
+                  avg(abs(ay + ridge1 * (x1 - a1) + ridge2 * (x2 - a2) - y)) AS ridge,
+                  avg(abs(ay + lasso1 * (x1 - a1) + lasso2 * (x2 - a2) - y)) AS lasso
+           FROM folded f LEFT JOIN lines l ON f.series_id = l.series_id AND f.horizon = l.horizon AND f.fold = l.fold GROUP BY 1, 2)
+SELECT series_id, CAST(horizon AS INTEGER) AS horizon, n AS n_train,
+       CASE WHEN whole AND lasso < ridge * (1 - 1e-9) THEN 'lasso:0.1' ELSE 'ridge:0.1' END AS family,
+       {r1("CASE WHEN NOT whole THEN CAST('inf' AS DOUBLE) WHEN lasso < ridge * (1 - 1e-9) THEN lasso ELSE ridge END", 'cv_mae')}
+FROM errors"""
+
+
+@query(LINEAR_SQL)
+def fit_search_linear(spark, sf_dir):
+    """As `fit_search`, between a ridge and a lasso on two predictors."""
+    fitted = fit_models(sales_series(spark, sf_dir), ["lag_1", "lag_12"], ("ridge:0.1", "lasso:0.1"), **BOUND)
+    return single(fitted.where("n_train > 0").select("series_id", "horizon", "n_train", "family", "cv_mae"), "cv_mae")
+
+
+@query(LINEAR_SQL)
+def fit_search_linear_split(spark, sf_dir):
+    """The same in chunks, as series of unknown length are fitted."""
+    ts = sales_series(spark, sf_dir)
+    fitted = fit_models(ts, ["lag_1", "lag_12"], ("ridge:0.1", "lasso:0.1"), **SPLIT)
+    return single(fitted.where("n_train > 0").select("series_id", "horizon", "n_train", "family", "cv_mae"), "cv_mae")
+
+
 @query(
     f"{ONE_RUN} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, target, "
     f"{r1('a + b * observation_id', 'score')} FROM train t JOIN models m ON t.series_id = m.series_id AND t.horizon = m.horizon"
@@ -1062,6 +1113,12 @@ def fit_direct(spark, sf_dir):
     return fit_models(sales_series(spark, sf_dir), **BOUND)
 
 
+@query()
+def fit_direct_wide(spark, sf_dir):
+    """The search with sparse and outlier-resistant candidates as well."""
+    return fit_models(sales_series(spark, sf_dir), candidates=WIDE_CANDIDATES, **BOUND)
+
+
 @query()
 def fit_losses(spark, sf_dir):
     fitted = fit_models(sales_series(spark, sf_dir), **BOUND).withColumn("model_id", F.lit(1))
