@@ -18,7 +18,9 @@ from tidecast.llm import (
     packing,
     quality_gam,
     secret_scan,
+    token_alignment,
     toxicity,
+    url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,3 +199,40 @@ def op10_best_two_fit(spark, sf_dir):
 )
 def op11_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = ", ".join(f"('{verdict}', '{rule}')" for verdict, rule in url_filter.RULES)
+URL_WORDS = ", ".join(f"'{word}'" for word in url_filter.BLOCKED_WORDS)
+
+
+@query(
+    f"""
+    WITH rest AS (
+      SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+    ), parts AS (
+      SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+      FROM rest
+    ), rules AS (
+      SELECT verdict, rule, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path
+      FROM (VALUES {URL_RULES}) t(verdict, rule)
+    ), hosts AS (
+      SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r
+        ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)
+      GROUP BY host, path
+    )
+    SELECT p.page_id, p.host, p.path, h.rule,
+           coalesce(h.verdict, CASE WHEN list_has_any(regexp_split_to_array(p.host, '[.-]'), [{URL_WORDS}])
+                                    THEN 'block' ELSE 'allow' END) AS verdict
+    FROM parts p LEFT JOIN hosts h ON p.host = h.host AND p.path = h.path
+    """
+)
+def op13_url_filter(spark, sf_dir):
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
