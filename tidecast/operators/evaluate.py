@@ -3,11 +3,22 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.config import FIT_TOLERANCE, LOSS
-from tidecast.functions.expressions import max_horizon, target_horizon, target_id, target_series
+from tidecast.config import FIT_TOLERANCE, LOSS, MAX_HORIZON, N_LAGS
+from tidecast.functions.expressions import (
+    lag_columns,
+    max_horizon,
+    month_flags,
+    target_horizon,
+    target_id,
+    target_series,
+)
+from tidecast.operators.forecast import models_by_series, score_of_row
 from tidecast.operators.impute import exact_medians
-from tidecast.operators.registry import losses
-from tidecast.operators.selection import paired_by_position
+from tidecast.operators.registry import has_bit, losses
+from tidecast.operators.selection import in_sample, paired_by_position
+from tidecast.operators.sequence import with_lags
+
+PURPOSES = ["train", "validation"]
 
 
 def compare(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -99,45 +110,100 @@ def forecast_bands(forecasts: DataFrame, actuals: DataFrame, bounds: DataFrame)
     )
 
 
-def train_records(features: DataFrame, record_ids: DataFrame, purpose: str | None = "train") -> DataFrame:
-    """Feature rows a stored model was fitted on, joined by target and observation."""
-    if purpose is not None:
-        record_ids = record_ids.where(F.lower("purpose") == purpose.lower())
-    keyed = features.withColumn("target_id", target_id(F.col("series_id"), F.col("horizon")))
-    records = record_ids.select(
-        F.col("target").alias("target_id"), "model_id", "purpose", "observation_id"
+def recorded_rows(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows that stored models were fitted on, each once per model id, with all their lags and the masks.
+
+    The masks meet the narrow rows of the series, one for one, before lags are built and before any horizon
+    is written out.
+    """
+    used = F.struct("model_id", "train", "validation")
+    used = masks.groupBy("series_id", F.col("observation_id").alias("time_index")).agg(F.collect_list(used).alias("used"))
+    rows = in_sample(ts).select("series_id", "time_index", "tourism").join(used, ["series_id", "time_index"], "left")
+    lagged = with_lags(rows, range(1, N_LAGS + MAX_HORIZON + 1), max_rows=max_rows)
+    return lagged.where(F.col("used").isNotNull()).select("series_id", "time_index", "tourism", "lags", F.inline("used"))
+
+
+def train_records(
+    ts: DataFrame, masks: DataFrame, purpose: str | None = "train", max_rows: int | None = None
+) -> DataFrame:
+    """Feature rows the stored models were fitted on, with target_id, model_id and purpose.
+
+    `purpose` picks train or validation rows, None takes both.
+    """
+    if purpose is not None and purpose.lower() not in PURPOSES:
+        raise ValueError(f"purpose must be one of {PURPOSES} or None, not {purpose!r}")
+    kinds = PURPOSES if purpose is None else [purpose.lower()]
+    parts = F.array(*[F.struct(F.lit(kind).alias("purpose"), F.col(kind).alias("mask")) for kind in kinds])
+    rows = recorded_rows(ts, masks, max_rows).select("series_id", "model_id", "time_index", "tourism", "lags", F.inline(parts))
+    steps = F.sequence(F.lit(1), F.lit(MAX_HORIZON))
+    rows = rows.select("*", F.explode(F.filter(steps, lambda h: has_bit(F.col("mask"), h))).alias("horizon"))
+    return rows.select(
+        target_id(F.col("series_id"), F.col("horizon")).alias("target_id"),
+        "series_id",
+        "horizon",
+        "model_id",
+        "purpose",
+        F.col("time_index").alias("observation_id"),
+        F.col("tourism").alias("target"),
+        *lag_columns(F.col("lags"), F.col("horizon")),
+        *month_flags(F.col("time_index")),
+    )
+
+
+def recorded_scores(ts: DataFrame, masks: DataFrame, models: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Scores of exactly the rows stored for each of `models`, one model per target, with their purpose.
+
+    A series' models are joined before the horizons are multiplied out, and only those that used a row
+    are written out for it.
+    """
+    chosen = models.select("series_id", "model_id").distinct()
+    own = masks.join(chosen, ["series_id", "model_id"], "left_semi")
+    rows = recorded_rows(ts, own, max_rows).join(models_by_series(models), "series_id")
+    either = F.col("train").bitwiseOR(F.col("validation"))
+    using = F.filter("models", lambda m: (m["model_id"] == F.col("model_id")) & has_bit(either, m["horizon"]))
+    using = F.transform(using, lambda m: F.struct(m["horizon"].alias("horizon"), m["coef"].alias("coef"), m["fill"].alias("fill")))
+    rows = rows.select("series_id", "model_id", "time_index", "tourism", "lags", "train", F.inline(using))
+    return rows.select(
+        "series_id",
+        "horizon",
+        "model_id",
+        F.when(has_bit(F.col("train"), F.col("horizon")), "train").otherwise("validation").alias("purpose"),
+        F.col("time_index").alias("observation_id"),
+        F.col("tourism").alias("target"),
+        score_of_row().alias("score"),
     )
-    return keyed.join(records, ["target_id", "observation_id"])
 
 
-def recorded_scores(scores: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """Scores of exactly the rows stored for each model. Only keys and errors are shuffled."""
+def _named(scores: DataFrame, record_ids: DataFrame | None) -> DataFrame:
+    """Scores with their target's id, error and purpose, which comes from `record_ids` where it is given."""
     errors = scores.select(
         target_id(F.col("series_id"), F.col("horizon")).alias("target"),
+        "series_id",
+        "horizon",
         "model_id",
         "observation_id",
         "score",
         (F.col("score") - F.col("target")).alias("error"),
+        *(["purpose"] if record_ids is None else []),
     )
-    return errors.join(record_ids, ["target", "model_id", "observation_id"])
+    return errors if record_ids is None else errors.join(record_ids, ["target", "model_id", "observation_id"])
 
 
-def train_residuals(scores: DataFrame, record_ids: DataFrame) -> DataFrame:
-    """Signed error, score minus target, on the rows the scoring models were trained on."""
-    rows = recorded_scores(scores, record_ids.where(F.lower("purpose") == "train"))
-    return rows.select(
-        target_series(F.col("target")).alias("series_id"),
-        target_horizon(F.col("target")).alias("horizon"),
-        "model_id",
-        "observation_id",
-        "score",
-        "error",
+def train_residuals(scores: DataFrame, record_ids: DataFrame | None = None) -> DataFrame:
+    """Signed error, score minus target, on the rows the scoring models were trained on.
+
+    `scores` are `recorded_scores`, or scores of any rows to be matched with `record_ids`.
+    """
+    return (
+        _named(scores, record_ids)
+        .where(F.lower("purpose") == "train")
+        .select("series_id", "horizon", "model_id", "observation_id", "score", "error")
     )
 
 
 def evaluate_fit(
     scores: DataFrame,
-    record_ids: DataFrame,
+    record_ids: DataFrame | None,
     fit_performance: DataFrame,
     models: DataFrame | None = None,
     loss_function: str = LOSS,
@@ -145,11 +211,12 @@ def evaluate_fit(
 ) -> DataFrame:
     """Compare the loss on the stored rows, scored again, with the loss stored at fitting.
 
+    `scores` are `recorded_scores`, or scores of any rows to be matched with `record_ids`.
     With `models` (target, model_id), the ones that were scored, a loss that is missing on either side
     fails the check instead of leaving it.
     """
     repeated = (
-        recorded_scores(scores, record_ids)
+        _named(scores, record_ids)
         .groupBy("target", "model_id", "purpose")
         .agg((-F.avg(F.abs("error"))).alias("repeated"))
     )

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.config import LAG_NAMES, N_LAGS, PREDICTORS
-from tidecast.functions.expressions import lag_columns, linear_score, max_horizon, target_id
+from tidecast.functions.expressions import lag_columns, linear_score, max_horizon, month_flags, target_id
 from tidecast.operators.features import anchors, future_limit, lagged_rows
 
 
@@ -33,42 +33,81 @@ def fill_of(models: DataFrame) -> Column:
 
 
 def batch_score(features: DataFrame, models: DataFrame) -> DataFrame:
-    """Add `score` to feature rows from the model of their (series_id, horizon).
+    """Add `score` to the rows of a feature table from the model of their (series_id, horizon).
 
-    `models` holds one row per target. If one series has far more rows than the others, adaptive
-    execution splits its part of the join.
+    `models` holds one row per target. A series' models, at most 24, come as one row, so a table that lies
+    by series is not shuffled. If one series has far more rows than the others, adaptive execution splits
+    its part of the join. Rows without a model are left out.
     """
     lags = [F.col(name) for name in LAG_NAMES]
+    own = F.get(F.filter("models", lambda m: m["horizon"] == F.col("horizon")), F.lit(0))
     return (
-        features.join(models.select("series_id", "horizon", "model_id", "coef", fill_of(models)), ["series_id", "horizon"])
-        .withColumn("score", linear_score(F.col("coef"), F.col("observation_id"), lags, F.col("fill")))
-        .drop("coef", "fill")
+        features.join(models_by_series(models), "series_id")
+        .withColumn("model", own)
+        .where(F.col("model").isNotNull())
+        .withColumns(
+            {
+                "model_id": F.col("model.model_id"),
+                "score": linear_score(F.col("model.coef"), F.col("observation_id"), lags, F.col("model.fill")),
+            }
+        )
+        .drop("models", "model")
+    )
+
+
+def models_by_series(models: DataFrame) -> DataFrame:
+    """One row per series with its models, one per target: at most 24."""
+    return models.groupBy("series_id").agg(
+        F.collect_list(F.struct("horizon", "model_id", "coef", fill_of(models))).alias("models")
     )
 
 
+def with_models(lagged: DataFrame, models: DataFrame) -> DataFrame:
+    """Rows with all their lags, once for each model of their series whose horizon has its lags.
+
+    The join comes before the horizons are multiplied out: with bounded series the rows are not shuffled
+    again after their lags are built.
+    """
+    rows = lagged.join(models_by_series(models), "series_id").select(*lagged.columns, F.inline("models"))
+    return rows.where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull())
+
+
+def score_of_row() -> Column:
+    """Score of a row of `with_models`."""
+    lags = lag_columns(F.col("lags"), F.col("horizon"))
+    return linear_score(F.col("coef"), F.col("time_index"), lags, F.col("fill"))
+
+
 def train_scores(
     ts: DataFrame, models: DataFrame, holdout: str = "fixed", max_rows: int | None = None
 ) -> DataFrame:
-    """Scores of all training rows by the given models, one per target.
-
-    A series' models, at most 24, are joined to its rows before the horizons are multiplied out, so
-    with bounded series the rows are not shuffled again after their lags are built.
-    """
-    per_series = models.groupBy("series_id").agg(
-        F.collect_list(F.struct("horizon", "model_id", "coef", fill_of(models))).alias("models")
-    )
+    """Scores of all training rows by the given models, one per target."""
     lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
-    rows = lagged.join(per_series, "series_id").select(
-        "series_id", "time_index", "tourism", "lags", F.inline("models")
-    )
-    lags = lag_columns(F.col("lags"), F.col("horizon"))
-    return rows.where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull()).select(
+    return with_models(lagged, models).select(
         "series_id",
         "horizon",
         "model_id",
         F.col("time_index").alias("observation_id"),
         F.col("tourism").alias("target"),
-        linear_score(F.col("coef"), F.col("time_index"), lags, F.col("fill")).alias("score"),
+        score_of_row().alias("score"),
+    )
+
+
+def scored_features(
+    ts: DataFrame, models: DataFrame, holdout: str = "fixed", max_rows: int | None = None
+) -> DataFrame:
+    """The training features of every target with a model, and their score."""
+    lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
+    return with_models(lagged, models).select(
+        "series_id",
+        "horizon",
+        F.col("time_index").alias("observation_id"),
+        F.col("tourism").alias("target"),
+        *lag_columns(F.col("lags"), F.col("horizon")),
+        *month_flags(F.col("time_index")),
+        "future_record_count",
+        "model_id",
+        score_of_row().alias("score"),
     )
 
 

@@ -5,13 +5,15 @@ A fit run adds to every table once, for all targets together.
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecast import schemas
-from tidecast.config import LOSS, N_LAGS, PREDICTORS
-from tidecast.functions.expressions import horizons, is_finite, target_horizon, target_id, target_series
+from tidecast.config import LOSS, MAX_HORIZON, N_LAGS, PREDICTORS
+from tidecast.functions.expressions import is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
 from tidecast.operators.split import purpose
 from tidecast.sources.tables import read_table
@@ -40,29 +42,52 @@ def predictor_rows(models: DataFrame, predictors: Sequence[str] = tuple(PREDICTO
     )
 
 
-def record_rows(
+def record_masks(
     ts: DataFrame, models: DataFrame, holdout: str = "fixed", max_rows: int | None = None
 ) -> DataFrame:
-    """The rows each model was trained and held out on."""
-    rows = (
-        lagged_rows(ts, max_rows)
-        .where((F.col("future_record_count") > future_limit(holdout)) & is_finite(F.col("tourism")))
-        .select(
-            "series_id",
-            F.explode(horizons(F.col("series_id"))).alias("horizon"),
-            "time_index",
-            "lags",
-            purpose(F.col("series_id"), F.col("time_index")).alias("purpose"),
-        )
-        .where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull())
-        .select(
-            target_id(F.col("series_id"), F.col("horizon")).alias("target"),
-            "purpose",
-            F.col("time_index").alias("observation_id"),
-        )
+    """The rows each model was trained and held out on, all horizons of an observation in one row.
+
+    A series' models are joined to its rows before anything is multiplied out. If its targets have
+    different model ids, an observation has one row for each id.
+    """
+    bit = F.call_function("shiftleft", F.lit(1), F.col("horizon") - 1)
+    per_id = models.groupBy("series_id", "model_id").agg(F.bit_or(bit).alias("fitted"))
+    per_series = per_id.groupBy("series_id").agg(F.collect_list(F.struct("model_id", "fitted")).alias("models"))
+    usable = reduce(
+        add,
+        [F.when(F.get("lags", F.lit(h + N_LAGS - 1)).isNotNull(), 1 << (h - 1)).otherwise(0) for h in range(1, MAX_HORIZON + 1)],
     )
-    return rows.join(models.select("target", "model_id"), "target").select(
-        *[f.name for f in schemas.RECORD_IDS]
+    rows = lagged_rows(ts, max_rows).where(
+        (F.col("future_record_count") > future_limit(holdout)) & is_finite(F.col("tourism"))
+    )
+    rows = rows.select(
+        "series_id",
+        F.col("time_index").alias("observation_id"),
+        usable.alias("usable"),
+        purpose(F.col("series_id"), F.col("time_index")).alias("purpose"),
+    )
+    masks = rows.join(per_series, "series_id").select("*", F.inline("models"))
+    used = F.col("usable").bitwiseAND(F.col("fitted"))
+    return masks.where(used != 0).select(
+        "series_id",
+        "model_id",
+        "observation_id",
+        *[F.when(F.col("purpose") == name, used).otherwise(0).alias(name) for name in ("train", "validation")],
+    )
+
+
+def has_bit(mask: Column, horizon: Column) -> Column:
+    return F.call_function("shiftright", mask, horizon - 1).bitwiseAND(F.lit(1)) == 1
+
+
+def record_ids(masks: DataFrame) -> DataFrame:
+    """The masks written out: one row per target, model and observation."""
+    purposes = F.array(*[F.struct(F.lit(name).alias("purpose"), F.col(name).alias("mask")) for name in ("train", "validation")])
+    steps = F.sequence(F.lit(1), F.lit(MAX_HORIZON))
+    return (
+        masks.select("series_id", "model_id", "observation_id", F.inline(purposes))
+        .select("*", F.explode(F.filter(steps, lambda h: has_bit(F.col("mask"), h))).alias("horizon"))
+        .select(target_id(F.col("series_id"), F.col("horizon")).alias("target"), "model_id", "purpose", "observation_id")
     )
 
 
@@ -134,6 +159,9 @@ class Registry:
         return self
 
     def read(self, name: str) -> DataFrame:
+        """A table of the registry; `record_ids` is its record masks written out."""
+        if name == "record_ids":
+            return record_ids(self.read("record_masks"))
         return read_table(self.spark, f"{self.folder}/{name}", schemas.REGISTRY[name])
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -159,7 +187,7 @@ class Registry:
         models.write.parquet(path)
         models = self.spark.read.schema(models.schema).parquet(path)
         self.append("predictors", predictor_rows(models, predictors))
-        self.append("record_ids", record_rows(ts, models, holdout, max_rows))
+        self.append("record_masks", record_masks(ts, models, holdout, max_rows))
         self.append("fit_performance", loss_rows(models))
         self.append("models", meta_rows(models, create_date))
         # Last, so a run cut short leaves no model that looks complete.

@@ -709,7 +709,7 @@ def record_ids(spark, sf_dir):
 )
 def train_records(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
-    rows = evaluate.train_records(features.train_features(ts, **BOUND), store.read("record_ids"))
+    rows = evaluate.train_records(ts, store.read("record_masks"), **BOUND)
     return rows.select("target_id", "horizon", "observation_id", "target", *LAG_NAMES)
 
 
@@ -720,8 +720,8 @@ def train_records(spark, sf_dir):
 )
 def train_residuals(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
-    scores = forecast.train_scores(ts, pipeline.current_models(store), **BOUND)
-    residuals = evaluate.train_residuals(scores, store.read("record_ids"))
+    scores = evaluate.recorded_scores(ts, store.read("record_masks"), pipeline.current_models(store), **BOUND)
+    residuals = evaluate.train_residuals(scores)
     return single(residuals, "score", "error")
 
 
@@ -732,8 +732,8 @@ def train_residuals(spark, sf_dir):
 def evaluate_fit(spark, sf_dir):
     ts, store = stored_models(spark, sf_dir)
     models = pipeline.current_models(store)
-    scores = forecast.train_scores(ts, models, **BOUND)
-    checked = evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"), models)
+    scores = evaluate.recorded_scores(ts, store.read("record_masks"), models, **BOUND)
+    checked = evaluate.evaluate_fit(scores, None, store.read("fit_performance"), models)
     return single(
         checked.select("target", "model_id", "purpose", "repeated", F.col("pass").cast("int").alias("passed")),
         "repeated",
@@ -754,7 +754,7 @@ def line_models(spark, sf_dir, predictor="observation_id"):
 )
 def batch_score(spark, sf_dir):
     ts, models = line_models(spark, sf_dir)
-    scored = forecast.batch_score(features.train_features(ts, **BOUND), models)
+    scored = forecast.scored_features(ts, models, **BOUND)
     return single(scored.select("series_id", "horizon", "observation_id", "score"), "score")
 
 
@@ -1131,8 +1131,8 @@ def evaluate_fit_all_predictors(spark, sf_dir):
     store = pipeline.new_registry(spark)
     pipeline.fit_and_store(store, ts, **BOUND)
     models = pipeline.current_models(store)
-    scores = forecast.train_scores(ts, models, **BOUND)
-    return evaluate.evaluate_fit(scores, store.read("record_ids"), store.read("fit_performance"), models)
+    scores = evaluate.recorded_scores(ts, store.read("record_masks"), models, **BOUND)
+    return evaluate.evaluate_fit(scores, None, store.read("fit_performance"), models)
 
 
 def full_models(spark, sf_dir):

@@ -15,6 +15,8 @@ MODEL_STORAGE = _schema(
 )
 PREDICTORS = _schema(target=STRING, model_id=INT, predictor_index=INT, predictor=STRING)
 RECORD_IDS = _schema(target=STRING, model_id=INT, purpose=STRING, observation_id=INT)
+# One row per series, model id and observation: bit h - 1 is set where the model of horizon h used the row.
+RECORD_MASKS = _schema(series_id=STRING, model_id=INT, observation_id=INT, train=INT, validation=INT)
 FIT_PERFORMANCE = _schema(
     target=STRING, model_id=INT, purpose=STRING, loss_function=STRING, performance=DOUBLE
 )
@@ -23,7 +25,7 @@ MODELS = _schema(target=STRING, model_id=INT, create_date=DATE)
 REGISTRY = {
     "model_storage": MODEL_STORAGE,
     "predictors": PREDICTORS,
-    "record_ids": RECORD_IDS,
+    "record_masks": RECORD_MASKS,
     "fit_performance": FIT_PERFORMANCE,
     "models": MODELS,
 }
