@@ -22,7 +22,8 @@ from tidecast.sources.tables import staged
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
-CACHED_UNITS = 400_000
+CACHED_UNITS = 300_000
+PART_BYTES = 1 << 19
 LANE_BYTES = 1 << 10
 SPACE_MARK = "▁"
 
@@ -48,6 +49,8 @@ class ByteTokens:
                 self.bytes_of[number] = bytes(spelled[c] for c in token)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.encoder.known) > CACHED_UNITS:
+            self.encoder.known.clear()
         return self.encoder.encode(column)
 
 
@@ -179,7 +182,7 @@ def group_texts(ids_a, ids_b, links_a, links_b) -> tuple[np.ndarray, np.ndarray]
 
 
 def aligned_batch(part: pa.RecordBatch, a: ByteTokens, b: PieceTokens, lane_bytes: int = LANE_BYTES) -> dict:
-    """The alignment of a slice of documents: counts and digests per document, and the links' id pairs."""
+    """The alignment of some documents: counts and digests per document, and the id pair of each link."""
     texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
     filled = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
     space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
@@ -203,13 +206,9 @@ def aligned_batch(part: pa.RecordBatch, a: ByteTokens, b: PieceTokens, lane_byte
         hashlib.sha256(text[s + 1 : e].tobytes()).hexdigest() if e > s else "" for s, e in zip(cut[:-1], cut[1:])
     ]
     n_links = np.diff(np.searchsorted(links_a, at_a))
-    pairs, place, times = np.unique(
-        (ids_a[links_a] << 32) | ids_b[links_b], return_inverse=True, return_counts=True
-    )
     return {
-        "doc_id": part.column("doc_id"), "n_a": np.diff(at_a), "n_b": np.diff(at_b), "n_groups": n_links,
-        "n_links": n_links, "groups_sha256": digests, "a": pairs >> 32, "b": pairs & 0xFFFFFFFF, "times": times,
-        "links": place.astype("<u4").tobytes(),
+        "n_a": np.diff(at_a), "n_b": np.diff(at_b), "n_groups": n_links, "n_links": n_links,
+        "groups_sha256": digests, "pairs": (ids_a[links_a] << 32) | ids_b[links_b],
     }
 
 
@@ -222,16 +221,22 @@ def alignment_shards(docs: DataFrame, byte_path: str, piece_path: str) -> DataFr
             cache[byte_path, piece_path] = ByteTokens(byte_path), PieceTokens(piece_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = aligned_batch(part, *cache[byte_path, piece_path])
-                columns = [found["doc_id"], *[pa.array(found[n]) for n in COUNTS], pa.array(found["groups_sha256"])]
-                rows = pa.StructArray.from_arrays(columns, ["doc_id", *COUNTS, "groups_sha256"])
+                # Bytes and digits of tokens take many times a text's room, so they are made for parts of a slice.
+                found = [aligned_batch(p, *cache[byte_path, piece_path]) for p in slices(part, "text", PART_BYTES)]
+                columns = [pa.array(np.concatenate([x[n] for x in found])) for n in COUNTS]
+                digests = pa.array([d for x in found for d in x["groups_sha256"]])
+                rows = pa.StructArray.from_arrays(
+                    [part.column("doc_id"), *columns, digests], ["doc_id", *COUNTS, "groups_sha256"]
+                )
+                pairs, place, times = np.unique(
+                    np.concatenate([x["pairs"] for x in found]), return_inverse=True, return_counts=True
+                )
+                lists = [listed(pa.array(x)) for x in (pairs >> 32, pairs & 0xFFFFFFFF, times)]
+                links = pa.array([place.astype("<u4").tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([next(numbers)]), listed(rows), *[listed(pa.array(found[n])) for n in ("a", "b", "times")],
-                        pa.array([found["links"]], pa.binary()),
-                    ],
+                    [pa.array([next(numbers)]), listed(rows), *lists, links],
                     ["shard", "docs", "a", "b", "times", "links"],
-                )
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SHARDS)
