@@ -23,6 +23,7 @@ from tidecast.operators.impute import exact_medians
 from tidecast.operators.selection import in_sample
 from tidecast.operators.sequence import chunk_of, fits_one_task, with_lags
 from tidecast.operators.split import fold as fold_of
+from tidecast.sources.bucketed import one_series
 from tidecast.sources.tables import staged
 
 # Send the package's code along with the tasks, so executors need not have it installed.
@@ -85,6 +86,15 @@ def fit_models(
     )
 
 
+def fit_one_series(ts: DataFrame, series_id: str, **options) -> DataFrame:
+    """`fit_models` for one series, named in any letter case.
+
+    The filter reaches the scan: from a bucketed table only the files of the series' bucket are read, however
+    many series there are.
+    """
+    return fit_models(one_series(ts, series_id), **options)
+
+
 def training_rows(ts, folds, holdout, max_rows, chunk_rows):
     """Each row that any horizon trains on, with all its lags and its fold; horizons are cut out later."""
     furthest = F.slice("lags", N_LAGS + 1, MAX_HORIZON)  # the twelfth lag of every horizon

@@ -7,6 +7,7 @@ from tidecast.config import HORIZONS, MAX_HORIZON
 from tidecast.functions.expressions import by_frequency, frequency, horizons, max_horizon, metadata_rows, target_id
 from tidecast.operators.reference_tables import max_time
 from tidecast.operators.sequence import last_rows
+from tidecast.sources.bucketed import one_series
 
 
 def in_sample(ts: DataFrame) -> DataFrame:
@@ -15,10 +16,13 @@ def in_sample(ts: DataFrame) -> DataFrame:
 
 
 def series_extract(ts: DataFrame, sample_type: str, series_id: str | None = None) -> DataFrame:
-    """One series, or all of them, in time order. Letter case of ids and sample types is ignored."""
+    """One series, or all of them, in time order. Letter case of the two names is ignored.
+
+    Ids and sample types are in lower case in every loaded table, so both filters reach the scan.
+    """
     rows = ts.where(F.col("sample_type") == sample_type.lower())
     if series_id is not None:
-        rows = rows.where(F.lower("series_id") == series_id.lower())
+        rows = one_series(rows, series_id)
     return rows.select("series_id", "time_index", "tourism").orderBy("series_id", "time_index")
 
 

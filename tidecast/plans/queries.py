@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from tidecast.config import LAG_NAMES, MONTH_NAMES, PREDICTORS
 from tidecast.functions.expressions import is_finite, linear_score, month_flags, target_horizon, target_series
 from tidecast.operators import evaluate, features, forecast, quality, reference_tables, registry, selection, split
-from tidecast.operators.fit import WIDE_CANDIDATES, fit_models, target_status, trend_models
+from tidecast.operators.fit import WIDE_CANDIDATES, fit_models, fit_one_series, target_status, trend_models
 from tidecast.operators.impute import impute
 from tidecast.plans import oracle as sql
 from tidecast.plans import pipeline
 from tidecast.schemas import KEYS
-from tidecast.sources import tables, wide_csv
+from tidecast.sources import bucketed, tables, wide_csv
 from tidecast.sources.sales_series import MAX_SERIES_ROWS, sales_series
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -619,6 +619,28 @@ def fit_status(spark, sf_dir):
     return target_status(ts, fit_models(ts, ["lag_12"], ("ols",), **BOUND))
 
 
+def bucketed_series(spark, sf_dir):
+    """The series table stored by series id, in buckets that grow with it."""
+    ts = tables.staged(sales_series(spark, sf_dir), "time_series")
+    path = tables.staging_path(spark, "bucketed-series")
+    return spark.table(bucketed.write_bucketed(ts, path, bucketed.buckets_for(ts.count())))
+
+
+@query(f"SELECT * FROM ({_line_sql('observation_id')}) m WHERE series_id = 'm1'", name="fit_one_series")
+def fit_single_series(spark, sf_dir):
+    """All horizons of one series out of the whole table."""
+    fitted = fit_one_series(bucketed_series(spark, sf_dir), "M1", predictors=["observation_id"], candidates=("ols",), **BOUND)
+    return _line(fitted, "observation_id")
+
+
+@query(
+    f"WITH {sql.TIME_SERIES} SELECT series_id, time_index, tourism FROM time_series "
+    "WHERE sample_type = 'in' AND series_id = 'q3'"
+)
+def series_extract_one(spark, sf_dir):
+    return selection.series_extract(bucketed_series(spark, sf_dir), "IN", "Q3")
+
+
 # Registry
 
 def stored_models(spark, sf_dir, runs=("observation_id",), create_date=None):
@@ -713,6 +735,31 @@ def train_records(spark, sf_dir):
     return rows.select("target_id", "horizon", "observation_id", "target", *LAG_NAMES)
 
 
+TRAIN_RECORDS_SQL = (
+    f"{RECORDS_SQL} SELECT target_id, CAST(horizon AS INTEGER) AS horizon, observation_id, target, {sql.LAG_LIST} "
+    "FROM records WHERE purpose = 'train'"
+)
+
+
+def co_located_records(spark, sf_dir):
+    """Series and record masks stored by series id, and the training records joined inside the buckets."""
+    session = bucketed.co_located_session(spark)
+    ts, store = stored_models(spark, sf_dir)
+    buckets = bucketed.buckets_for(ts.count())
+    series_path, masks_path = (tables.staging_path(spark, n) for n in ("bucketed-series", "bucketed-masks"))
+    series = bucketed.write_bucketed(ts, series_path, buckets)
+    masks = bucketed.write_bucketed(
+        store.read("record_masks"), masks_path, buckets, order=("series_id", "observation_id")
+    )
+    return evaluate.train_records(session.table(series), session.table(masks), **BOUND)
+
+
+@query(TRAIN_RECORDS_SQL)
+def train_records_bucketed(spark, sf_dir):
+    rows = co_located_records(spark, sf_dir)
+    return rows.select("target_id", "horizon", "observation_id", "target", *LAG_NAMES)
+
+
 @query(
     f"{RECORDS_SQL} SELECT r.series_id, CAST(r.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, "
     f"{r1('a + b * observation_id', 'score')}, {r1('a + b * observation_id - target', 'error')} FROM records r JOIN models m "
