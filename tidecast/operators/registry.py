@@ -1,6 +1,7 @@
 """Registry of models, their predictors, training rows and losses, as Parquet tables.
 
-A fit run adds to every table once, for all targets together.
+A fit run adds to every table once, for all targets together, and is published as a whole. Runs may overlap:
+the one that is published later takes its model ids after the other's.
 """
 
 import uuid
@@ -8,6 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from tidecast.config import LOSS, MAX_HORIZON, N_LAGS, PREDICTORS
 from tidecast.functions.expressions import is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
 from tidecast.operators.split import purpose
-from tidecast.sources.tables import read_table
+
+PUBLISH_ATTEMPTS = 20
 
 
 def next_model_ids(targets: DataFrame, model_storage: DataFrame) -> DataFrame:
@@ -146,27 +149,118 @@ def scoring_models(model_storage: DataFrame) -> DataFrame:
     )
 
 
+class Conflict(RuntimeError):
+    """Another run was published since this one began."""
+
+
+class Run:
+    """Rows to be added to a registry together. They are seen by nobody before `publish`."""
+
+    def __init__(self, registry: "Registry"):
+        self.registry = registry
+        self.runs = registry.published()
+        self.name = uuid.uuid4().hex
+        self.folder = f"{registry.folder}/runs/{self.name}"
+
+    def read(self, name: str) -> DataFrame:
+        """A table as it was when the run began."""
+        return self.registry.read(name, self.runs)
+
+    def add(self, name: str, rows: DataFrame) -> None:
+        columns = [F.col(f.name).cast(f.dataType) for f in schemas.REGISTRY[name]]
+        rows.select(*columns).write.parquet(f"{self.folder}/{name}")
+
+    def publish(self) -> None:
+        """Make the run the next one of the registry, or raise Conflict if another has that place.
+
+        The manifest is written aside and renamed to its number, which fails where the number is taken. A
+        run cut short before has no manifest and is never read.
+        """
+        if not self.registry.place(len(self.runs), self.name):
+            raise Conflict(f"run {len(self.runs)} of {self.registry.folder} is taken")
+
+
 class Registry:
-    """The five tables under one folder, which executors must be able to reach."""
+    """Five tables under one folder, which executors must be able to reach.
+
+    Each run adds to the tables in a folder of its own. The log names the runs in order; tables are read
+    from the runs that the log names.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):
+        return self._path("log").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def create(self) -> "Registry":
-        for name, schema in schemas.REGISTRY.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{self.folder}/{name}")
+        self._files().mkdirs(self._path("log"))
         return self
 
-    def read(self, name: str) -> DataFrame:
-        """A table of the registry; `record_ids` is its record masks written out."""
+    def published(self) -> list[str]:
+        """Names of the published runs, in order."""
+        names = [status.getPath().getName() for status in self._files().listStatus(self._path("log"))]
+        if not any(name[0].isdigit() for name in names):
+            return []
+        rows = self.spark.read.text(f"{self.folder}/log/[0-9]*").collect()
+        manifests = sorted((int(number), run) for number, run in (r.value.split(" ") for r in rows))
+        return [run for _, run in manifests]
+
+    def place(self, number: int, run: str) -> bool:
+        """Publish a run under a number; False if the number is taken."""
+        jvm = self.spark.sparkContext._jvm
+        aside, final = self._path(f"log/_{run}"), self._path(f"log/{number:010d}")
+        out = self._files().create(aside)
+        try:
+            out.write(bytearray(f"{number} {run}\n".encode()))
+        finally:
+            out.close()
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            self._files().getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
+        )
+        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename")
+        try:
+            files.rename(aside, final, self.spark.sparkContext._gateway.new_array(rename, 0))
+        except Py4JJavaError as error:
+            if "FileAlreadyExistsException" not in error.java_exception.getClass().getName():
+                raise
+            self._files().delete(aside, False)
+            return False
+        return True
+
+    def begin(self) -> Run:
+        return Run(self)
+
+    def read(self, name: str, runs: Sequence[str] | None = None) -> DataFrame:
+        """A table over the given or all published runs; `record_ids` is its record masks written out."""
         if name == "record_ids":
-            return record_ids(self.read("record_masks"))
-        return read_table(self.spark, f"{self.folder}/{name}", schemas.REGISTRY[name])
+            return record_ids(self.read("record_masks", runs))
+        paths = [f"{self.folder}/runs/{run}/{name}" for run in (self.published() if runs is None else runs)]
+        files = self._files()
+        paths = [p for p in paths if files.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))]
+        if not paths:
+            return self.spark.createDataFrame([], schemas.REGISTRY[name])
+        return self.spark.read.schema(schemas.REGISTRY[name]).parquet(*paths)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        columns = [F.col(f.name).cast(f.dataType) for f in schemas.REGISTRY[name]]
-        rows.select(*columns).write.mode("append").parquet(f"{self.folder}/{name}")
+        """Add rows to one table as a run of their own."""
+        self._published(lambda run: run.add(name, rows))
+
+    def _published(self, write):
+        """Write a run and publish it, again from the newest state as long as another one comes first."""
+        for _ in range(PUBLISH_ATTEMPTS):
+            run = self.begin()
+            result = write(run)
+            try:
+                run.publish()
+                return result
+            except Conflict:
+                continue
+        raise Conflict(f"no run of {PUBLISH_ATTEMPTS} came first in {self.folder}")
 
     def add_models(
         self,
@@ -177,19 +271,32 @@ class Registry:
         max_rows: int | None = None,
         create_date: str | None = None,
     ) -> DataFrame:
-        """Give freshly fitted models their ids and store everything about them.
+        """Give freshly fitted models their ids and store everything about them, all or nothing.
 
-        `fitted` is read several times, so it should be a stored table. Ids are taken once for the
-        whole run; runs on the same registry must follow one another.
+        `fitted` is read several times, so it should be a stored table. Ids follow the models published when
+        the run begins. If another run is published meanwhile, the ids are taken anew and the rows written
+        again; the fit is not repeated.
         """
-        models = with_model_ids(fitted, self.read("model_storage"))
-        path = f"{self.folder}/runs/{self.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-        models.write.parquet(path)
-        models = self.spark.read.schema(models.schema).parquet(path)
-        self.append("predictors", predictor_rows(models, predictors))
-        self.append("record_masks", record_masks(ts, models, holdout, max_rows))
-        self.append("fit_performance", loss_rows(models))
-        self.append("models", meta_rows(models, create_date))
-        # Last, so a run cut short leaves no model that looks complete.
-        self.append("model_storage", model_rows(models))
-        return models
+        return self._published(lambda run: write_models(run, fitted, ts, predictors, holdout, max_rows, create_date))
+
+
+def write_models(
+    run: Run,
+    fitted: DataFrame,
+    ts: DataFrame,
+    predictors: Sequence[str] = tuple(PREDICTORS),
+    holdout: str = "fixed",
+    max_rows: int | None = None,
+    create_date: str | None = None,
+) -> DataFrame:
+    """Write fitted models, with the ids that follow the run's view of the registry, and all about them."""
+    spark, path = run.registry.spark, f"{run.folder}/fitted"
+    models = with_model_ids(fitted, run.read("model_storage"))
+    models.write.parquet(path)
+    models = spark.read.schema(models.schema).parquet(path)
+    run.add("predictors", predictor_rows(models, predictors))
+    run.add("record_masks", record_masks(ts, models, holdout, max_rows))
+    run.add("fit_performance", loss_rows(models))
+    run.add("models", meta_rows(models, create_date))
+    run.add("model_storage", model_rows(models))
+    return models
