@@ -22,7 +22,7 @@ from tidecast.sources.tables import staged
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
-CACHED_UNITS = 300_000
+CACHED_UNITS = 250_000
 PART_BYTES = 1 << 19
 LANE_BYTES = 1 << 10
 SPACE_MARK = "▁"
@@ -47,6 +47,7 @@ class ByteTokens:
         for token, number in vocabulary.items():
             if all(c in spelled for c in token):
                 self.bytes_of[number] = bytes(spelled[c] for c in token)
+        self.sizes = np.array([len(x) for x in self.bytes_of])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.encoder.known) > CACHED_UNITS:
@@ -67,6 +68,7 @@ class PieceTokens:
         self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.whole.id_to_piece(i) for i in range(self.whole.vocab_size())]
         self.bytes_of = [self.bytes_of_piece(p) for p in pieces]
+        self.sizes = np.array([len(x) for x in self.bytes_of])
         self.separable = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces)
         self.known: dict[bytes, bytes] = {}
 
@@ -83,9 +85,11 @@ class PieceTokens:
         starts[texts.data == 0x20] = True
         starts[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
         at = np.flatnonzero(starts)
-        units = binary_array(texts.data, np.append(at, len(texts.data))).dictionary_encode()
-        distinct = [u.lstrip(b" ") for u in units.dictionary.to_pylist()]
-        fresh = [u for u in dict.fromkeys(distinct) if u not in self.known]
+        letters = texts.data != 0x20
+        before = np.append(0, np.cumsum(letters))
+        units = binary_array(texts.data[letters], before[np.append(at, len(letters))]).dictionary_encode()
+        distinct = units.dictionary.to_pylist()
+        fresh = [u for u in distinct if u not in self.known]
         new = dict(zip(fresh, self.ids_of([u.decode() for u in fresh])))
         of_unit = units.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         ids, first = spread([self.known.get(u) or new.get(u, b"") for u in distinct], of_unit, "<u4")
@@ -181,37 +185,65 @@ def group_texts(ids_a, ids_b, links_a, links_b) -> tuple[np.ndarray, np.ndarray]
     return text, starts
 
 
+def doc_ranges(offsets: np.ndarray, limit: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive documents of at most `limit` bytes together, one at least."""
+    start, count = 0, len(offsets) - 1
+    while start < count:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + limit, side="right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def aligned_batch(part: pa.RecordBatch, a: ByteTokens, b: PieceTokens, lane_bytes: int = LANE_BYTES) -> dict:
-    """The alignment of some documents: counts and digests per document, and the id pair of each link."""
+    """The alignment of a slice of documents: counts and digests per document, and the id pair of each link."""
     texts = pc.fill_null(part.column("text").cast(pa.large_string()), "")
     filled = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
     space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
     spaced = pc.if_else(pa.array(filled), pc.binary_join_element_wise(space, texts, nothing), nothing)
-    (ids_a, at_a), (ids_b, at_b) = a.encode(spaced), b.encode(texts)
+    sides = [(*a.encode(spaced), a.bytes_of, a.sizes), (*b.encode(texts), b.bytes_of, b.sizes)]
     whole = texts_of(spaced)
-    good = filled & equal_bytes(whole, ids_a, at_a, a.bytes_of) & equal_bytes(whole, ids_b, at_b, b.bytes_of)
-
-    def kept(ids, at):
-        sizes = np.where(good, np.diff(at), 0)
-        return ids[np.repeat(good, np.diff(at))].astype(np.int64), np.append(0, np.cumsum(sizes))
-
-    (ids_a, at_a), (ids_b, at_b) = kept(ids_a, at_a), kept(ids_b, at_b)
-    bounds = np.append(0, np.cumsum(np.where(good, np.diff(whole.offsets), 0)))
-    ends_a = np.cumsum(np.array([len(x) for x in a.bytes_of])[ids_a])
-    ends_b = np.cumsum(np.array([len(x) for x in b.bytes_of])[ids_b])
+    # Bytes and digits of tokens take many times a text's room, so they are made for some documents at a time.
+    found = [
+        _aligned(
+            Texts(whole.data[whole.offsets[i] : whole.offsets[j]], whole.offsets[i : j + 1] - whole.offsets[i]),
+            filled[i:j],
+            [(ids[at[i] : at[j]], at[i : j + 1] - at[i], spelled, sizes) for ids, at, spelled, sizes in sides],
+            lane_bytes,
+        )
+        for i, j in doc_ranges(whole.offsets)
+    ]
+    joined = {name: np.concatenate([x[name] for x in found]) for name in (*COUNTS, "pairs")} if found else {}
+    return {**joined, "groups_sha256": [d for x in found for d in x["groups_sha256"]]}
+
+
+def _aligned(texts: Texts, filled: np.ndarray, sides: list, lane_bytes: int) -> dict:
+    good = filled.copy()
+    for ids, at, spelled, _ in sides:
+        good &= equal_bytes(texts, ids, at, spelled)
+    bounds = np.append(0, np.cumsum(np.where(good, np.diff(texts.offsets), 0)))
+    kept = []
+    for ids, at, _, sizes in sides:
+        own = ids[np.repeat(good, np.diff(at))].astype(np.int64)
+        kept.append((own, np.append(0, np.cumsum(np.where(good, np.diff(at), 0))), np.cumsum(sizes[own])))
+    (ids_a, at_a, ends_a), (ids_b, at_b, ends_b) = kept
     links_a, links_b = lockstep(ends_a, ends_b, bounds, lane_bytes)
     text, starts = group_texts(ids_a, ids_b, links_a, links_b)
     cut = starts[at_a + at_b]
-    digests = [
-        hashlib.sha256(text[s + 1 : e].tobytes()).hexdigest() if e > s else "" for s, e in zip(cut[:-1], cut[1:])
-    ]
     n_links = np.diff(np.searchsorted(links_a, at_a))
     return {
         "n_a": np.diff(at_a), "n_b": np.diff(at_b), "n_groups": n_links, "n_links": n_links,
-        "groups_sha256": digests, "pairs": (ids_a[links_a] << 32) | ids_b[links_b],
+        "groups_sha256": [
+            hashlib.sha256(text[s + 1 : e].tobytes()).hexdigest() if e > s else "" for s, e in zip(cut[:-1], cut[1:])
+        ],
+        "pairs": (ids_a[links_a] << 32) | ids_b[links_b],
     }
 
 
+def place_type(size: int) -> str:
+    """The smallest type for places in a list of so many pairs."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def alignment_shards(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
     """Slices of documents with the different id pairs of their links and the place of each link's pair."""
 
@@ -221,18 +253,12 @@ def alignment_shards(docs: DataFrame, byte_path: str, piece_path: str) -> DataFr
             cache[byte_path, piece_path] = ByteTokens(byte_path), PieceTokens(piece_path)
         for batch in batches:
             for part in slices(batch, "text"):
-                # Bytes and digits of tokens take many times a text's room, so they are made for parts of a slice.
-                found = [aligned_batch(p, *cache[byte_path, piece_path]) for p in slices(part, "text", PART_BYTES)]
-                columns = [pa.array(np.concatenate([x[n] for x in found])) for n in COUNTS]
-                digests = pa.array([d for x in found for d in x["groups_sha256"]])
-                rows = pa.StructArray.from_arrays(
-                    [part.column("doc_id"), *columns, digests], ["doc_id", *COUNTS, "groups_sha256"]
-                )
-                pairs, place, times = np.unique(
-                    np.concatenate([x["pairs"] for x in found]), return_inverse=True, return_counts=True
-                )
+                found = aligned_batch(part, *cache[byte_path, piece_path])
+                columns = [part.column("doc_id"), *[pa.array(found[n]) for n in COUNTS], pa.array(found["groups_sha256"])]
+                rows = pa.StructArray.from_arrays(columns, ["doc_id", *COUNTS, "groups_sha256"])
+                pairs, place, times = np.unique(found["pairs"], return_inverse=True, return_counts=True)
                 lists = [listed(pa.array(x)) for x in (pairs >> 32, pairs & 0xFFFFFFFF, times)]
-                links = pa.array([place.astype("<u4").tobytes()], pa.binary())
+                links = pa.array([place.astype(place_type(len(pairs))).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([next(numbers)]), listed(rows), *lists, links],
                     ["shard", "docs", "a", "b", "times", "links"],
@@ -284,7 +310,7 @@ def align_tokens(docs: DataFrame, byte_path: str | None = None, piece_path: str
             for i in range(batch.num_rows):
                 rows = batch.column("docs")[i].values
                 found, size = batch.column("found")[i].values, batch.column("size")[i].as_py()
-                place = np.frombuffer(batch.column("links")[i].as_buffer(), dtype="<u4")
+                place = np.frombuffer(batch.column("links")[i].as_buffer(), dtype=place_type(size))
                 ends = np.append(0, np.cumsum(rows.field("n_links").to_numpy(zero_copy_only=False)))
 
                 def summed(name):
