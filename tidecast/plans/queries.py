@@ -8,7 +8,18 @@ from pyspark.sql import functions as F
 
 from tidecast.config import LAG_NAMES, MONTH_NAMES, PREDICTORS
 from tidecast.functions.expressions import is_finite, linear_score, month_flags, target_horizon, target_series
-from tidecast.operators import evaluate, features, forecast, quality, reference_tables, registry, selection, split
+from tidecast.operators import (
+    evaluate,
+    features,
+    forecast,
+    increments,
+    quality,
+    reference_tables,
+    registry,
+    selection,
+    sketches,
+    split,
+)
 from tidecast.operators.fit import WIDE_CANDIDATES, fit_models, fit_one_series, target_status, trend_models
 from tidecast.operators.impute import impute
 from tidecast.plans import oracle as sql
@@ -268,6 +279,42 @@ def similarity_profile_one_kind(spark, sf_dir):
     return rounded(profile, 5, "tourism_stddev", "tourism_avg", "lower", "upper")
 
 
+# Reference tables brought up to date by three appended batches, against the SQL over all rows.
+BATCHES = ["sample_type = 'in' AND time_index < 40", "sample_type = 'in' AND time_index >= 40", "sample_type = 'oos'"]
+
+
+def appended_state(spark, sf_dir):
+    ts, state = tables.staged(sales_series(spark, sf_dir), "time_series"), None
+    for batch in BATCHES:
+        state = tables.staged(increments.add_rows(state, ts.where(batch), **BOUND), "series-state")
+    return state
+
+
+@query(SCALE_SQL)
+def scale_factor_appended(spark, sf_dir):
+    return rounded(increments.scale_factor_of(appended_state(spark, sf_dir)), 5, "error")
+
+
+@query(f"WITH {sql.TIME_SERIES}, {sql.MAX_TIME} SELECT * FROM max_time")
+def max_time_appended(spark, sf_dir):
+    return increments.max_time_of(appended_state(spark, sf_dir))
+
+
+@query(
+    f"WITH {sql.TIME_SERIES}, p AS (SELECT left(series_id, 1) AS series_type, sample_type, time_index, "
+    "stddev_samp(tourism) AS s, avg(tourism) AS a FROM time_series WHERE time_index < 20 GROUP BY 1, 2, 3) "
+    f"SELECT series_type, sample_type, time_index, {r('s', 4, 'tourism_stddev')}, {r('a', 4, 'tourism_avg')}, "
+    f"{r('a - s', 4, 'lower')}, {r('a + s', 4, 'upper')} FROM p"
+)
+def similarity_profile_appended(spark, sf_dir):
+    """Batches by series here, so that points of the profile are in all of them."""
+    ts, state = tables.staged(sales_series(spark, sf_dir), "time_series"), None
+    for part in range(3):
+        batch = ts.where(F.pmod(F.xxhash64("series_id"), F.lit(3)) == part)
+        state = tables.staged(increments.add_to_profile(state, batch), "profile-state")
+    return rounded(increments.similarity_profile_of(state), 4, "tourism_stddev", "tourism_avg", "lower", "upper")
+
+
 GRID_SQL = (
     f"WITH {sql.TIME_SERIES}, {sql.HORIZON_LIST} SELECT series_id, CAST(horizon AS INTEGER) AS horizon, "
     "series_id || '_' || CAST(horizon AS VARCHAR) AS target "
@@ -445,6 +492,22 @@ def impute_median_large_groups(spark, sf_dir):
     return impute(gappy_rows(spark, sf_dir), ["series_id", "sample_type"], ["near", "far"], "target", parts=400)
 
 
+@query(
+    f"WITH {sql.TIME_SERIES} SELECT left(series_id, 1) AS series_type, sample_type, 'tourism' AS \"column\", count(*) AS rows, "
+    "1 AS within FROM time_series GROUP BY 1, 2"
+)
+def median_sketch_error(spark, sf_dir):
+    """Whether the medians of sketches, merged from three tables of them, keep the stated rank error."""
+    keys, columns = ["series_type", "sample_type"], ["tourism"]
+    rows = sales_series(spark, sf_dir).withColumn("series_type", F.substring("series_id", 1, 1))
+    rows = tables.staged(rows, "time_series")
+    part = F.pmod(F.xxhash64("series_id"), F.lit(3)).alias("part")
+    parts = tables.staged(sketches.median_sketches(rows.select("*", part), [*keys, "part"], columns), "sketches")
+    merged = sketches.merge_sketches(parts, keys, columns)
+    errors = sketches.rank_errors(rows, tables.staged(sketches.sketched_medians(merged, keys, columns), "medians"), keys, columns)
+    return errors.select(*keys, "column", "rows", (F.col("error") <= sketches.RANK_ERROR[800]).cast("int").alias("within"))
+
+
 @query(
     f"WITH {sql.TIME_SERIES}, {GAPS}, own AS (SELECT series_id, sample_type, time_index, target, "
     "CASE WHEN left(series_id, 1) = 'q' THEN NULL ELSE near END AS near, far FROM numbers WHERE target IS NOT NULL), "
