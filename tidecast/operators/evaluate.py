@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecast.config import FIT_TOLERANCE, LOSS, MAX_HORIZON, N_LAGS
+from tidecast.config import FIT_TOLERANCE, LOSS
 from tidecast.functions.expressions import (
     lag_columns,
     max_horizon,
@@ -14,11 +14,8 @@ from tidecast.functions.expressions import (
 )
 from tidecast.operators.forecast import models_by_series, score_of_row
 from tidecast.operators.impute import exact_medians
-from tidecast.operators.registry import has_bit, losses
-from tidecast.operators.selection import in_sample, paired_by_position
-from tidecast.operators.sequence import with_lags
-
-PURPOSES = ["train", "validation"]
+from tidecast.operators.registry import PURPOSES, has_bit, horizons_in, losses, recorded_rows
+from tidecast.operators.selection import paired_by_position
 
 
 def compare(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
@@ -110,19 +107,6 @@ def forecast_bands(forecasts: DataFrame, actuals: DataFrame, bounds: DataFrame)
     )
 
 
-def recorded_rows(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Rows that stored models were fitted on, each once per model id, with all their lags and the masks.
-
-    The masks meet the narrow rows of the series, one for one, before lags are built and before any horizon
-    is written out.
-    """
-    used = F.struct("model_id", "train", "validation")
-    used = masks.groupBy("series_id", F.col("observation_id").alias("time_index")).agg(F.collect_list(used).alias("used"))
-    rows = in_sample(ts).select("series_id", "time_index", "tourism").join(used, ["series_id", "time_index"], "left")
-    lagged = with_lags(rows, range(1, N_LAGS + MAX_HORIZON + 1), max_rows=max_rows)
-    return lagged.where(F.col("used").isNotNull()).select("series_id", "time_index", "tourism", "lags", F.inline("used"))
-
-
 def train_records(
     ts: DataFrame, masks: DataFrame, purpose: str | None = "train", max_rows: int | None = None
 ) -> DataFrame:
@@ -135,8 +119,7 @@ def train_records(
     kinds = PURPOSES if purpose is None else [purpose.lower()]
     parts = F.array(*[F.struct(F.lit(kind).alias("purpose"), F.col(kind).alias("mask")) for kind in kinds])
     rows = recorded_rows(ts, masks, max_rows).select("series_id", "model_id", "time_index", "tourism", "lags", F.inline(parts))
-    steps = F.sequence(F.lit(1), F.lit(MAX_HORIZON))
-    rows = rows.select("*", F.explode(F.filter(steps, lambda h: has_bit(F.col("mask"), h))).alias("horizon"))
+    rows = rows.select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
     return rows.select(
         target_id(F.col("series_id"), F.col("horizon")).alias("target_id"),
         "series_id",
@@ -228,3 +211,16 @@ def evaluate_fit(
     passed = F.coalesce(F.abs(F.col("stored") - F.col("repeated")) < tolerance, F.lit(False))
     joined = repeated.join(stored, ["target", "model_id", "purpose"], "inner" if models is None else "full")
     return joined.select("target", "model_id", "purpose", "stored", "repeated", passed.alias("pass"))
+
+
+def changed_rows(stored: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Whether the rows each model was fitted on are still the same: target, model_id, purpose, rows, pass.
+
+    Both sides are `fingerprints`; one that is missing on either side fails. The order of rows and of their
+    partitions does not matter.
+    """
+    keys = ["target", "model_id", "purpose"]
+    again = repeated.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("rows", "hash_a", "hash_b")])
+    same = [F.col(c) == F.col(f"_{c}") for c in ("rows", "hash_a", "hash_b")]
+    passed = F.coalesce(same[0] & same[1] & same[2], F.lit(False))
+    return stored.join(again, keys, "full").select(*keys, "rows", passed.alias("pass"))

@@ -17,9 +17,12 @@ from tidecast import schemas
 from tidecast.config import LOSS, MAX_HORIZON, N_LAGS, PREDICTORS
 from tidecast.functions.expressions import is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
+from tidecast.operators.selection import in_sample
+from tidecast.operators.sequence import with_lags
 from tidecast.operators.split import purpose
 
 PUBLISH_ATTEMPTS = 20
+PURPOSES = ["train", "validation"]
 
 
 def next_model_ids(targets: DataFrame, model_storage: DataFrame) -> DataFrame:
@@ -83,13 +86,53 @@ def has_bit(mask: Column, horizon: Column) -> Column:
     return F.call_function("shiftright", mask, horizon - 1).bitwiseAND(F.lit(1)) == 1
 
 
+def recorded_rows(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows that stored models were fitted on, each once per model id, with all their lags and the masks.
+
+    The masks meet the narrow rows of the series, one for one, before lags are built and before any horizon
+    is written out.
+    """
+    used = F.struct("model_id", "train", "validation")
+    used = masks.groupBy("series_id", F.col("observation_id").alias("time_index")).agg(F.collect_list(used).alias("used"))
+    rows = in_sample(ts).select("series_id", "time_index", "tourism").join(used, ["series_id", "time_index"], "left")
+    lagged = with_lags(rows, range(1, N_LAGS + MAX_HORIZON + 1), max_rows=max_rows)
+    return lagged.where(F.col("used").isNotNull()).select("series_id", "time_index", "tourism", "lags", F.inline("used"))
+
+
+def horizons_in(mask: Column) -> Column:
+    """The horizons whose bit is set."""
+    return F.filter(F.sequence(F.lit(1), F.lit(MAX_HORIZON)), lambda h: has_bit(mask, h))
+
+
+def fingerprints(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """128 bits over the set of rows each model used, with their values and lags: target, model_id, purpose,
+    rows, hash_a, hash_b.
+
+    Hashes of rows are combined by exclusive or, so their order does not matter, and each task combines its
+    own first.
+    """
+    parts = F.array(*[F.struct(F.lit(kind).alias("purpose"), F.col(kind).alias("mask")) for kind in PURPOSES])
+    rows = recorded_rows(ts, masks, max_rows).select("series_id", "model_id", "time_index", "tourism", "lags", F.inline(parts))
+    rows = rows.select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
+    content = ["time_index", "tourism", F.slice("lags", F.col("horizon") + 1, N_LAGS)]
+    return (
+        rows.groupBy("series_id", "horizon", "model_id", "purpose")
+        .agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.bit_xor(F.xxhash64(F.lit(i), *content)).alias(name) for i, name in ((1, "hash_a"), (2, "hash_b"))],
+        )
+        .select(
+            target_id(F.col("series_id"), F.col("horizon")).alias("target"), "model_id", "purpose", "rows", "hash_a", "hash_b"
+        )
+    )
+
+
 def record_ids(masks: DataFrame) -> DataFrame:
     """The masks written out: one row per target, model and observation."""
-    purposes = F.array(*[F.struct(F.lit(name).alias("purpose"), F.col(name).alias("mask")) for name in ("train", "validation")])
-    steps = F.sequence(F.lit(1), F.lit(MAX_HORIZON))
+    purposes = F.array(*[F.struct(F.lit(name).alias("purpose"), F.col(name).alias("mask")) for name in PURPOSES])
     return (
         masks.select("series_id", "model_id", "observation_id", F.inline(purposes))
-        .select("*", F.explode(F.filter(steps, lambda h: has_bit(F.col("mask"), h))).alias("horizon"))
+        .select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
         .select(target_id(F.col("series_id"), F.col("horizon")).alias("target"), "model_id", "purpose", "observation_id")
     )
 
@@ -181,7 +224,7 @@ class Run:
 
 
 class Registry:
-    """Five tables under one folder, which executors must be able to reach.
+    """Tables under one folder, which executors must be able to reach.
 
     Each run adds to the tables in a folder of its own. The log names the runs in order; tables are read
     from the runs that the log names.
@@ -296,6 +339,8 @@ def write_models(
     models = spark.read.schema(models.schema).parquet(path)
     run.add("predictors", predictor_rows(models, predictors))
     run.add("record_masks", record_masks(ts, models, holdout, max_rows))
+    masks = run.registry.read("record_masks", [run.name])
+    run.add("fingerprints", fingerprints(ts, masks, max_rows))
     run.add("fit_performance", loss_rows(models))
     run.add("models", meta_rows(models, create_date))
     run.add("model_storage", model_rows(models))

@@ -850,6 +850,32 @@ def evaluate_fit(spark, sf_dir):
     )
 
 
+@query(
+    f"{RECORDS_SQL} SELECT target_id AS target, 1 AS model_id, purpose, count(*) AS rows, 1 AS passed FROM records GROUP BY 1, 2, 3"
+)
+def fingerprint_check(spark, sf_dir):
+    """The training rows, read again in another order, are the ones the models were fitted on."""
+    ts, store = stored_models(spark, sf_dir)
+    again = registry.fingerprints(ts.repartition(7, "tourism"), store.read("record_masks"), **BOUND)
+    checked = evaluate.changed_rows(store.read("fingerprints"), again)
+    return checked.withColumn("passed", F.col("pass").cast("int")).drop("pass")
+
+
+# A row is touched by a change at step 30 if it is that row or has it among the twelve lags of its horizon.
+@query(
+    f"{RECORDS_SQL} SELECT target_id AS target, 1 AS model_id, purpose, count(*) AS rows, "
+    "CAST(NOT bool_or(observation_id = 30 OR observation_id - horizon - 30 BETWEEN 1 AND 12) AS INTEGER) AS passed "
+    "FROM records GROUP BY 1, 2, 3"
+)
+def fingerprint_changed(spark, sf_dir):
+    """One value of each series changed after the fit fails exactly the models that used it."""
+    ts, store = stored_models(spark, sf_dir)
+    changed = (F.col("sample_type") == "in") & (F.col("time_index") == 30)
+    ts = ts.withColumn("tourism", F.when(changed, F.col("tourism") + 0.01).otherwise(F.col("tourism")))
+    checked = evaluate.changed_rows(store.read("fingerprints"), registry.fingerprints(ts, store.read("record_masks"), **BOUND))
+    return checked.withColumn("passed", F.col("pass").cast("int")).drop("pass")
+
+
 # Scoring and forecasts
 
 def line_models(spark, sf_dir, predictor="observation_id"):
@@ -897,11 +923,12 @@ def score_model_id(spark, sf_dir):
     f"{ONE_RUN}, counted AS (SELECT 'model_storage' AS name, count(*) AS rows FROM models UNION ALL "
     "SELECT 'predictors', count(*) FROM models UNION ALL SELECT 'models', count(*) FROM models UNION ALL "
     "SELECT 'fit_performance', count(train_mae) + count(validation_mae) FROM models UNION ALL "
+    "SELECT 'fingerprints', count(train_mae) + count(validation_mae) FROM models UNION ALL "
     "SELECT 'record_ids', count(*) FROM train t JOIN models m ON t.series_id = m.series_id AND t.horizon = m.horizon) "
     "SELECT name, rows, 0 AS duplicates FROM counted"
 )
 def registry_keys(spark, sf_dir):
-    """Rows of the five registry tables and how many key values occur more than once."""
+    """Rows of the registry tables and how many key values occur more than once."""
     _, store = stored_models(spark, sf_dir)
     checks = [
         store.read(name)

@@ -7,7 +7,7 @@ def _schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
-STRING, INT, DOUBLE, DATE = T.StringType(), T.IntegerType(), T.DoubleType(), T.DateType()
+STRING, INT, LONG, DOUBLE, DATE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType()
 
 TIME_SERIES = _schema(series_id=STRING, sample_type=STRING, time_index=INT, tourism=DOUBLE)
 MODEL_STORAGE = _schema(
@@ -20,6 +20,9 @@ RECORD_MASKS = _schema(series_id=STRING, model_id=INT, observation_id=INT, train
 FIT_PERFORMANCE = _schema(
     target=STRING, model_id=INT, purpose=STRING, loss_function=STRING, performance=DOUBLE
 )
+FINGERPRINTS = _schema(
+    target=STRING, model_id=INT, purpose=STRING, rows=LONG, hash_a=LONG, hash_b=LONG
+)
 MODELS = _schema(target=STRING, model_id=INT, create_date=DATE)
 
 REGISTRY = {
@@ -27,6 +30,7 @@ REGISTRY = {
     "predictors": PREDICTORS,
     "record_masks": RECORD_MASKS,
     "fit_performance": FIT_PERFORMANCE,
+    "fingerprints": FINGERPRINTS,
     "models": MODELS,
 }
 
@@ -36,5 +40,6 @@ KEYS = {
     "predictors": ["target", "model_id", "predictor_index", "predictor"],
     "record_ids": ["target", "model_id", "observation_id"],
     "fit_performance": ["target", "model_id", "purpose", "loss_function"],
+    "fingerprints": ["target", "model_id", "purpose"],
     "models": ["target", "model_id", "create_date"],
 }
