@@ -12,9 +12,9 @@ from tidecast.functions.expressions import (
     target_id,
     target_series,
 )
-from tidecast.operators.forecast import models_by_series, score_of_row
+from tidecast.operators.forecast import models_by_series, with_score
 from tidecast.operators.impute import exact_medians
-from tidecast.operators.registry import PURPOSES, has_bit, horizons_in, losses, recorded_rows
+from tidecast.operators.registry import PURPOSES, has_bit, losses, per_horizon_of, recorded_rows
 from tidecast.operators.selection import paired_by_position
 
 
@@ -119,7 +119,7 @@ def train_records(
     kinds = PURPOSES if purpose is None else [purpose.lower()]
     parts = F.array(*[F.struct(F.lit(kind).alias("purpose"), F.col(kind).alias("mask")) for kind in kinds])
     rows = recorded_rows(ts, masks, max_rows).select("series_id", "model_id", "time_index", "tourism", "lags", F.inline(parts))
-    rows = rows.select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
+    rows = per_horizon_of(rows)
     return rows.select(
         target_id(F.col("series_id"), F.col("horizon")).alias("target_id"),
         "series_id",
@@ -142,18 +142,19 @@ def recorded_scores(ts: DataFrame, masks: DataFrame, models: DataFrame, max_rows
     chosen = models.select("series_id", "model_id").distinct()
     own = masks.join(chosen, ["series_id", "model_id"], "left_semi")
     rows = recorded_rows(ts, own, max_rows).join(models_by_series(models), "series_id")
-    either = F.col("train").bitwiseOR(F.col("validation"))
-    using = F.filter("models", lambda m: (m["model_id"] == F.col("model_id")) & has_bit(either, m["horizon"]))
-    using = F.transform(using, lambda m: F.struct(m["horizon"].alias("horizon"), m["coef"].alias("coef"), m["fill"].alias("fill")))
-    rows = rows.select("series_id", "model_id", "time_index", "tourism", "lags", "train", F.inline(using))
-    return rows.select(
+    rows = rows.withColumnRenamed("model_id", "recorded_id").select(
+        "series_id", "recorded_id", "time_index", "tourism", "lags", "train", "validation", F.inline("models")
+    )
+    used = has_bit(F.col("train").bitwiseOR(F.col("validation")), F.col("horizon"))
+    rows = rows.where((F.col("model_id") == F.col("recorded_id")) & used)
+    return with_score(rows).select(
         "series_id",
         "horizon",
         "model_id",
         F.when(has_bit(F.col("train"), F.col("horizon")), "train").otherwise("validation").alias("purpose"),
         F.col("time_index").alias("observation_id"),
         F.col("tourism").alias("target"),
-        score_of_row().alias("score"),
+        "score",
     )
 
 

@@ -72,10 +72,15 @@ def with_models(lagged: DataFrame, models: DataFrame) -> DataFrame:
     return rows.where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull())
 
 
-def score_of_row() -> Column:
-    """Score of a row of `with_models`."""
-    lags = lag_columns(F.col("lags"), F.col("horizon"))
-    return linear_score(F.col("coef"), F.col("time_index"), lags, F.col("fill"))
+def with_score(rows: DataFrame) -> DataFrame:
+    """Add lag_1 to lag_12 and `score` to rows of `with_models`.
+
+    The lags are columns of their own first: the score uses each several times, and written out in full the
+    expression would be too long for the JVM to compile.
+    """
+    rows = rows.select("*", *lag_columns(F.col("lags"), F.col("horizon"))).drop("lags")
+    lags = [F.col(name) for name in LAG_NAMES]
+    return rows.withColumn("score", linear_score(F.col("coef"), F.col("time_index"), lags, F.col("fill")))
 
 
 def train_scores(
@@ -83,13 +88,13 @@ def train_scores(
 ) -> DataFrame:
     """Scores of all training rows by the given models, one per target."""
     lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
-    return with_models(lagged, models).select(
+    return with_score(with_models(lagged, models)).select(
         "series_id",
         "horizon",
         "model_id",
         F.col("time_index").alias("observation_id"),
         F.col("tourism").alias("target"),
-        score_of_row().alias("score"),
+        "score",
     )
 
 
@@ -98,16 +103,16 @@ def scored_features(
 ) -> DataFrame:
     """The training features of every target with a model, and their score."""
     lagged = lagged_rows(ts, max_rows).where(F.col("future_record_count") > future_limit(holdout))
-    return with_models(lagged, models).select(
+    return with_score(with_models(lagged, models)).select(
         "series_id",
         "horizon",
         F.col("time_index").alias("observation_id"),
         F.col("tourism").alias("target"),
-        *lag_columns(F.col("lags"), F.col("horizon")),
+        *LAG_NAMES,
         *month_flags(F.col("time_index")),
         "future_record_count",
         "model_id",
-        score_of_row().alias("score"),
+        "score",
     )
 
 

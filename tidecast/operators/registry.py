@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidecast import schemas
 from tidecast.config import LOSS, MAX_HORIZON, N_LAGS, PREDICTORS
-from tidecast.functions.expressions import is_finite, target_horizon, target_id, target_series
+from tidecast.functions.expressions import horizons, is_finite, target_horizon, target_id, target_series
 from tidecast.operators.features import future_limit, lagged_rows
 from tidecast.operators.selection import in_sample
 from tidecast.operators.sequence import with_lags
@@ -99,9 +99,10 @@ def recorded_rows(ts: DataFrame, masks: DataFrame, max_rows: int | None = None)
     return lagged.where(F.col("used").isNotNull()).select("series_id", "time_index", "tourism", "lags", F.inline("used"))
 
 
-def horizons_in(mask: Column) -> Column:
-    """The horizons whose bit is set."""
-    return F.filter(F.sequence(F.lit(1), F.lit(MAX_HORIZON)), lambda h: has_bit(mask, h))
+def per_horizon_of(rows: DataFrame) -> DataFrame:
+    """Rows with a `mask`, once for each horizon whose bit is set."""
+    written = rows.select("*", F.explode(horizons(F.col("series_id"))).alias("horizon"))
+    return written.where(has_bit(F.col("mask"), F.col("horizon")))
 
 
 def fingerprints(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -113,7 +114,7 @@ def fingerprints(ts: DataFrame, masks: DataFrame, max_rows: int | None = None) -
     """
     parts = F.array(*[F.struct(F.lit(kind).alias("purpose"), F.col(kind).alias("mask")) for kind in PURPOSES])
     rows = recorded_rows(ts, masks, max_rows).select("series_id", "model_id", "time_index", "tourism", "lags", F.inline(parts))
-    rows = rows.select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
+    rows = per_horizon_of(rows)
     content = ["time_index", "tourism", F.slice("lags", F.col("horizon") + 1, N_LAGS)]
     return (
         rows.groupBy("series_id", "horizon", "model_id", "purpose")
@@ -131,8 +132,7 @@ def record_ids(masks: DataFrame) -> DataFrame:
     """The masks written out: one row per target, model and observation."""
     purposes = F.array(*[F.struct(F.lit(name).alias("purpose"), F.col(name).alias("mask")) for name in PURPOSES])
     return (
-        masks.select("series_id", "model_id", "observation_id", F.inline(purposes))
-        .select("*", F.explode(horizons_in(F.col("mask"))).alias("horizon"))
+        per_horizon_of(masks.select("series_id", "model_id", "observation_id", F.inline(purposes)))
         .select(target_id(F.col("series_id"), F.col("horizon")).alias("target"), "model_id", "purpose", "observation_id")
     )
 
