@@ -187,7 +187,7 @@ def test_line_rules(spark):
     rows = [(1000 + i, "Shared Line here\n" + (f"own words {i} " * (30 if i % 4 else 0)).strip(), "h") for i in range(40)]
     more = spark.createDataFrame([(i, t, s) for i, t, s in rows], "doc_id long, text string, source string")
     docs = awkward(spark).select("doc_id", "text", "source").union(more)
-    got = line_rules.line_rules(docs, line_share=0.5, left_share=0.5).collect()
+    got = line_rules.line_rules(docs, left_share=0.5).collect()
     wanted = [(i, *brute_base(t)) for i, t in texts()] + [(i, *brute_base(t)) for i, t, _ in rows]
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert sorted(map(str, ([r[n] for n in names] for r in got))) == sorted(map(str, map(list, wanted)))
@@ -204,10 +204,20 @@ def test_line_rules_reject_depleted(spark):
     words = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     shared = words("s", 60)
     rows = [(i, shared + "\n" + words(i, 5 if i % 2 else 100), "h") for i in range(30)]
-    rows += [(100 + i, rows[1][1], "h") for i in range(50)]  # copies do not make a line frequent or less so
-    got = {r.doc_id: r for r in line_rules.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    for i, _, _ in rows:
-        assert got[i].words_removed == 60 and got[i].kept == (i < 100 and i % 2 == 0) and not got[i].base_failed
+    rows += [(100 + i, rows[1][1], "h") for i in range(25)]  # copies are documents, so all their lines are frequent
+    rows += [(200 + i, words(200 + i, 90) + "\nonly " + words("t", 40), "h") for i in range(20)]  # 20 is not above 20
+    rows += [(300, words("r", 60), "h")] * 30 + [(400 + i, words("o", 60), f"h{i % 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = collections.defaultdict(list)
+    for r in line_rules.line_rules(docs).collect():
+        got[r.doc_id].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, text, _ in rows:
+        removed = 60 if i < 100 else 65 if i < 200 else 0
+        removed = 65 if i == 1 else removed
+        assert {r.words_removed for r in got[i]} == {removed}, i
+        assert {r.kept for r in got[i]} == {i >= 200 or (i < 100 and i % 2 == 0)}, i
+        assert not any(r.base_failed for r in got[i])
 
 
 def test_chat_perspectives(spark):

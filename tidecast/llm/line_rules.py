@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.llm.joins import checked
 from tidecast.sources.tables import staged
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-# A line is removed if it is in more than this many documents of its host, and this share of them.
+# A line is removed if it is in more than this many documents of its host.
 LINE_DOCUMENTS = 20
-LINE_SHARE = 0.05
 # A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.2
 
@@ -85,7 +85,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
     """Each different line of each different text of a host, once: host, text_hash, line, words.
 
     Lines are compared in lower case with single spaces; `words` counts all of the text's words on lines
-    equal to this one. Copies of a text count as one document of the host.
+    equal to this one.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.transform(
@@ -103,10 +103,23 @@ def host_lines(docs: DataFrame) -> DataFrame:
     return once.groupBy("host", "text_hash", "line").agg(F.sum("words").alias("words"))
 
 
+def copied_texts(docs: DataFrame) -> DataFrame:
+    """Texts that several documents of a host share: host, text_hash, and their number.
+
+    Documents are told apart by doc_id, so repeated rows are one; all rows without an id are one too.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
+        F.xxhash64(text).alias("text_hash"),
+        F.struct(F.col("doc_id")).alias("document"),
+    )
+    return rows.groupBy("host", "text_hash").agg(F.count_distinct("document").alias("copies")).filter("copies > 1")
+
+
 def line_rules(
     docs: DataFrame,
     line_documents: int = LINE_DOCUMENTS,
-    line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
     min_words: int = MIN_WORDS,
     max_repeated_percent: int = MAX_REPEATED_PERCENT,
@@ -115,24 +128,24 @@ def line_rules(
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     words_removed, kept. A line is removed from the documents of a host if more than `line_documents`
-    different texts of the host and more than `line_share` of them have it. A document is kept if it
+    documents of the host have it; copies of a text are documents of their own. A document is kept if it
     passes the base rules and at least `left_share` of its words remain.
 
     A null or empty text has no words and fails the base rules. A null source counts as the host "".
     Repeated rows get equal results and do not change the counts. An empty table gives no rows. Other
     columns are ignored.
 
-    Counts are over different texts, so a large group of copies collapses in each task before the
-    shuffle; a frequent line is one partial count for each task.
+    Lines are held once for each different text, so a large group of copies collapses in each task before
+    the shuffle; the number of copies joins them as a count. A frequent line is one partial count for each
+    task.
     """
     lines = staged(host_lines(docs), "lines")
-    hosts = lines.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("texts"))
+    copies = checked(staged(copied_texts(docs), "copies"))
     frequent = (
-        lines.groupBy("host", "line")
-        .agg(F.count("*").alias("documents"))
+        lines.join(copies, ["host", "text_hash"], "left")
+        .groupBy("host", "line")
+        .agg(F.sum(F.coalesce("copies", F.lit(1))).alias("documents"))
         .filter(F.col("documents") > line_documents)
-        .join(hosts, "host")
-        .filter(F.col("documents") > F.lit(line_share) * F.col("texts"))
         .select("host", "line")
     )
     removed = lines.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))

@@ -83,9 +83,9 @@ def op1_chat_perspectives(spark, sf_dir):
                          lower(regexp_replace(text, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), chr(10)))) AS line
                 FROM (SELECT DISTINCT host, text FROM d))
           WHERE line <> '' GROUP BY ALL),
-    h AS (SELECT host, count(DISTINCT text) AS texts FROM l GROUP BY host),
-    f AS (SELECT host, line FROM l JOIN h USING (host) GROUP BY host, line, texts
-          HAVING count(*) > 20 AND count(*) > 0.05 * texts),
+    h AS (SELECT host, text, count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) AS documents
+          FROM d GROUP BY host, text),
+    f AS (SELECT host, line FROM l JOIN h USING (host, text) GROUP BY host, line HAVING sum(documents) > 20),
     m AS (SELECT host, text, sum(words) AS removed FROM l JOIN f USING (host, line) GROUP BY host, text)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, words_removed,
            NOT base_failed AND NOT n_words - words_removed < 0.2 * n_words AS kept
