@@ -182,23 +182,24 @@ def pack_documents(
     """Pack all documents into sequences of at most `most` tokens.
 
     One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Texts are encoded
-    once; only the narrow pieces are shuffled. Pieces go by a hash of (doc_id, piece, checksum) to groups
-    of about `pieces_per_group`, and each group is packed by itself, so a task holds a bounded number and
-    the loss is at most one part-filled sequence for each group. A sequence id is the group and the
+    once; only the narrow pieces are shuffled. Pieces go by a hash of their stored row's number, so equal
+    rows spread too, to groups of about `pieces_per_group`; each group is packed by itself, so a task holds
+    a bounded number and the loss is at most one part-filled sequence for each group. A sequence id is the group and the
     sequence's number in it.
 
     A null or empty text is one piece with the end id alone. Repeated rows are packed as often as they
     occur. An empty table gives no rows. Other columns are ignored.
     """
-    pieces = staged(cut_documents(docs, tokenizer_path or public_tokenizers.path(TOKENIZER), most, end_id), "pieces")
+    pieces = cut_documents(docs, tokenizer_path or public_tokenizers.path(TOKENIZER), most, end_id)
+    pieces = staged(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // pieces_per_group))
-    keyed = pieces.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    keyed = pieces.withColumn("packing_group", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
     def pack(table: pa.Table) -> pa.Table:
         bins, offsets = best_two_fit(table.column("length").to_numpy(), most)
         group = int(table.column("packing_group")[0].as_py()) if table.num_rows else 0
         return (
-            table.drop_columns(["packing_group"])
+            table.drop_columns(["packing_group", "row"])
             .append_column("sequence_id", pa.array((group << 32) + bins))
             .append_column("offset", pa.array(offsets))
         )
