@@ -28,9 +28,19 @@ def test_quality_on_held_out_rows(spark):
     assert (rows["predicted"] == (rows["score"] >= 0.3)).all() and (rows["predicted"] == label).mean() > 0.93
 
 
+def test_quality_sample_is_a_share_of_rows_with_a_document(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(200_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = quality_gam.labelled_rows(docs, labels, "quality")
+    assert 500 <= quality_gam.labelled_sample(rows, 500).count() < rows.count() and quality_gam.labelled_sample(rows, 5000).count() == rows.count()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rows, label = labelled(spark, "op8_toxicity_kneser_ney", "toxic")
     assert (rows["predicted"] == (rows["score"] >= 0.5)).all() and (rows["predicted"] == label).mean() > 0.9
+    # Of the small table's rows set apart, all toxic ones are caught and 3 % of the clean ones flagged.
+    caught, flagged = rows["predicted"][label == 1].mean(), rows["predicted"][label == 0].mean()
+    assert caught > 0.9 and flagged < 0.05
 
 
 def test_language_on_held_out_rows(spark):

@@ -220,15 +220,18 @@ def features_column(text: str = "text") -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Gam:
     """Fit on at most `fit_rows` labelled rows, chosen by hash, whose crc32(doc_id as text) mod 5 is not 0."""
     rows = labelled_rows(docs, labels, "quality")
-    drawn = labelled_sample(rows, labels, fit_rows).select("draw", "doc_id", "label", features_column().alias("features"))
+    drawn = labelled_sample(rows, fit_rows).select("draw", "doc_id", "label", features_column().alias("features"))
     sample = drawn.orderBy("draw", "doc_id").limit(fit_rows).toArrow()
     features = np.array(sample.column("features").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     return fit_gam(features, sample.column("label").to_numpy())
 
 
-def labelled_sample(rows: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """Rows below a bound on the hash that leaves somewhat more than `fit_rows`, to spare the others' features."""
-    share = min(1.0, 1.5 * fit_rows / max(1, labels.count()))
+def labelled_sample(rows: DataFrame, fit_rows: int) -> DataFrame:
+    """Rows below a bound on the hash that leaves somewhat more than `fit_rows`, to spare the others' features.
+
+    The share is of the rows that have both a document and a label; counting them reads no text.
+    """
+    share = min(1.0, 1.5 * fit_rows / max(1, rows.count()))
     return rows.filter(F.col("draw") < F.lit(int((share - 0.5) * (1 << 64)) if share < 1 else (1 << 63) - 1))
 
 
