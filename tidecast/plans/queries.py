@@ -907,6 +907,27 @@ def score_by_predictors(spark, sf_dir):
     return single(scores.select("series_id", "horizon", "model_id", "observation_id", "score"), "score")
 
 
+# Of stored coefficients for all predictors only these three count, since only they are listed.
+LISTED = ["lag_2", "observation_id", "month_5"]
+
+
+@query(
+    f"WITH {sql.TIME_SERIES}, {sql.TRAIN} SELECT series_id, CAST(horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, "
+    + r("7.0 + 0.25 * lag_2 + 3.0 * observation_id + CASE WHEN observation_id % 12 = 5 THEN 50.0 ELSE 0.0 END", 5, "score")
+    + " FROM train"
+)
+def score_by_listed_predictors(spark, sf_dir):
+    """Models with more coefficients than listed predictors: the others are left out of the score."""
+    ts = tables.staged(sales_series(spark, sf_dir), "time_series")
+    coef = F.array(*map(F.lit, [7.0, *FIXED_COEF[1:]]))
+    models = selection.target_grid(ts).select("target", F.lit(1).alias("model_id"), coef.alias("coef"))
+    names = F.transform(F.array(*map(F.lit, LISTED)), lambda name: F.concat(F.lit(" "), name))
+    listed = models.select("target", "model_id", F.posexplode(names).alias("predictor_index", "predictor"))
+    aligned = registry.scoring_models(forecast.aligned_coefficients(models, listed))
+    scores = forecast.train_scores(ts, aligned, **BOUND)
+    return rounded(scores.select("series_id", "horizon", "model_id", "observation_id", "score"), 5, "score")
+
+
 @query(
     f"{TWO_RUNS} SELECT t.series_id, CAST(t.horizon AS INTEGER) AS horizon, 1 AS model_id, observation_id, "
     f"{r('a + b * lag_12', 3, 'score')} FROM train t JOIN first m ON t.series_id = m.series_id AND t.horizon = m.horizon"
@@ -1069,6 +1090,26 @@ def direct_forecast_oos(spark, sf_dir):
     return single(out.select("series_id", "horizon", "time_index", "score"), "score")
 
 
+@query(
+    f"{TWO_RUNS}, {sql.anchors('oos')}, best AS (SELECT f.series_id, f.horizon, "
+    "CASE WHEN f.validation_mae < s.validation_mae THEN 1 ELSE 2 END AS model_id, f.a AS a1, f.b AS b1, s.a AS a2, s.b AS b2 "
+    "FROM first f JOIN second s ON f.target_id = s.target_id "
+    "WHERE f.validation_mae IS NOT NULL AND s.validation_mae IS NOT NULL) "
+    "SELECT b.series_id, CAST(horizon AS INTEGER) AS horizon, model_id, CAST(anchor_time + horizon AS INTEGER) AS time_index, "
+    + r("CASE WHEN model_id = 1 THEN a1 + b1 * lag_12 ELSE a2 + b2 * (anchor_time + horizon) END", -1, "score")
+    + " FROM best b JOIN anchors n ON b.series_id = n.series_id"
+)
+def forecast_best_model(spark, sf_dir):
+    """Each target is forecast by whichever of its stored models scored best on validation rows.
+
+    To tens of values near a million: a line through a few nearly equal lags has few certain digits.
+    """
+    ts, store = stored_models(spark, sf_dir, ("lag_12", "observation_id"))
+    best = registry.best_models(store.read("model_storage"), store.read("fit_performance"))
+    out = forecast.direct_forecast(ts, registry.scoring_models(best), "oos")
+    return rounded(out.select("series_id", "horizon", "model_id", "time_index", "score"), -1, "score")
+
+
 def _recursive_sql(pred_type, feed, tail, extra=""):
     return (
         f"WITH RECURSIVE {sql.TIME_SERIES}, {sql.TRAIN}, {sql.models('lag_1')}, {sql.anchors(pred_type)}, "
@@ -1250,6 +1291,16 @@ def fit_direct(spark, sf_dir):
     return fit_models(sales_series(spark, sf_dir), **BOUND)
 
 
+@query(
+    f"WITH {sql.TIME_SERIES}, {sql.TRAIN} SELECT series_id, CAST(horizon AS INTEGER) AS horizon, "
+    "count(CASE WHEN purpose = 'train' THEN 1 END) AS n_train, count(CASE WHEN purpose = 'validation' THEN 1 END) AS n_validation "
+    "FROM train GROUP BY 1, 2"
+)
+def fit_direct_counts(spark, sf_dir):
+    """Every target with rows gets a model from the search over all predictors; the rows it used."""
+    return fit_models(sales_series(spark, sf_dir), **BOUND).select("series_id", "horizon", "n_train", "n_validation")
+
+
 @query()
 def fit_direct_wide(spark, sf_dir):
     """The search with sparse and outlier-resistant candidates as well."""
@@ -1272,6 +1323,16 @@ def evaluate_fit_all_predictors(spark, sf_dir):
     return evaluate.evaluate_fit(scores, None, store.read("fit_performance"), models)
 
 
+@query(
+    f"WITH {sql.TIME_SERIES}, {sql.TRAIN} SELECT series_id || '_' || CAST(horizon AS VARCHAR) AS target, 1 AS model_id, purpose, "
+    "1 AS passed FROM train GROUP BY 1, 2, 3"
+)
+def evaluate_fit_all_passed(spark, sf_dir):
+    """The refit check on all predictors: every target and purpose with rows is checked, and passes."""
+    checked = evaluate_fit_all_predictors(spark, sf_dir)
+    return checked.select("target", "model_id", "purpose", F.col("pass").cast("int").alias("passed"))
+
+
 def full_models(spark, sf_dir):
     ts = tables.staged(sales_series(spark, sf_dir), "time_series")
     fitted = fit_models(ts, **BOUND).withColumn("model_id", F.lit(1))
