@@ -18,6 +18,7 @@ SLOW = {
     "best_model", "error_bounds", "fit_one_lag_split", "fit_performance", "forecast_bands", "latest_model",
     "mase_by_position", "mase_diff", "mase_direct_oos", "model_dates", "next_model_id", "predictor_lookup",
     "record_ids", "train_records", "train_residuals", "direct_forecast_oos", "recursive_forecast_immediate",
+    "evaluate_fit_all_passed", "forecast_best_model", "fingerprint_check", "max_time_appended", "train_records_bucketed",
 }
 NAMES = set(oracle_sql()) if os.environ.get("ALL_QUERIES") else set(oracle_sql()) - SLOW
 
