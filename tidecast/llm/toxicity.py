@@ -2,12 +2,15 @@
 
 Each class counts 8-byte windows inside words. What a class has not seen falls back to lower orders
 counted over both classes together, so an expression rare in both says nothing. A word's evidence is
-the log-ratio of its two likelihoods beyond a margin; a text's is the sum over its words, normalised by
-its length. The margin and the curve from evidence to probability come from rows set apart.
-
-Every window counts, however rare. Each different word of the corpus is taken apart once; counts,
-backoffs and log-ratios are aggregations over the table of all windows, and only words with evidence go
-back to the texts. Words are told apart by 64-bit hashes there.
+the log-ratio of its two likelihoods beyond a margin; a text's is the mean over its words, drawn towards
+none by PRIOR_WORDS words without evidence. The margin and the curve from evidence to probability come
+from rows set apart.
+
+Every window counts, however rare. Each different word of the corpus is taken apart once, in blocks of
+words. A block sends its different windows, packed, to the owners of their contexts, and gets log-ratios
+back: all windows that end in the same BASE_ORDER bytes before the last are with one owner, which so has
+whole contexts of every higher order. Only words with evidence go back to the texts. Words are told apart
+by 64-bit hashes there.
 """
 
 from __future__ import annotations
@@ -18,24 +21,34 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.joins import BROADCAST_ROWS
 from tidecast.llm.labelled import held_out, labelled_rows
-from tidecast.llm.text_batches import Pieces, Words, pieces_of, slices, texts_of, words_of
+from tidecast.llm.shards import listed, shard_numbers
+from tidecast.llm.text_batches import Pieces, Words, give_back_memory, pieces_of, slices, texts_of, words_of
 from tidecast.sources.tables import staged
 
 ORDER = 8
+BASE_ORDER = 3  # this order and the lower ones are made on the driver, from 2 ** 24 grams at most
 DISCOUNT = 0.75
+PRIOR_WORDS = 100  # without evidence, added to each text; evidence is per as many words
 MARGINS = (2.0, 4.0, 6.0, 8.0)
 SLICE_BYTES = 2 << 20  # of text
-WORD_BYTES = 1 << 19  # of words; their windows take some thirty times as much
+BLOCK_BYTES = 2 << 20  # of words; their windows take some thirty times as much
+WORDS_PER_OWNER = 1 << 14  # of the corpus, for each owner of windows
 HELD_WORDS = 200_000
 HELD_BYTES = 16 << 20
 CALIBRATION_ROWS = 20_000
 CALIBRATION_FOLD = 5
 
+BLOCK_COLUMNS = ["word", "toxic_count", "ordinary_count"]
+BLOCKS = "block long, word array<binary>, toxic_count array<long>, ordinary_count array<long>"
+MESSAGE_COLUMNS = ["owner", "block", "n", "grams", "toxic", "ordinary"]
+MESSAGES = "owner long, block long, n long, grams binary, toxic binary, ordinary binary"
+MESSAGE_TYPES = pa.schema([(c, pa.int64() if c in ("owner", "block", "n") else pa.binary()) for c in MESSAGE_COLUMNS])
+
 # Bytes of letters in lower case; every other ASCII byte is a space.
 LETTERS = np.full(256, 0x20, dtype=np.uint8)
 LETTERS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -71,7 +84,7 @@ def word_ids(distinct: list[bytes]) -> np.ndarray:
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    """Each different word of rows with text and label: word_id, word, toxic_count, ordinary_count.
+    """Each different word of rows with text and label: word, toxic_count, ordinary_count.
 
     Words of rows without a label are listed, but not counted.
     """
@@ -83,8 +96,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
         def out():
             words = list(index)
             toxic, ordinary = counts[:, : len(words)].copy()
-            columns = [pa.array(word_ids(words)), pa.array(words, pa.binary()), pa.array(toxic), pa.array(ordinary)]
-            return pa.RecordBatch.from_arrays(columns, ["word_id", "word", "toxic_count", "ordinary_count"])
+            columns = [pa.array(words, pa.binary()), pa.array(toxic), pa.array(ordinary)]
+            return pa.RecordBatch.from_arrays(columns, ["word", "toxic_count", "ordinary_count"])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -103,26 +116,74 @@ def word_counts(rows: DataFrame) -> DataFrame:
                     counts, held_bytes = np.zeros((2, HELD_WORDS), dtype=np.int64), 0
         yield out()
 
-    schema = "word_id long, word binary, toxic_count long, ordinary_count long"
-    counted = rows.select("text", "label").mapInArrow(count, schema)
-    return counted.groupBy("word_id", "word").agg(
+    counted = rows.select("text", "label").mapInArrow(count, "word binary, toxic_count long, ordinary_count long")
+    return counted.groupBy("word").agg(
         F.sum("toxic_count").alias("toxic_count"), F.sum("ordinary_count").alias("ordinary_count")
     )
 
 
-def word_windows(words: DataFrame) -> DataFrame:
-    """The windows of each word, with the counts of the word: word_id, window, toxic_count, ordinary_count."""
+def word_blocks(words: DataFrame) -> DataFrame:
+    """The words with their counts, some BLOCK_BYTES of them a row."""
+
+    def gather(batches):
+        numbers = shard_numbers()
+        held, held_bytes = [], 0
+
+        def out():
+            table = pa.Table.from_batches(held)
+            columns = [pa.array([next(numbers)], pa.int64()), *(listed(table.column(c)) for c in BLOCK_COLUMNS)]
+            return pa.RecordBatch.from_arrays(columns, ["block", *BLOCK_COLUMNS])
 
-    def spell(batches):
         for batch in batches:
-            for part in slices(batch, "word", WORD_BYTES):
-                keys, owner = windows(part.column("word").to_pylist())
-                columns = [part.column(c).take(pa.array(owner)) for c in ("word_id", "toxic_count", "ordinary_count")]
-                columns.insert(1, pa.array(keys.view(np.int64)))
-                names = ["word_id", "window", "toxic_count", "ordinary_count"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(batch, "word", BLOCK_BYTES):
+                held.append(part)
+                held_bytes += part.column("word").nbytes
+                if held_bytes >= BLOCK_BYTES:
+                    yield out()
+                    held, held_bytes = [], 0
+        if held:
+            yield out()
+
+    return words.select(*BLOCK_COLUMNS).mapInArrow(gather, BLOCKS)
 
-    return words.mapInArrow(spell, "word_id long, window long, toxic_count long, ordinary_count long")
+
+@dataclass
+class BlockWindows:
+    """The different windows of a block in the order of owners, and where each word has them."""
+
+    words: list[bytes]
+    grams: np.ndarray
+    counts: list[np.ndarray]
+    owners: np.ndarray
+    gram_of: np.ndarray
+    word_of: np.ndarray
+
+
+def block_windows(batch, row: int, owners: int) -> BlockWindows:
+    words = batch.column("word")[row].values.to_pylist()
+    keys, word_of = windows(words)
+    grams, gram_of = np.unique(keys, return_inverse=True)
+    counts = [
+        np.bincount(gram_of, batch.column(c)[row].values.to_numpy()[word_of], len(grams)).astype(np.int64)
+        for c in ("toxic_count", "ordinary_count")
+    ]
+    context = (grams >> np.uint64(8)) & np.uint64((1 << (8 * BASE_ORDER)) - 1)
+    owner = ((context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) % owners
+    order = np.argsort(owner, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return BlockWindows(words, grams[order], [c[order] for c in counts], owner[order], place[gram_of], word_of)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values by byte planes, compressed: sorted or small ones have planes that hardly change."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, dtype) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd"), dtype=np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def discounted(low: np.ndarray, contexts: np.ndarray, backoff: np.ndarray) -> np.ndarray:
@@ -131,59 +192,89 @@ def discounted(low: np.ndarray, contexts: np.ndarray, backoff: np.ndarray) -> np
     return (contexts - DISCOUNT) / total + DISCOUNT * kinds[inside] / total * backoff
 
 
-def shared_probability(grams: np.ndarray, order: int) -> np.ndarray:
-    """Kneser-Ney probability of the last byte of each gram from how many different bytes come before."""
+def shared_probability(grams: np.ndarray, order: int, base=None) -> np.ndarray:
+    """Kneser-Ney probability of the last byte of each gram from how many different bytes come before.
+
+    With `base`, grams of BASE_ORDER and their probabilities, the orders below are looked up there.
+    """
     mask = np.uint64((1 << (8 * order)) - 1)
     low, where, contexts = np.unique(grams & mask, return_inverse=True, return_counts=True)
+    if base is not None and order == BASE_ORDER:
+        return looked_up(*base, low, 1.0)[where]
     if order == 1:
         return (contexts / contexts.sum())[where]
-    return discounted(low, contexts, shared_probability(low, order - 1))[where]
+    return discounted(low, contexts, shared_probability(low, order - 1, base))[where]
+
 
+def base_probabilities(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shared probabilities of BASE_ORDER: the grams, at most 2 ** 24, and their probabilities."""
+    longer, mask = np.uint64((1 << (8 * (BASE_ORDER + 1))) - 1), (1 << (8 * BASE_ORDER)) - 1
 
-def last_bytes(gram: str, order: int) -> Column:
-    return F.col(gram).bitwiseAND(F.lit((1 << (8 * order)) - 1))
+    def ends(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = block_windows(batch, row, 1)
+                grams = np.unique(own.grams[(own.counts[0] + own.counts[1]) > 0] & longer)
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["longer"])
+            give_back_memory()
 
+    grams = blocks.mapInArrow(ends, "longer long").distinct()
+    grams = grams.groupBy(F.col("longer").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("contexts"))
+    found = grams.orderBy("gram").toArrow()
+    low, contexts = (found.column(c).to_numpy() for c in ("gram", "contexts"))
+    low = low.view(np.uint64)
+    return low, discounted(low, contexts, shared_probability(low, BASE_ORDER - 1)) if len(low) else np.zeros(0)
 
-def shared_probabilities(grams: DataFrame) -> DataFrame:
-    """shared_probability() over a table of different windows `gram`: their last ORDER - 1 bytes, as gram, shared.
 
-    The driver gets the orders 1 and 2, which have at most 2 ** 16 grams. A context has at most 256.
+def word_ratios(blocks: DataFrame, owners: int) -> DataFrame:
+    """The log-ratio of each word of the blocks above the least margin: word_id, ratio.
+
+    A word's is the sum over its windows; blocks ask the owners of the windows for theirs.
     """
-    orders = {ORDER: grams}
-    for order in range(ORDER - 1, 1, -1):
-        lower = orders[order + 1].groupBy(last_bytes("gram", order).alias("gram")).agg(F.count("*").alias("contexts"))
-        orders[order] = staged(lower, f"grams{order}")
-    pairs = orders[2].toArrow()
-    low, contexts = pairs.column("gram").to_numpy().view(np.uint64), pairs.column("contexts").to_numpy()
-    probability = discounted(low, contexts, shared_probability(low, 1))
-    shared = grams.sparkSession.createDataFrame(pa.table({"gram": low.view(np.int64), "shared": probability}))
-    context = Window.partitionBy(F.shiftrightunsigned("gram", 8))
-    total, kinds = F.sum("contexts").over(context), F.count("*").over(context)
-    for order in range(3, ORDER):
-        parts = orders[order].select(
-            "gram",
-            last_bytes("gram", order - 1).alias("lower"),
-            ((F.col("contexts") - DISCOUNT) / total).alias("own"),
-            (DISCOUNT * kinds / total).alias("left"),
+    base = blocks.sparkSession.sparkContext.broadcast(base_probabilities(blocks))
+
+    def ask(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = block_windows(batch, row, owners)
+                cuts = np.flatnonzero(np.diff(own.owners)) + 1
+                block = batch.column("block")[row].as_py()
+                for first, last in zip([0, *cuts], [*cuts, len(own.owners)]):
+                    if first == last:
+                        continue
+                    columns = [packed(x[first:last]) for x in (own.grams, *own.counts)]
+                    message = [int(own.owners[first]), block, int(last - first), *columns]
+                    yield pa.RecordBatch.from_pylist([dict(zip(MESSAGE_COLUMNS, message))], MESSAGE_TYPES)
+            give_back_memory()
+
+    def answer(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        grams, toxic, ordinary = (
+            np.concatenate([unpacked(data.as_buffer(), n, dtype) for data, n in zip(table.column(c), sizes)])
+            for c, dtype in zip(("grams", "toxic", "ordinary"), (np.uint64, np.int64, np.int64))
         )
-        parts = parts.join(shared.select(F.col("gram").alias("lower"), F.col("shared").alias("backoff")), "lower")
-        shared = parts.select("gram", (F.col("own") + F.col("left") * F.col("backoff")).alias("shared"))
-    return shared
-
-
-def window_ratios(counts: DataFrame) -> DataFrame:
-    """kneser_ney() over a table: window and ratio. Windows counted in no class get what their context says."""
-    seen = F.col("toxic_count") + F.col("ordinary_count") > 0
-    shared = shared_probabilities(counts.filter(seen).select(F.col("window").alias("gram")))
-    rows = counts.withColumn("lower", last_bytes("window", ORDER - 1))
-    rows = rows.join(shared.withColumnRenamed("gram", "lower"), "lower", "left")
-    context, logs = Window.partitionBy(F.shiftrightunsigned("window", 8)), []
-    for name in ("toxic_count", "ordinary_count"):
-        total, kinds = F.sum(name).over(context), F.sum((F.col(name) > 0).cast("int")).over(context)
-        left = F.when(total > 0, DISCOUNT * kinds / total).otherwise(1.0)
-        own = F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
-        logs.append(F.log(own + left * F.when(seen, F.col("shared")).otherwise(1.0)))
-    return rows.select("window", (logs[0] - logs[1]).alias("ratio"))
+        distinct, at = np.unique(grams, return_inverse=True)
+        toxic, ordinary = (np.bincount(at, c, len(distinct)).astype(np.int64) for c in (toxic, ordinary))
+        seen = toxic + ordinary > 0
+        ratios = kneser_ney(distinct[seen], toxic[seen], ordinary[seen], base.value).ratios_of(distinct)[at]
+        cuts = np.cumsum([0, *sizes])
+        replies = [packed(ratios[a:b]) for a, b in zip(cuts, cuts[1:])]
+        give_back_memory()
+        return table.select(["owner", "block", "n"]).append_column("ratios", pa.array(replies, pa.binary()))
+
+    def add_up(block: pa.Table, replies: pa.Table) -> pa.Table:
+        replies = replies.sort_by("owner")
+        parts = [unpacked(d.as_buffer(), n.as_py(), np.float64) for d, n in zip(replies.column("ratios"), replies.column("n"))]
+        own = block_windows(block.combine_chunks(), 0, owners)
+        ratios = np.concatenate([np.zeros(0), *parts])[own.gram_of]
+        sums = np.bincount(own.word_of, ratios, len(own.words))
+        over = np.flatnonzero(sums > min(MARGINS))
+        give_back_memory()
+        return pa.table({"word_id": pa.array(word_ids([own.words[i] for i in over])), "ratio": pa.array(sums[over])})
+
+    messages = blocks.mapInArrow(ask, MESSAGES)
+    replies = messages.groupBy("owner").applyInArrow(answer, "owner long, block long, n long, ratios binary")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(add_up, "word_id long, ratio double")
 
 
 @dataclass
@@ -195,14 +286,18 @@ class WindowModel:
     contexts: np.ndarray
     context_ratios: np.ndarray
 
+    def ratios_of(self, keys: np.ndarray) -> np.ndarray:
+        """The ratio of each window; one that no class has gets what its context says."""
+        ratio = looked_up(self.windows, self.ratios, keys, np.nan)
+        unseen = np.isnan(ratio)
+        ratio[unseen] = looked_up(self.contexts, self.context_ratios, keys[unseen] >> np.uint64(8), 0.0)
+        return ratio
+
     def evidence(self, texts, margins) -> np.ndarray:
         """Length-normalised evidence of each text for each margin, one row per text."""
         pieces: Pieces = pieces_of(texts)
         keys, owner = windows(pieces.distinct)
-        ratio = looked_up(self.windows, self.ratios, keys, np.nan)
-        unseen = np.isnan(ratio)
-        ratio[unseen] = looked_up(self.contexts, self.context_ratios, keys[unseen] >> np.uint64(8), 0.0)
-        ratios = np.bincount(owner, ratio, len(pieces.distinct))
+        ratios = np.bincount(owner, self.ratios_of(keys), len(pieces.distinct))
         has_letters = np.bincount(owner, minlength=len(pieces.distinct)) > 0
         index = np.cumsum(has_letters) - 1
         words = has_letters[pieces.ids]
@@ -222,7 +317,7 @@ class ToxicityModel:
 def text_evidence(ids: np.ndarray, doc: np.ndarray, ratios: np.ndarray, count: int, margins) -> np.ndarray:
     """Length-normalised evidence of texts for each margin, from the log-ratio of each of their words."""
     over = [np.bincount(doc, np.maximum(ratios - m, 0)[ids], count) for m in margins]
-    return np.log1p(np.stack(over, axis=1) / np.sqrt(np.bincount(doc, minlength=count) + 3)[:, None])
+    return np.log1p(PRIOR_WORDS * np.stack(over, axis=1) / (np.bincount(doc, minlength=count) + PRIOR_WORDS)[:, None])
 
 
 def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
@@ -232,14 +327,17 @@ def looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default:
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> WindowModel:
-    """Log-ratios of the two class models, for windows and for contexts followed by something unseen."""
-    if not len(grams) or not toxic.any() or not ordinary.any():
+def kneser_ney(grams: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, base=None) -> WindowModel:
+    """Log-ratios of the two class models, for windows and for contexts followed by something unseen.
+
+    With `base` (see shared_probability) the grams are an owner's share, which may lack a class.
+    """
+    if not len(grams) or (base is None and not (toxic.any() and ordinary.any())):
         none = np.zeros(0)
         return WindowModel(none.astype(np.uint64), none, none.astype(np.uint64), none)
     order = np.argsort(grams)
     grams, toxic, ordinary = grams[order], toxic[order], ordinary[order]
-    shared = shared_probability(grams, ORDER - 1)
+    shared = shared_probability(grams, ORDER - 1, base)
     contexts, inside = np.unique(grams >> np.uint64(8), return_inverse=True)
     logs, unseen = [], []
     for counts in (toxic, ordinary):
@@ -283,13 +381,8 @@ def toxic_words(rows: DataFrame) -> DataFrame:
     totals = words.agg(F.sum("toxic_count").alias("t"), F.sum("ordinary_count").alias("o")).first()
     if not totals["t"] or not totals["o"]:
         return rows.sparkSession.createDataFrame([], "word_id long, ratio double")
-    spelled = word_windows(words)
-    counts = spelled.groupBy("window").agg(
-        F.sum("toxic_count").alias("toxic_count"), F.sum("ordinary_count").alias("ordinary_count")
-    )
-    ratios = window_ratios(staged(counts, "windows"))
-    summed = spelled.select("word_id", "window").join(ratios, "window").groupBy("word_id").agg(F.sum("ratio").alias("ratio"))
-    return staged(summed.filter(F.col("ratio") > min(MARGINS)), "toxic_words")
+    owners = max(1, words.count() // WORDS_PER_OWNER)
+    return staged(word_ratios(staged(word_blocks(words), "blocks"), owners), "toxic_words")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
@@ -347,7 +440,7 @@ def joined_evidence(docs: DataFrame, words: DataFrame, margins, text: str = "tex
     pairs = rows.mapInArrow(listed, "md5 string, word_id long, times long, length long").distinct()
     over = [F.sum(F.col("times") * F.greatest(F.col("ratio") - m, F.lit(0.0))) for m in margins]
     found = pairs.join(words, "word_id").groupBy("md5", "length").agg(*[o.alias(f"over{i}") for i, o in enumerate(over)])
-    logs = F.array(*[F.log1p(F.col(f"over{i}") / F.sqrt(F.col("length") + 3)) for i in range(len(margins))])
+    logs = F.array(*[F.log1p(PRIOR_WORDS * F.col(f"over{i}") / (F.col("length") + PRIOR_WORDS)) for i in range(len(margins))])
     found = found.select(F.col("md5").alias("_md5"), logs.alias("_found"))
     none = F.array(*[F.lit(0.0)] * len(margins))
     rows = docs.withColumn("_md5", F.md5(value)).join(found, "_md5", "left")
