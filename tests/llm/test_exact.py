@@ -7,15 +7,17 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.awkward import awkward, empty, texts
 from tidecast.llm import bpe, chat_perspectives, exact_dedup, jaccard_join, line_rules, packing, secret_scan
-from tidecast.llm.queries import QUERIES
+from tidecast.llm.queries import ORACLES, QUERIES
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,6 +247,37 @@ def test_chat_perspectives(spark):
     assert chat_perspectives.chat_perspectives(table.limit(0)).collect() == []
 
 
+def test_long_and_crowded_dialogues(spark):
+    """600 turns and 700 messages of one turn: every participant, system messages and context in every row."""
+    rows = [(1, 0, "system", "Be kind"), (1, 3, "bob", "only here")]
+    rows += [(1, i, "ann", f"t{i:04}") for i in range(1, 600)] + [(2, 0, "system", "Rules"), (2, 5, "late", "x")]
+    rows += [(2, 1, f"r{i % 2}", f"m{i:04}") for i in range(700)]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(4)
+    views = chat_perspectives.chat_perspectives(table)
+    got = {(r.conv_id, r.part, r.split, r.speaker): r for r in views.collect()}
+    assert set(got) == {(1, p, 0, s) for p in range(3) for s in ("ann", "bob")} | {(2, 0, p, s) for p in (0, 1) for s in ("r0", "r1", "late")}
+    bob, ann = got[(1, 2, 0, "bob")], got[(1, 2, 0, "ann")]
+    assert bob.masks == [] and bob.text.startswith("<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>user name=ann\nt0496<")
+    assert len(ann.masks) == 600 - 512 and ann.n_messages == 1 + 16 + 600 - 512
+    assert "t0511" in ann.text[: ann.masks[0].start] and "t0512" in ann.text[ann.masks[0].start :]
+    first, second = got[(2, 0, 0, "r1")], got[(2, 0, 1, "r1")]
+    assert first.n_messages == 512 and second.n_messages == 1 + 16 + 702 - 512 and second.text.count("Rules") == 1
+    own = [r.text[m.start : m.end] for r in (first, second) for m in r.masks]
+    assert own == [f"m{i:04}<|im_end|>" for i in range(1, 700, 2)]
+    # The query's SQL says the same of these, with null ids and turns.
+    more = table.union(spark.createDataFrame([(None, None, None, "a"), (None, 300, "b", None)], table.schema)).toPandas()
+    more = more.astype({"conv_id": "Int64", "turn": "Int32"})
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pandas(more))
+    wanted = {tuple(r[:4]): tuple(r[4:]) for r in con.sql(ORACLES["op1_chat_perspectives"]).fetchall()}
+    known = spark.createDataFrame(pa.Table.from_pandas(more))
+    shown = {
+        (r.conv_id, r.part, r.split, r.speaker): (r.n_messages, r.text, ",".join(f"{m.start}:{m.end}" for m in r.masks))
+        for r in chat_perspectives.chat_perspectives(known).collect()
+    }
+    assert shown == wanted and (None, 1, 0, "unknown") in shown
+
+
 def test_base_secrets(spark):
     got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.find_secrets(awkward(spark)).collect() if r.doc_id}
     text = dict(texts())[14]

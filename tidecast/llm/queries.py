@@ -47,19 +47,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
       SELECT DISTINCT conv_id, turn, replace(coalesce(nullif(role, ''), 'unknown'), '<|', '< |') AS role,
              replace(coalesce(text, ''), '<|', '< |') AS text, coalesce(floor(turn / 256), 0)::BIGINT AS part
       FROM conversations
+    ), d AS (
+      SELECT conv_id, turn, role, text, part, (place // 512)::BIGINT AS split, ((n - 1) // 512)::BIGINT AS last
+      FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+                   count(*) OVER (PARTITION BY conv_id, part) AS n FROM m)
+    ), k AS (SELECT DISTINCT conv_id, part, split FROM d),
+    f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY part, split) = 1),
+    heads AS (
+      SELECT d.conv_id, d.turn, d.role, d.text, d.part, d.split FROM d JOIN f
+      ON d.conv_id IS NOT DISTINCT FROM f.conv_id AND d.part = f.part AND d.split = f.split WHERE role = 'system'
+    ), tails AS (
+      SELECT conv_id, CASE WHEN split < last THEN part ELSE part + 1 END AS part,
+             CASE WHEN split < last THEN split + 1 ELSE 0 END AS split, turn, role, text
+      FROM d WHERE role <> 'system' QUALIFY row_number() OVER (
+        PARTITION BY conv_id, part, split ORDER BY turn DESC NULLS LAST, role DESC, text DESC) <= 16
+    ), shown AS (
+      SELECT k.conv_id, k.part, k.split, 0 AS kind, turn, role, text FROM k JOIN heads h
+      ON k.conv_id IS NOT DISTINCT FROM h.conv_id AND (k.part <> h.part OR k.split <> h.split)
+      UNION ALL
+      SELECT k.conv_id, k.part, k.split, 1, turn, role, text FROM k JOIN tails t
+      ON k.conv_id IS NOT DISTINCT FROM t.conv_id AND k.part = t.part AND k.split = t.split
+      UNION ALL
+      SELECT conv_id, part, split, 2, turn, role, text FROM d
     ), v AS (
-      SELECT s.speaker, m.*, m.role = s.speaker AS own, '<|im_start|>' || CASE WHEN m.role = s.speaker THEN 'assistant'
-               WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) || m.text
+      SELECT s.speaker, m.*, kind = 2 AND m.role = s.speaker AS own, '<|im_start|>' || CASE WHEN m.role = s.speaker
+               THEN 'assistant' WHEN m.role = 'system' THEN 'system' ELSE 'user name=' || m.role END || chr(10) || m.text
              || '<|im_end|>' || chr(10) AS segment
-      FROM (SELECT DISTINCT conv_id, part, role AS speaker FROM m WHERE role <> 'system') s JOIN m USING (conv_id, part)
+      FROM (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system') s
+      JOIN shown m ON s.conv_id IS NOT DISTINCT FROM m.conv_id
     ), w AS (
-      SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, role, text) AS stop FROM v
+      SELECT *, sum(length(segment)) OVER (PARTITION BY conv_id, part, split, speaker
+                                           ORDER BY kind, turn NULLS FIRST, role, text) AS stop FROM v
     )
-    SELECT conv_id, part, 0::BIGINT AS split, speaker, count(*) AS n_messages,
-           string_agg(segment, '' ORDER BY turn, role, text) AS text,
-           string_agg((stop - length(segment) + 22)::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop)
-             FILTER (WHERE own) AS masks
-    FROM w GROUP BY conv_id, part, speaker
+    SELECT conv_id, part, split, speaker, count(*) AS n_messages, string_agg(segment, '' ORDER BY stop) AS text,
+           coalesce(string_agg((stop - length(segment) + 22)::BIGINT || ':' || (stop - 1)::BIGINT, ',' ORDER BY stop)
+             FILTER (WHERE own), '') AS masks
+    FROM w GROUP BY conv_id, part, split, speaker
     """
 )
 def op1_chat_perspectives(spark, sf_dir):
