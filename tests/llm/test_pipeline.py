@@ -2,8 +2,11 @@
 
 import collections
 
+import re
+
 import corpus_pipeline
 from tests.llm.awkward import awkward, empty
+from tidecast.llm.queries import QUERIES
 from tidecast.sources.tables import staged
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,6 +31,48 @@ def test_stages(spark):
     assert max(filled.values()) <= 1024
 
 
+def shingles(text, size=5):
+    words = [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    return {tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, min(len(words), 1)))}
+
+
+def smallest_linked(rows):
+    """The smallest doc_id that each document reaches by links of 0.8 or more, all pairs compared."""
+    sets, root = {r.doc_id: shingles(r.text) for r in rows}, {r.doc_id: r.doc_id for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: find(i) for i in root}
+
+
+def test_stages_keep_what_brute_force_keeps(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    scores = {r.doc_id: r.score for r in QUERIES["op8_toxicity_kneser_ney"](spark, SF_DIR).collect()}
+    docs = staged(stages["toxicity"](spark, docs, SF_DIR), "toxicity")
+    rows = docs.select("doc_id", "text").collect()
+    assert {r.doc_id for r in rows} == {i for i, score in scores.items() if score < 0.5}
+
+    smallest = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        smallest.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r.text or ""), r.doc_id)
+    docs = staged(stages["exact_dedup"](spark, docs, SF_DIR), "exact")
+    rows = docs.select("doc_id", "text").collect()
+    assert sorted(r.doc_id for r in rows) == sorted(smallest.values())
+
+    near = smallest_linked(rows)
+    left = stages["near_duplicates"](spark, docs, SF_DIR).select("doc_id").collect()
+    assert sorted(r.doc_id for r in left) == sorted(i for i, low in near.items() if i == low) and len(left) < len(rows)
+
+
 def test_awkward_rows(spark):
     for docs in (awkward(spark), empty(spark)):
         docs = staged(docs, "awkward")
