@@ -16,13 +16,14 @@ from tidecast.operators.forecast import models_by_series, with_score
 from tidecast.operators.impute import exact_medians
 from tidecast.operators.registry import PURPOSES, has_bit, losses, per_horizon_of, recorded_rows
 from tidecast.operators.selection import paired_by_position
+from tidecast.sources.tables import shuffled
 
 
 def compare(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
     """Forecasts with the actual value of the same series and step."""
     return (
         forecasts.withColumnRenamed("horizon", "step")
-        .join(actuals.select("series_id", "step", "tourism"), ["series_id", "step"])
+        .join(shuffled(actuals.select("series_id", "step", "tourism")), ["series_id", "step"])
         .withColumn("error", F.abs(F.col("tourism") - F.col("score")))
     )
 
@@ -37,7 +38,7 @@ def mase(forecasts: DataFrame, actuals: DataFrame, scale_factor: DataFrame) -> D
         .groupBy("series_id")
         .agg(F.avg("error").alias("mae"), F.count(F.lit(1)).alias("steps"))
     )
-    return errors.join(scale_factor.withColumnRenamed("error", "scale_factor"), "series_id").select(
+    return errors.join(shuffled(scale_factor.withColumnRenamed("error", "scale_factor")), "series_id").select(
         "series_id", "steps", "mae", F.try_divide("mae", "scale_factor").alias("mase")
     )
 
@@ -49,7 +50,7 @@ def mase_by_position(forecasts: DataFrame, actuals: DataFrame, scale_factor: Dat
     """
     numbered = paired_by_position(actuals)
     lengths = numbered.groupBy("series_id").agg(F.count(F.lit(1)).alias("actuals"))
-    scores = mase(forecasts, numbered, scale_factor).join(lengths, "series_id")
+    scores = mase(forecasts, numbered, scale_factor).join(shuffled(lengths), "series_id")
     matches = F.col("actuals") == max_horizon(F.col("series_id"))
     return scores.select(
         "series_id", "actuals", F.when(matches, F.col("mase")).alias("mase")
@@ -59,7 +60,7 @@ def mase_by_position(forecasts: DataFrame, actuals: DataFrame, scale_factor: Dat
 def mase_difference(direct: DataFrame, recursive: DataFrame) -> DataFrame:
     """Per series: direct minus recursive MASE; below 0 the direct forecast is better."""
     return direct.select("series_id", F.col("mase").alias("direct")).join(
-        recursive.select("series_id", F.col("mase").alias("recursive")), "series_id"
+        shuffled(recursive.select("series_id", F.col("mase").alias("recursive"))), "series_id"
     ).withColumn("diff", F.col("direct") - F.col("recursive"))
 
 
@@ -80,7 +81,7 @@ def error_bounds(models: DataFrame, fit_performance: DataFrame, loss_function: s
     """Expected absolute error per horizon, from the validation score of the given models."""
     return (
         models.select("target", "model_id")
-        .join(losses(fit_performance, "validation", loss_function), ["target", "model_id"])
+        .join(shuffled(losses(fit_performance, "validation", loss_function)), ["target", "model_id"])
         .select(
             target_series(F.col("target")).alias("series_id"),
             target_horizon(F.col("target")).alias("horizon"),
@@ -94,7 +95,7 @@ def forecast_bands(forecasts: DataFrame, actuals: DataFrame, bounds: DataFrame)
     """Forecast, actual and the band of one error bound around the forecast."""
     return (
         compare(forecasts, actuals)
-        .join(bounds.select("series_id", F.col("horizon").alias("step"), "error_bound"), ["series_id", "step"])
+        .join(shuffled(bounds.select("series_id", F.col("horizon").alias("step"), "error_bound")), ["series_id", "step"])
         .select(
             "series_id",
             "step",
@@ -140,8 +141,8 @@ def recorded_scores(ts: DataFrame, masks: DataFrame, models: DataFrame, max_rows
     are written out for it.
     """
     chosen = models.select("series_id", "model_id").distinct()
-    own = masks.join(chosen, ["series_id", "model_id"], "left_semi")
-    rows = recorded_rows(ts, own, max_rows).join(models_by_series(models), "series_id")
+    own = masks.join(shuffled(chosen), ["series_id", "model_id"], "left_semi")
+    rows = recorded_rows(ts, own, max_rows).join(shuffled(models_by_series(models)), "series_id")
     rows = rows.withColumnRenamed("model_id", "recorded_id").select(
         "series_id", "recorded_id", "time_index", "tourism", "lags", "train", "validation", F.inline("models")
     )
@@ -170,7 +171,7 @@ def _named(scores: DataFrame, record_ids: DataFrame | None) -> DataFrame:
         (F.col("score") - F.col("target")).alias("error"),
         *(["purpose"] if record_ids is None else []),
     )
-    return errors if record_ids is None else errors.join(record_ids, ["target", "model_id", "observation_id"])
+    return errors if record_ids is None else errors.join(shuffled(record_ids), ["target", "model_id", "observation_id"])
 
 
 def train_residuals(scores: DataFrame, record_ids: DataFrame | None = None) -> DataFrame:
@@ -208,9 +209,9 @@ def evaluate_fit(
         "target", "model_id", "purpose", F.col("performance").alias("stored")
     )
     if models is not None:
-        stored = stored.join(models.select("target", "model_id").distinct(), ["target", "model_id"], "left_semi")
+        stored = stored.join(shuffled(models.select("target", "model_id").distinct()), ["target", "model_id"], "left_semi")
     passed = F.coalesce(F.abs(F.col("stored") - F.col("repeated")) < tolerance, F.lit(False))
-    joined = repeated.join(stored, ["target", "model_id", "purpose"], "inner" if models is None else "full")
+    joined = repeated.join(shuffled(stored), ["target", "model_id", "purpose"], "inner" if models is None else "full")
     return joined.select("target", "model_id", "purpose", "stored", "repeated", passed.alias("pass"))
 
 
@@ -224,4 +225,4 @@ def changed_rows(stored: DataFrame, repeated: DataFrame) -> DataFrame:
     again = repeated.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("rows", "hash_a", "hash_b")])
     same = [F.col(c) == F.col(f"_{c}") for c in ("rows", "hash_a", "hash_b")]
     passed = F.coalesce(same[0] & same[1] & same[2], F.lit(False))
-    return stored.join(again, keys, "full").select(*keys, "rows", passed.alias("pass"))
+    return stored.join(shuffled(again), keys, "full").select(*keys, "rows", passed.alias("pass"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidecast.config import LAG_NAMES, N_LAGS, PREDICTORS
 from tidecast.functions.expressions import lag_columns, linear_score, max_horizon, month_flags, target_id
 from tidecast.operators.features import anchors, future_limit, lagged_rows
+from tidecast.sources.tables import shuffled
 
 
 def aligned_coefficients(models: DataFrame, predictors: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def aligned_coefficients(models: DataFrame, predictors: DataFrame) -> DataFrame:
         for i, name in enumerate(PREDICTORS)
     ]
     return (
-        models.join(listed, ["target", "model_id"])
+        models.join(shuffled(listed), ["target", "model_id"])
         .withColumn("coef", F.array(F.get("coef", F.lit(0)), *used))
         .drop("listed")
     )
@@ -42,7 +43,7 @@ def batch_score(features: DataFrame, models: DataFrame) -> DataFrame:
     lags = [F.col(name) for name in LAG_NAMES]
     own = F.get(F.filter("models", lambda m: m["horizon"] == F.col("horizon")), F.lit(0))
     return (
-        features.join(models_by_series(models), "series_id")
+        features.join(shuffled(models_by_series(models)), "series_id")
         .withColumn("model", own)
         .where(F.col("model").isNotNull())
         .withColumns(
@@ -68,7 +69,7 @@ def with_models(lagged: DataFrame, models: DataFrame) -> DataFrame:
     The join comes before the horizons are multiplied out: with bounded series the rows are not shuffled
     again after their lags are built.
     """
-    rows = lagged.join(models_by_series(models), "series_id").select(*lagged.columns, F.inline("models"))
+    rows = lagged.join(shuffled(models_by_series(models)), "series_id").select(*lagged.columns, F.inline("models"))
     return rows.where(F.get("lags", F.col("horizon") + N_LAGS - 1).isNotNull())
 
 
@@ -125,7 +126,7 @@ def direct_forecast(ts: DataFrame, models: DataFrame, pred_type: str, first_hori
     observation_id = F.col("anchor_time") + F.col("horizon") - (1 - first_horizon)
     return (
         anchors(ts, pred_type)
-        .join(models.select("series_id", "horizon", "model_id", "coef", fill_of(models)), "series_id")
+        .join(shuffled(models.select("series_id", "horizon", "model_id", "coef", fill_of(models))), "series_id")
         .where(F.col("horizon") <= max_horizon(F.col("series_id")))
         .select(
             "series_id",
@@ -166,7 +167,7 @@ def recursive_forecast(ts: DataFrame, models: DataFrame, pred_type: str, feed: s
     steps = F.sequence(F.lit(1), max_horizon(F.col("series_id")))
     return (
         anchors(ts, pred_type)
-        .join(models.where("horizon = 1").select("series_id", "model_id", "coef", fill_of(models)), "series_id")
+        .join(shuffled(models.where("horizon = 1").select("series_id", "model_id", "coef", fill_of(models))), "series_id")
         .select(
             "series_id",
             "model_id",

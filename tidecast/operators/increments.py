@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidecast.config import CHUNK_ROWS, SEASON_LAGS
 from tidecast.functions.expressions import by_frequency, frequency
 from tidecast.operators.sequence import last_rows, with_lags
+from tidecast.sources.tables import shuffled
 
 KEPT_VALUES = 12
 # Out-of-sample rows follow all in-sample ones on the axis.
@@ -42,7 +43,7 @@ def add_rows(
     """
     spark, rows = batch.sparkSession, _on_axis(batch)
     state = spark.createDataFrame([], SERIES_STATE) if state is None else state
-    touched = state.join(rows.select("series_id").distinct(), "series_id", "left_semi")
+    touched = state.join(shuffled(rows.select("series_id").distinct()), "series_id", "left_semi")
     front = touched.select("series_id", F.posexplode("recent").alias("back", "tourism")).select(
         "series_id",
         (-(F.col("back") + 1)).cast("long").alias("axis"),
@@ -64,7 +65,7 @@ def add_rows(
     )
     newest = F.sort_array(F.collect_list(F.struct("rank", "tourism")))["tourism"]
     recent = last_rows(seen, KEPT_VALUES, order="axis").groupBy("series_id").agg(newest.alias("recent"))
-    added = sums.join(recent, "series_id").select(
+    added = sums.join(shuffled(recent), "series_id").select(
         "series_id", *[F.col(c).alias(f"_{c}") for c in ("max_time", "first", "axis", "rows", "differences", "total", "recent")]
     )
     late = F.col("axis").isNotNull() & F.col("_first").isNotNull() & (F.col("_first") <= F.col("axis"))
@@ -74,7 +75,7 @@ def add_rows(
     def both(name, zero):
         return F.coalesce(F.col(name), zero) + F.coalesce(F.col(f"_{name}"), zero)
 
-    return state.join(added, "series_id", "full").select(
+    return state.join(shuffled(added), "series_id", "full").select(
         "series_id",
         F.greatest("max_time", "_max_time").alias("max_time"),
         axis.alias("axis"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidecast.config import CHUNK_ROWS, SEASON_LAGS
 from tidecast.functions.expressions import by_frequency
 from tidecast.operators.sequence import fits_one_task, with_lags
+from tidecast.sources.tables import shuffled
 
 
 def max_time(ts: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def with_max_time(ts: DataFrame, max_rows: int | None = None) -> DataFrame:
         return ts.withColumn(
             "max_time", F.max(in_sample).over(Window.partitionBy("series_id"))
         ).where(F.col("max_time").isNotNull())
-    return ts.join(max_time(ts), "series_id")
+    return ts.join(shuffled(max_time(ts)), "series_id")
 
 
 def unified_axis(ts: DataFrame, max_rows: int | None = None) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidecast.sources.tables import shuffled
+
 # Normalised rank errors of KLL sketches of some sizes, as published with them.
 RANK_ERROR = {200: 0.0133, 800: 0.0037, 3200: 0.0010}
 
@@ -50,7 +52,9 @@ def rank_errors(df: DataFrame, medians: DataFrame, keys: Sequence[str], columns:
     """
     names = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), _kept(c).alias("value")) for c in columns]))
     found = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("median")) for c in columns]))
-    joined = df.select(*keys, names).where("value is not null").join(medians.select(*keys, found), [*keys, "column"])
+    joined = df.select(*keys, names).where("value is not null").join(
+        shuffled(medians.select(*keys, found)), [*keys, "column"]
+    )
     ranks = joined.groupBy(*keys, "column").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("value") < F.col("median")).alias("below"),
