@@ -1,12 +1,15 @@
 """What grows with the input is not broadcast, and no task holds more of it."""
 
+from datetime import date, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidecast.operators import registry
 from tidecast.operators.forecast import train_scores
 from tidecast.operators.impute import exact_medians, impute
-from tidecast.sources.sales_series import MAX_SERIES_ROWS
+from tidecast.sources import sales_series as source
+from tidecast.sources.sales_series import MAX_SERIES_ROWS, sales_series, tasks_for
 from tidecast.sources.tables import staged
 
 BOUND = {"max_rows": MAX_SERIES_ROWS}
@@ -48,3 +51,27 @@ def test_storing_models_broadcasts_nothing(spark, series):
     masks = staged(masks, "masks")
     assert "Broadcast" not in plan(registry.fingerprints(series, masks, **BOUND))
     assert "Broadcast" not in plan(train_scores(series, staged(models, "models"), **BOUND))
+
+
+def line_items(spark, path, rows):
+    """A folder with the table, in several files; days count from 1995-01-01."""
+    rows = [(s, price, None if d is None else date(1995, 1, 1) + timedelta(days=d)) for s, price, d in rows]
+    frame = spark.createDataFrame(rows, "l_suppkey long, l_extendedprice double, l_shipdate date")
+    frame.repartition(3).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_tasks_grow_with_the_line_items(spark, tmp_path, monkeypatch):
+    """Left to the size of the shuffle, few tasks held ever more suppliers."""
+    assert tasks_for(spark, 0) == spark.sparkContext.defaultParallelism
+    assert tasks_for(spark, 100 * source.ROWS_PER_TASK + 1) == 101
+    folder = line_items(spark, tmp_path, [(s, 1.0, d) for s in range(40) for d in range(30)])
+    monkeypatch.setattr(source, "tasks_for", lambda spark, rows: rows // 60)
+    assert sales_series(spark, folder, "m").rdd.getNumPartitions() == 20
+
+
+def test_line_items_of_one_day_are_added_up(spark, tmp_path):
+    rows = [(1, 0.25, 5)] * 400 + [(1, 1.0, 15), (2, 2.0, None), (None, 3.0, 5), (None, 4.0, 6)]
+    ts = sales_series(spark, line_items(spark, tmp_path, rows), "m")
+    found = sorted((r.series_id or "", r.time_index, r.tourism) for r in ts.where("time_index > 2").collect())
+    assert found == [("", 3, 7.0), ("m1", 3, 100.0), ("m1", 4, 1.0), ("m2", 3, 2.0)]
