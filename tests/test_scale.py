@@ -2,10 +2,13 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidecast.functions import linear_models as lm
 from tidecast.operators import registry
+from tidecast.operators.fit import fit_models
 from tidecast.operators.forecast import train_scores
 from tidecast.operators.impute import exact_medians, impute
 from tidecast.sources import sales_series as source
@@ -75,3 +78,37 @@ def test_line_items_of_one_day_are_added_up(spark, tmp_path):
     ts = sales_series(spark, line_items(spark, tmp_path, rows), "m")
     found = sorted((r.series_id or "", r.time_index, r.tourism) for r in ts.where("time_index > 2").collect())
     assert found == [("", 3, 7.0), ("m1", 3, 100.0), ("m1", 4, 1.0), ("m2", 3, 2.0)]
+
+
+def test_fits_of_derived_series_keep_their_tasks(spark, tmp_path):
+    """The fit's shuffle fell together with the one of the series and was joined to few tasks."""
+    folder = line_items(spark, tmp_path, [(s, float(d % 7), d) for s in range(20) for d in range(0, 900, 15)])
+    fitted = fit_models(sales_series(spark, folder, "m"), candidates=("naive",), **BOUND)
+    assert fitted.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_few_lasso_targets_as_many(monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6, 5, 12)) + 2 * rng.normal(size=(6, 1, 12))
+    left, penalty = np.corrcoef(x.reshape(30, 12))[:5, :5] * np.ones((6, 1, 1)), np.full(6, 0.05)
+    right, slopes, moved = rng.normal(size=(6, 5)), [], []
+    for few in (0, 16):
+        monkeypatch.setattr(lm, "LASSO_FEW", few)
+        own = np.zeros((6, 5))
+        moved.append(lm._descend(own, left, right, penalty))
+        slopes.append(own)
+    assert (slopes[0] == slopes[1]).all() and (moved[0] == moved[1]).all()
+
+
+def test_short_series_are_laid_out_once(monkeypatch):
+    """Huber steps over one layout give what they give block by block."""
+    rng = np.random.default_rng(4)
+    n, horizons, predictors = 90, np.array([1, 2, 3]), ["observation_id", "lag_1", "month_2"]
+    rows = (np.arange(n), rng.normal(size=n), rng.normal(size=(n, 36)), rng.integers(-1, 3, n), np.ones((n, 36), dtype=bool))
+    coefs, shift = rng.normal(size=(3, 4, 4)), np.zeros(5)
+    calls, design = [], lm.design
+    monkeypatch.setattr(lm, "design", lambda *a: calls.append(1) or design(*a))
+    whole = lm.huber_fit(rows, horizons, predictors, coefs, 1.345, None, shift)
+    assert len(calls) == 2  # once for the bounds, once for all steps
+    monkeypatch.setattr(lm, "BLOCK_ROWS", 40)
+    assert np.allclose(whole, lm.huber_fit(rows, horizons, predictors, coefs, 1.345, None, shift), rtol=1e-8)
