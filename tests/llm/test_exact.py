@@ -112,6 +112,40 @@ def test_jaccard_components_of_near_copies(spark):
         assert sorted(map(tuple, got)) == linked_components(rows, 3, percent)
 
 
+@pytest.mark.parametrize("size,percent", [(3, 90), (5, 80)])
+def test_jaccard_compares_few_pairs_of_loose_copies(spark, monkeypatch, size, percent):
+    """Loose copies of one text and of parts of it share frequent shingles, but few pairs can link."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        copy = base[: rng.choice([150, 150, 150, 140, 120])]
+        for k in range(rng.choice([1, 2, 3, 4, 5, 6])):
+            copy[rng.randrange(len(copy))] = f"e{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    compared, staged = [], jaccard_join.staged
+
+    def counting(df, name):
+        out = staged(df, name)
+        compared.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(jaccard_join, "staged", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = jaccard_join.jaccard_components(docs, size, percent).collect()
+    assert sorted(map(tuple, got)) == linked_components(rows, size, percent)
+    assert 0 < sum(compared) < 10 * len(rows)
+
+
+def test_jaccard_frequent_shingles_keep_whole_levels(spark):
+    """The list has the most frequent shingles, level by level, within its bound."""
+    texts = ["a b c"] * 1 + [f"a b c x{i}" for i in range(70)] + [f"d e f y{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for most, expected in ((10, [8, 12]), (1, [12]), (0, [])):
+        shingles, levels = jaccard_join.frequent_shingles(docs, 3, most)
+        assert sorted(levels.tolist()) == expected and (shingles[1:] > shingles[:-1]).all()
+
+
 def test_jaccard_components_of_no_rows(spark):
     assert jaccard_join.jaccard_components(empty(spark)).collect() == []
     left = jaccard_join.drop_near_duplicates(awkward(spark), 5, 80)

@@ -1,13 +1,15 @@
 """Exact Jaccard join on word shingles by grouped prefixes, with the components of its links.
 
-Shingles have a global order: rare ones first. Two sets that link share one of the first shingles of
-each, the prefix. Texts with equal sets are one class; classes with the same prefix and size are one
+Shingles have a global order: rare ones first, frequent ones by their frequency. Two sets that link share
+one of the first shingles of each, the prefix. Texts with equal sets are one class; classes with the same prefix and size are one
 group, and only groups have entries in the index. Groups that share a prefix shingle meet in a cell;
 filtered group pairs are expanded to classes, and these are verified on whole sets.
 
 A cell with many members is not compared all with all: its members are compared with a pivot, links
 join components, and only what is still in different components goes on. A link between two classes
-that are already in one component cannot change the result.
+that are already in one component cannot change the result. The pivot is the member with the smallest
+share of shingles before the cell's: these are rarer, so it has least that the others lack. What is before
+the cell's shingle also bounds how much two members can share when that shingle is their first common one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from tidecast.llm.joins import checked, without
 from tidecast.llm.text_batches import Texts, lower_ascii, slices, texts_of, words_of
 from tidecast.sources.tables import staged
 
-FREQUENT_SHINGLES = 1 << 18  # bound on the shingles that are known to be frequent
+FREQUENT_SHINGLES = 1 << 20  # bound on the shingles that are known to be frequent
 LEAST_FREQUENT = 8
 SLICE_BYTES = 2 << 20
 HELD_SHINGLES = 2_000_000
@@ -96,16 +98,16 @@ def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
-def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles that many different texts share, sorted; FREQUENT_SHINGLES of them at most.
+def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different texts share, sorted, and the level of each: twice the logarithm of its count.
 
     Each task counts its shingles over texts with different sets and reports those it met twice or more.
-    The bound is on total counts: fewer than FREQUENT_SHINGLES can have the share asked for. The list
-    sets the order of shingles only; the result does not depend on it.
+    The list has all levels from the lowest, of LEAST_FREQUENT or more, that keeps it within `most` shingles.
+    It sets the order of shingles only; the result does not depend on it.
     """
 
     def count(batches):
-        held, seen, n, total = [], set(), 0, 0
+        held, seen, n = [], set(), 0
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 values, starts = shingle_sets(texts_of(part.column("text")), size)
@@ -115,13 +117,11 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
                     seen.add(print_)
                 held.append(values[np.repeat(fresh, np.diff(starts))])
                 n += len(held[-1])
-                total += len(held[-1])
                 if n > HELD_SHINGLES:
                     yield report(held)
                     held, seen, n = [], set(), 0
         if held:
             yield report(held)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["shingle", "times"])
 
     def report(held):
         values, times = np.unique(np.concatenate(held), return_counts=True)
@@ -132,29 +132,36 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     counted = text.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    counted = staged(counted, "shingles")
-    total = counted.filter("shingle is null").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n")).first()["n"]
-    least = max(LEAST_FREQUENT, -(-total // FREQUENT_SHINGLES))
-    often = counted.filter(F.col("shingle").isNotNull() & (F.col("times") >= least)).select("shingle").toArrow()
-    return np.sort(often.column(0).to_numpy().view(np.uint64))
+    level = F.floor(2 * F.log2(F.col("times").cast("double"))).cast("int")
+    counted = staged(counted.filter(F.col("times") >= LEAST_FREQUENT).select("shingle", level.alias("level")), "shingles")
+    least, listed = 1 << 7, 0
+    for row in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        listed += row["count"]
+        if listed > most:
+            break
+        least = row["level"]
+    often = counted.filter(F.col("level") >= least).toArrow()
+    shingles = often.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], often.column(1).to_numpy()[order].astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """For each text the size of its set, fingerprints of set and prefix, the prefix and a bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        often = shared.value
+        often, levels = shared.value
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 values, starts = shingle_sets(texts_of(part.column("text")), size)
                 n = np.diff(starts)
                 doc = np.repeat(np.arange(len(n)), n)
-                late = np.zeros(len(values), dtype=bool)
+                level = np.zeros(len(values), dtype=np.uint8)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-                    late = often[at] == values
-                ordered = values[np.lexsort((values, late, doc))]
+                    level = np.where(often[at] == values, levels[at], level)
+                ordered = values[np.lexsort((values, level, doc))]
                 length = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
                 first = np.arange(len(values)) - starts[:-1][doc] < length[doc]
                 ordered = ordered[first]
@@ -254,6 +261,20 @@ def compatible(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def reach(n: Column, pos: Column, percent: int) -> Column:
+    """`percent` times the largest set that one of n shingles can link with if they share none before `pos`.
+
+    All they share is then among n - pos shingles, and must be at least percent / (100 + percent) of both sizes.
+    """
+    return (100 + percent) * (n - pos) - percent * n
+
+
+def in_reach(n1: str, reach1: str, n2: str, reach2: str, percent: int) -> Column:
+    """Sizes can link, and so can what is left after the first common shingle on both sides."""
+    possible = (percent * F.col(n2) <= F.col(reach1)) & (percent * F.col(n1) <= F.col(reach2))
+    return compatible(F.col(n1), F.col(n2), percent) & possible
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_cell: int = SMALL_CELL) -> DataFrame:
     """Components of documents linked by 100 * intersection >= percent * union of their shingle sets.
 
@@ -286,44 +307,47 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     met = staged(met.join(sizes, "cell").select("cell", "gid", "n", "pos", "k"), "cells")
 
     # Cells of few groups: all pairs, which filters on size and on what can follow the first shared shingle.
-    few = met.filter(F.col("k") <= small_cell)
-    other = few.select("cell", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    overlap = F.ceil(F.lit(percent) * (F.col("n") + F.col("n2")) / F.lit(100 + percent))
+    # A pair that passes passes in the cell of that shingle.
+    met = met.withColumn("reach", reach(F.col("n"), F.col("pos"), percent))
+    few = met.filter(F.col("k") <= small_cell).select("cell", "gid", "n", "reach")
+    other = few.select("cell", F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("reach").alias("reach2"))
     group_pairs = (
         few.join(other, "cell")
-        .filter((F.col("gid") < F.col("gid2")) & compatible(F.col("n"), F.col("n2"), percent))
-        .groupBy("gid", "gid2", "n", "n2")
-        .agg(F.min("pos").alias("pos"), F.min("pos2").alias("pos2"))
-        .filter(F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= overlap)
+        .filter((F.col("gid") < F.col("gid2")) & in_reach("n", "reach", "n2", "reach2", percent))
         .select("gid", "gid2")
+        .distinct()
     )
     group_pairs = staged(group_pairs, "group-pairs")
 
     # What has to be compared, class by class, as cells: a group; a pair of groups; a crowded cell.
+    members = members.withColumn("first", F.lit(0))
     one = members.groupBy("gid").agg(F.count("*").alias("k")).filter("k > 1").select("gid")
-    inside = members.join(one, "gid").select(F.struct(F.lit(0).alias("kind"), F.col("gid").alias("x"), F.col("gid").alias("y")).alias("cell"), "cid", "n")
+    inside = members.join(one, "gid").select(F.struct(F.lit(0).alias("kind"), F.col("gid").alias("x"), F.col("gid").alias("y")).alias("cell"), "cid", "n", "first")
     kind = F.struct(F.lit(1).alias("kind"), F.col("gid").alias("x"), F.col("gid2").alias("y")).alias("cell")
     sides = group_pairs.select(kind, F.explode(F.array("gid", "gid2")).alias("gid"))
-    between = sides.join(members, "gid").select("cell", "cid", "n")
+    between = sides.join(members, "gid").select("cell", "cid", "n", "first")
     many = (
         met.filter(F.col("k") > small_cell)
-        .select(F.struct(F.lit(2).alias("kind"), F.col("cell.shingle").alias("x"), F.col("cell.cell_band").cast("long").alias("y")).alias("cell"), "gid")
+        .select(F.struct(F.lit(2).alias("kind"), F.col("cell.shingle").alias("x"), F.col("cell.cell_band").cast("long").alias("y")).alias("cell"), "gid", "pos")
         .join(members, "gid")
-        .select("cell", "cid", "n")
+        .select("cell", "cid", "n", F.col("pos").alias("first"))
     )
+    many = with_partner(many, percent)
     work = staged(inside.union(between).union(many), "work")
+    # A member that is not yet linked, or else the first of its component, with least before the cell's shingle.
+    central = F.struct((F.col("component") != F.col("cid")).alias("linked"), (F.col("first") / F.col("n")).alias("before"), F.xxhash64("cid").alias("h"), "cid", "n", "component")
     bits = classes.select("cid", "n", "bits")
     found, labels = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         labelled = work.withColumn("component", F.col("cid"))
         if labels is not None:
             labelled = work.join(labels, work.cid == labels.node, "left").select(
-                "cell", "cid", "n", F.coalesce("component", "cid").alias("component")
+                "cell", "cid", "n", "first", F.coalesce("component", "cid").alias("component")
             )
         mixed_cells = labelled.groupBy("cell").agg(
             F.min("component").alias("low"),
             F.max("component").alias("high"),
-            F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n", "component")).alias("pivot"),
+            F.min(central).alias("pivot"),
             F.count("*").alias("k"),
         ).filter("low <> high")
         open_cells = staged(labelled.join(mixed_cells.drop("low", "high"), "cell"), "open")
@@ -334,14 +358,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
             F.col("cid").alias("a"), F.col("pivot.cid").alias("b"), F.col("n").alias("n1"), F.col("pivot.n").alias("n2")
         )
         rest = open_cells.filter(~crowded)
-        pairs = with_pivot.union(remaining_pairs(rest))
-        pairs = pairs.filter(compatible(F.col("n1"), F.col("n2"), percent))
+        pairs = with_pivot.filter(compatible(F.col("n1"), F.col("n2"), percent)).select("a", "b")
+        pairs = pairs.union(remaining_pairs(rest, percent))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = staged(verified(docs, staged(pairs, "pairs"), bits, size, percent), "verified")
         found = new if found is None else found.union(new)
         labels = components(found)
         # A pivot has been compared with its whole cell; small cells are done.
-        work = open_cells.filter(crowded & (F.col("cid") != F.col("pivot.cid"))).select("cell", "cid", "n")
+        work = open_cells.filter(crowded & (F.col("cid") != F.col("pivot.cid"))).select("cell", "cid", "n", "first")
 
     in_class = classes.select("n", "s1", "s2", "cid")
     if labels is not None:
@@ -354,18 +378,32 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, small_
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
-def remaining_pairs(cells: DataFrame) -> DataFrame:
+def with_partner(cells: DataFrame, percent: int) -> DataFrame:
+    """The members of cells that are in reach of some size of the cell, at the longest reach met with that size.
+
+    A frequent shingle puts all loose copies of a text in its cell; most have too much before it to link there.
+    """
+    cells = cells.withColumn("reach", reach(F.col("n"), F.col("first"), percent))
+    sizes = cells.groupBy("cell", F.col("n").alias("n2")).agg(F.max("reach").alias("reach2"))
+    same = F.struct("cell.kind", "cell.x", "cell.y")
+    left, right = cells.withColumn("key", same), sizes.select(same.alias("key2"), "n2", "reach2")
+    met = left.join(right, (F.col("key") == F.col("key2")) & in_reach("n", "reach", "n2", "reach2", percent), "left_semi")
+    return met.select("cell", "cid", "n", "first")
+
+
+def remaining_pairs(cells: DataFrame, percent: int) -> DataFrame:
     """Pairs of a cell in different components, but for those within its largest component's own rows:
-    members outside it are compared with all others."""
+    members outside it are compared with all others that are in reach."""
     sizes = cells.groupBy("cell", "component").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("cell").agg(F.max(F.struct("m", "component")).alias("largest"))
+    cells = cells.withColumn("reach", reach(F.col("n"), F.col("first"), percent))
     outside = (
         cells.join(largest, "cell")
         .filter(F.col("component") != F.col("largest.component"))
-        .select("cell", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
+        .select("cell", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("reach").alias("r1"), F.col("component").alias("c1"))
     )
-    every = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    return outside.join(every, "cell").filter("c1 <> c2").select("a", "b", "n1", "n2")
+    every = cells.select("cell", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("reach").alias("r2"), F.col("component").alias("c2"))
+    return outside.join(every, "cell").filter((F.col("c1") != F.col("c2")) & in_reach("n1", "r1", "n2", "r2", percent)).select("a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
