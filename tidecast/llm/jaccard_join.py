@@ -14,6 +14,8 @@ the cell's shingle also bounds how much two members can share when that shingle
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidecast.llm.joins import checked, without
-from tidecast.llm.text_batches import Texts, lower_ascii, slices, texts_of, words_of
+from tidecast.llm.text_batches import Texts, give_back_memory, lower_ascii, slices, texts_of, words_of
 from tidecast.sources.tables import staged
 
 FREQUENT_SHINGLES = 1 << 20  # bound on the shingles that are known to be frequent
@@ -98,6 +100,16 @@ def most_shared(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same function of batches; when it has ended, its worker holds no memory for it."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back_memory()
+
+    return tidied
+
+
 def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many different texts share, sorted, and the level of each: twice the logarithm of its count.
 
@@ -124,14 +136,20 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT_SHINGLES)
             yield report(held)
 
     def report(held):
-        values, times = np.unique(np.concatenate(held), return_counts=True)
+        values = np.concatenate(held)
+        held.clear()
+        values.sort()
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = values[1:] != values[:-1]
+        starts = np.flatnonzero(new)
+        times = np.diff(starts, append=len(values))
         often = times > 1
         return pa.RecordBatch.from_arrays(
-            [pa.array(values[often].view(np.int64)), pa.array(times[often])], ["shingle", "times"]
+            [pa.array(values[starts[often]].view(np.int64)), pa.array(times[often])], ["shingle", "times"]
         )
 
     text = docs.select(F.col("text").cast("string").alias("text"))
-    counted = text.mapInArrow(count, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
+    counted = text.mapInArrow(tidy(count), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
     level = F.floor(2 * F.log2(F.col("times").cast("double"))).cast("int")
     counted = staged(counted.filter(F.col("times") >= LEAST_FREQUENT).select("shingle", level.alias("level")), "shingles")
     least, listed = 1 << 7, 0
@@ -178,7 +196,7 @@ def prefixes(docs: DataFrame, size: int, percent: int, frequent: tuple[np.ndarra
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "p1", "p2", "prefix", "bits"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, PREFIXES
+        tidy(run), PREFIXES
     )
 
 
@@ -194,7 +212,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["cid", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(run, "cid long, shingles binary")
+    return rows.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(run), "cid long, shingles binary")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, size: int, percent: int) -> DataFrame:
@@ -226,12 +244,12 @@ def verified(docs: DataFrame, pairs: DataFrame, bits: DataFrame, size: int, perc
     left = bits.select(F.col("cid").alias("a"), F.col("n").alias("left_n"), F.col("bits").alias("left_bits"))
     right = bits.select(F.col("cid").alias("b"), F.col("n").alias("right_n"), F.col("bits").alias("right_bits"))
     likely = pairs.select("a", "b").join(left, "a").join(right, "b")
-    likely = staged(likely.mapInArrow(possible, "a long, b long"), "likely")
+    likely = staged(likely.mapInArrow(tidy(possible), "a long, b long"), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = staged(whole_sets(docs, wanted, size), "sets")
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("right_set"))
-    return likely.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long").distinct()
+    return likely.join(left, "a").join(right, "b").mapInArrow(tidy(check), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
