@@ -3,9 +3,12 @@
 import collections
 
 import re
+import tracemalloc
 
 import corpus_pipeline
+import numpy as np
 from tests.llm.awkward import awkward, empty
+from tidecast.llm import jaccard_join, secret_scan
 from tidecast.llm.queries import QUERIES
 from tidecast.sources.tables import staged
 
@@ -79,3 +82,34 @@ def test_awkward_rows(spark):
         for name, stage in corpus_pipeline.STAGES[1:]:
             docs = staged(stage(spark, docs, SF_DIR), name)
     assert docs.count() == 0
+
+
+def test_moves_are_counted_in_little_memory():
+    data = np.random.default_rng(1).integers(0, 256, 4 << 20).astype(np.uint8)
+    classes = secret_scan.CLASS_OF_BYTE[data].tolist()
+    expected = collections.Counter(zip(classes, classes[1:]))
+    tracemalloc.start()
+    moves = secret_scan.moves_in(data)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    width = secret_scan.END + 1
+    assert {(i // width, i % width): n for i, n in enumerate(moves.tolist()) if n} == expected
+    assert most < 2 * len(data)
+    for short in (0, 1, 2):
+        assert secret_scan.moves_in(data[:short]).sum() == max(0, short - 1)
+
+
+def test_repeated_shingles_are_counted_in_little_memory():
+    values = np.random.default_rng(2).integers(0, 1 << 20, 1 << 21).astype(np.uint64)
+    expected = {v: n for v, n in collections.Counter(values.tolist()).items() if n > 1}
+    single = np.arange(1 << 21, dtype=np.uint64)
+    tracemalloc.start()
+    none = jaccard_join.repeated(single)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert not none[0].size and most < single.nbytes
+    found, times = jaccard_join.repeated(np.sort(values))
+    assert dict(zip(found.tolist(), times.tolist())) == expected
+    for few in ([], [3], [3, 3], [3, 4], [3, 3, 4, 5, 5, 5]):
+        found, times = jaccard_join.repeated(np.array(few, dtype=np.uint64))
+        assert dict(zip(found.tolist(), times.tolist())) == {v: few.count(v) for v in few if few.count(v) > 1}

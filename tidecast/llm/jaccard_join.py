@@ -28,7 +28,7 @@ from tidecast.sources.tables import staged
 
 FREQUENT_SHINGLES = 1 << 20  # bound on the shingles that are known to be frequent
 LEAST_FREQUENT = 8
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 HELD_SHINGLES = 2_000_000
 SMALL_CELL = 24
 PIVOT_ROUNDS = 2
@@ -110,6 +110,14 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return tidied
 
 
+def repeated(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values those that are there twice or more, and how often; single ones take no memory."""
+    again = np.zeros(len(values) + 1, dtype=bool)
+    np.equal(values[1:], values[:-1], out=again[1 : len(values)])
+    starts, ends = np.flatnonzero(again[1:] > again[:-1]), np.flatnonzero(again[1:] < again[:-1])
+    return values[starts], ends - starts + 1
+
+
 def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many different texts share, sorted, and the level of each: twice the logarithm of its count.
 
@@ -139,14 +147,8 @@ def frequent_shingles(docs: DataFrame, size: int, most: int = FREQUENT_SHINGLES)
         values = np.concatenate(held)
         held.clear()
         values.sort()
-        new = np.ones(len(values), dtype=bool)
-        new[1:] = values[1:] != values[:-1]
-        starts = np.flatnonzero(new)
-        times = np.diff(starts, append=len(values))
-        often = times > 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(values[starts[often]].view(np.int64)), pa.array(times[often])], ["shingle", "times"]
-        )
+        shingles, times = repeated(values)
+        return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(times)], ["shingle", "times"])
 
     text = docs.select(F.col("text").cast("string").alias("text"))
     counted = text.mapInArrow(tidy(count), "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))

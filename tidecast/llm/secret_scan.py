@@ -48,10 +48,11 @@ MIN_GAIN = 1.0  # nats per letter
 
 GROUPS = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "_-", "=")
 CLASS_OF = {letter: k for k, group in enumerate(GROUPS) for letter in group}
-CLASS_OF_BYTE = np.full(256, len(GROUPS), dtype=np.int64)
+CLASS_OF_BYTE = np.full(256, len(GROUPS), dtype=np.uint8)
 for _letter, _class in CLASS_OF.items():
     CLASS_OF_BYTE[ord(_letter)] = _class
 END = len(GROUPS)
+MOVES_BYTES = 256 << 10  # moves are counted in pieces of so many bytes, since each byte of text takes several
 
 
 def base_matches(text: str, signs: tuple[bool, bool, bool] = (True, True, True)) -> list[tuple[int, int, int, str]]:
@@ -189,6 +190,15 @@ class Formats:
         return sorted(base + more)
 
 
+def moves_in(data: np.ndarray, limit: int = MOVES_BYTES) -> np.ndarray:
+    """How often each class follows another in these bytes."""
+    moves = np.zeros((END + 1) ** 2, dtype=np.int64)
+    for start in range(0, len(data) - 1, limit):
+        classes = CLASS_OF_BYTE[data[start : start + limit + 1]]  # with the first byte of the next piece
+        moves += np.bincount(classes[:-1] * np.uint8(END + 1) + classes[1:], minlength=len(moves))
+    return moves
+
+
 def corpus_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """All base secrets with their kinds, and how often each class follows another in all other text."""
 
@@ -211,10 +221,6 @@ def corpus_counts(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 yield as_batch(rows)
         yield as_batch([(None, None, i, int(n)) for i, n in enumerate(moves) if n])
 
-    def moves_in(data):
-        classes = CLASS_OF_BYTE[data]
-        return np.bincount(classes[:-1] * (END + 1) + classes[1:], minlength=(END + 1) ** 2)
-
     def as_batch(rows):
         types = (pa.int32(), pa.string(), pa.int32(), pa.int64())
         columns = list(zip(*rows)) or [[]] * 4
