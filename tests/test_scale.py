@@ -3,11 +3,14 @@
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidecast.config import PREDICTORS
 from tidecast.functions import linear_models as lm
-from tidecast.operators import registry
+from tidecast.functions import shared_lags
+from tidecast.operators import fit, registry
 from tidecast.operators.fit import fit_models
 from tidecast.operators.forecast import train_scores
 from tidecast.operators.impute import exact_medians, impute
@@ -112,3 +115,73 @@ def test_short_series_are_laid_out_once(monkeypatch):
     assert len(calls) == 2  # once for the bounds, once for all steps
     monkeypatch.setattr(lm, "BLOCK_ROWS", 40)
     assert np.allclose(whole, lm.huber_fit(rows, horizons, predictors, coefs, 1.345, None, shift), rtol=1e-8)
+
+
+def whole_series(n, seed, frequency="m", first=0):
+    """Training rows of a series without gaps, as the fit sees them, and its horizons."""
+    rng = np.random.default_rng(seed)
+    values = 900 + rng.normal(0, 20, n) + 30 * (np.arange(n) % 12 == 3) + np.where(rng.random(n) < 0.1, 400.0, 0.0)
+    fold = rng.integers(-1, 3, n)
+    rows = pa.StructArray.from_arrays([pa.array(np.arange(first, first + n)), pa.array(values), pa.array(fold)], ["time_index", "tourism", "fold"])
+    return fit._series_columns(rows, frequency, "fixed"), fit._horizons(frequency)
+
+
+@pytest.mark.parametrize("predictors", [PREDICTORS, ["lag_3", "month_2", "observation_id", "lag_1", "month_11"], ["lag_1"], ["observation_id"]])
+def test_huber_fits_of_several_series_together(predictors):
+    """Each step went over one series at a time, with a system of all columns for each of its targets."""
+    series = [whole_series(n, n, first=n % 5) for n in (150, 163, 90, 140)]
+    horizons, parts, sums, starts = np.arange(1, 25), [], [], []
+    for (rows, gaps), _ in series:
+        assert shared_lags.shares_lags(rows, gaps, predictors)
+        shift = lm.shifts(predictors, rows[1].mean(), int(rows[0].min()))
+        sums.append(lm.product_sums(rows, horizons, predictors, 3, None, shift)[0])
+        starts.append(lm.fit_candidates(sums[-1], horizons, ("huber:1.345",), predictors, "m", shift)[:, 0])
+        parts.append((rows, shift))
+    layout = shared_lags.SharedLags([rows for rows, _ in parts], horizons, predictors, 3)
+    together = layout.huber(np.stack(starts), 1.345, lm.varying(np.stack(sums)))
+    for (rows, shift), start, found in zip(parts, starts, together):
+        alone = lm.huber_fit(rows, horizons, predictors, start, 1.345, None, shift)
+        x, _, full = lm.design(rows, horizons, predictors)
+        assert (np.isnan(alone) == np.isnan(found)).all() and np.abs(np.nan_to_num(alone - start)).max() > 0.01
+        scores = [np.where(full[:, :, None], x @ c.swapaxes(1, 2), 0.0) for c in (alone, found)]
+        has_rows = ~np.isnan(alone).any(axis=2)
+        np.testing.assert_allclose(scores[1].swapaxes(1, 2)[has_rows], scores[0].swapaxes(1, 2)[has_rows], rtol=1e-5, atol=1e-3)
+
+
+def test_only_series_with_gaps_are_fitted_alone(monkeypatch):
+    (rows, _), _ = whole_series(120, 1)
+    (later, _), _ = whole_series(60, 2, "q")
+    (gappy, _), _ = whole_series(100, 3)
+    gappy = tuple(np.delete(column, 20, axis=0) for column in gappy)
+    ids, columns = ["m1", "q1", "m2"], [(rows, False), (later, False), (gappy, False)]
+    calls, alone = [], lm.huber_fit
+    monkeypatch.setattr(lm, "huber_fit", lambda rows, *a: calls.append(len(rows[0])) or alone(rows, *a))
+    names = ("naive", "huber:1.345", "huber:2.0")
+    together = fit._fit_series(ids, columns, PREDICTORS, names, 3).to_pylist()
+    assert calls == [len(gappy[0])] * 2
+    assert not shared_lags.shares_lags(rows, False, ["month_4"]) and not shared_lags.shares_lags(rows, True, PREDICTORS)
+    monkeypatch.setattr(shared_lags, "shares_lags", lambda *a: False)
+    one_by_one = fit._fit_series(ids, columns, PREDICTORS, names, 3).to_pylist()
+    assert len(together) == len(one_by_one) == 24 + 8 + 24
+    for a, b in zip(together, one_by_one):
+        assert (a["series_id"], a["horizon"], a["n_train"]) == (b["series_id"], b["horizon"], b["n_train"])
+        for x, y in zip(a["candidates"], b["candidates"], strict=True):
+            assert x["family"] == y["family"] and x["cv_mae"] == pytest.approx(y["cv_mae"], rel=1e-4)
+
+
+def test_lasso_with_alike_columns_ends():
+    """Sweeps alone stopped short of the least where a fit has few rows, or went on for many rounds."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 4, 25))
+    x[:, :, 13:] = (rng.integers(0, 12, (400, 4, 1)) == np.arange(12)) * 1.0
+    y = rng.normal(size=(400, 4))
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
+    scale = x.std(axis=1)
+    z = np.where(scale[:, None] > 0, x / np.where(scale > 0, scale, 1.0)[:, None], 0.0)
+    left = z.transpose(0, 2, 1) @ z / 4 + (scale == 0)[:, :, None] * np.eye(25)
+    right = (z.transpose(0, 2, 1) @ y[..., None])[..., 0] / 4
+    top = np.abs(right).max(axis=1, keepdims=True)
+    for ratio, slopes in zip((0.1, 0.3), lm.lasso_path((left, right, np.ones_like(right), None), (0.1, 0.3))):
+        gradient = (right - (left @ slopes[..., None])[..., 0]) / (ratio * top)
+        assert np.abs(gradient).max() < 1 + 1e-6
+        assert np.abs(gradient - np.sign(slopes))[np.abs(slopes) > 1e-7 * top].max() < 1e-6
